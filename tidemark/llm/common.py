@@ -12,6 +12,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def checked(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """A materialised narrow table, marked for broadcasting only if it has at most ``most`` rows.
+
+    Beyond that it stays a table that joins shuffle.
+    """
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def one_row_per_id(df: DataFrame, key: str) -> DataFrame:
     """Rows with a non-null key, one of each key (the smallest when all columns are compared).
 
@@ -22,6 +31,7 @@ def one_row_per_id(df: DataFrame, key: str) -> DataFrame:
     again = df.groupBy(key).count().where("count > 1").select(key)
     if again.isEmpty():
         return df
+    again = checked(again)
     rest = df.columns
     order = [F.col(c) for c, kind in df.dtypes if c != key and not kind.startswith("map")]
     w = Window.partitionBy(key).orderBy(*order) if order else Window.partitionBy(key).orderBy(key)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import p1_linkage, p2_topn, p7_lines
+from tidemark.llm import p1_linkage, p2_topn, p4_clusters, p5_neighbours, p6_neardup, p7_lines
 from tidemark.llm.common import read
 from tidemark.session import Scratch, cut
 
@@ -100,3 +100,72 @@ ORACLE["p7_clean"] = _P7 + """,
     SELECT a.id AS article_id, CASE WHEN g.gone IS NULL THEN a.body ELSE
         array_to_string(list_filter(string_split(a.body, chr(10)), lambda x, i: NOT list_contains(g.gone, i)), chr(10)) END AS body
     FROM articles a LEFT JOIN gone g ON g.id = a.id"""
+
+
+def _p4(spark: SparkSession, sf_dir: str):
+    return p4_clusters.groups_of(read(spark, sf_dir, "article_vectors"), "article_id", "embedding", "created_at")
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of groups of four or more articles connected by cosines of 0.55 or more."""
+    return _p4(spark, sf_dir).groups.select(F.col("id").alias("article_id"), "group_id")
+
+
+@query
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each group with its size and most typical members."""
+    return p4_clusters.described(_p4(spark, sf_dir))
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of which one is among the five nearest of the other, at 0.80 or more."""
+    return p5_neighbours.nearest_pairs(read(spark, sf_dir, "article_vectors"), "article_id", "embedding", "created_at")
+
+
+_VECTORS = """
+    latest AS (SELECT article_id, arg_max(embedding, row(created_at, embedding)) AS v FROM article_vectors GROUP BY 1),
+    raw AS (SELECT article_id, v::DOUBLE[] AS v FROM latest WHERE v IS NOT NULL AND len(v) = 384
+            AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+    unit AS (SELECT article_id AS id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM raw WHERE list_dot_product(v, v) > 0),
+    cosine AS (SELECT a.id AS id, b.id AS other, list_dot_product(a.v, b.v) AS cos FROM unit a JOIN unit b ON a.id <> b.id)"""
+ORACLE["p4_found"] = f"""
+    WITH RECURSIVE {_VECTORS},
+    link AS MATERIALIZED (SELECT id, other FROM cosine WHERE cos >= 0.55),
+    reach AS (SELECT id, id AS other FROM unit UNION SELECT r.id, l.other FROM reach r JOIN link l ON l.id = r.other),
+    root AS (SELECT id, min(other) AS group_id, count(*) AS n FROM reach GROUP BY 1)
+    SELECT id AS article_id, group_id FROM root WHERE n >= 4"""
+ORACLE["p5_found"] = f"""
+    WITH {_VECTORS},
+    near AS (SELECT id, other FROM cosine WHERE cos >= 0.80 QUALIFY row_number() OVER (PARTITION BY id ORDER BY cos DESC, other) <= 5)
+    SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM near"""
+
+
+def _p6(spark: SparkSession, sf_dir: str):
+    return p6_neardup.near_duplicates(read(spark, sf_dir, "articles"), "id", "body", width=3, sim=0.6)
+
+
+@query
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of articles whose three-word sequences have a Jaccard similarity of 0.6 or more."""
+    return p6_neardup.document_pairs(_p6(spark, sf_dir))
+
+
+@query
+def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per article: its class and number of links, at five words and 0.8."""
+    return p6_neardup.classes(p6_neardup.near_duplicates(read(spark, sf_dir, "articles"), "id", "body"))
+
+
+def _p6_sql(width: int, sim: float) -> str:
+    return rf"""
+    norm AS (SELECT id, string_split(trim(regexp_replace(regexp_replace(lower(body), '[^\p{{L}}\p{{N}}_\s\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]', '', 'g'),
+             '[\s\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]+', ' ', 'g')), ' ') AS w FROM articles WHERE body IS NOT NULL),
+    piece AS (SELECT DISTINCT id, array_to_string(w[i:i + {width - 1}], ' ') AS p FROM (SELECT id, w, unnest(range(1, len(w) - {width - 2})) AS i FROM norm)),
+    size AS (SELECT id, count(*) AS n FROM piece GROUP BY 1),
+    common AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM piece a JOIN piece b ON a.p = b.p AND a.id < b.id GROUP BY 1, 2),
+    pairs AS (SELECT id_a, id_b FROM common JOIN size x ON x.id = id_a JOIN size y ON y.id = id_b WHERE k >= {sim} * (x.n + y.n - k) - 1e-9)"""
+
+
+ORACLE["p6_found"] = f"WITH {_p6_sql(3, 0.6)} SELECT id_a, id_b FROM pairs"
