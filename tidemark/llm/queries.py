@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import p1_linkage, p2_topn, p4_clusters, p5_neighbours, p6_neardup, p7_lines
+from tidemark.llm import p1_linkage, p2_topn, p3_boilerplate, p4_clusters, p5_neighbours, p6_neardup, p7_lines, p8_packing, p9_mixing, p10_encoding
 from tidemark.llm.common import read
 from tidemark.session import Scratch, cut
 
@@ -169,3 +169,59 @@ def _p6_sql(width: int, sim: float) -> str:
 
 
 ORACLE["p6_found"] = f"WITH {_p6_sql(3, 0.6)} SELECT id_a, id_b FROM pairs"
+
+
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of articles that are page furniture."""
+    return p3_boilerplate.furniture_lines(read(spark, sf_dir, "articles"), "id", "title", "body").withColumnRenamed("id", "article_id")
+
+
+@query
+def p3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles without these lines."""
+    return p3_boilerplate.main_text(read(spark, sf_dir, "articles"), "id", "title", "body").withColumnRenamed("id", "article_id")
+
+
+@query
+def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Container of every document, or of each piece of a document above 2,048 tokens."""
+    return p8_packing.pack(read(spark, sf_dir, "documents"), "doc_id", "source", "text")
+
+
+@query
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, and how much of their room is used."""
+    return p8_packing.report(cut(p8_pack(spark, sf_dir)))
+
+
+def _p9(spark: SparkSession, sf_dir: str):
+    return p9_mixing.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets"), "doc_id", "source", "text")
+
+
+@query
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chosen documents with repeats, in slot order of the mixture."""
+    return _p9(spark, sf_dir).rows
+
+
+@query
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares per source."""
+    return p9_mixing.shares(_p9(spark, sf_dir))
+
+
+def _p10(spark: SparkSession, sf_dir: str):
+    return p10_encoding.find_damage(read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold text decoded with a wrong encoding."""
+    return p10_encoding.damaged_documents(_p10(spark, sf_dir))
+
+
+@query
+def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """These documents with their original text, as far as it can be had back."""
+    return p10_encoding.restored(_p10(spark, sf_dir))
