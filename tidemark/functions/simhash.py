@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _PUNCTUATION = re.compile(r"[^\w\s]")
 
@@ -30,7 +31,7 @@ def simhash_of(text: str | None) -> int | None:
     return int(np.packbits(most).view(">i8")[0])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _simhash(texts: pd.Series) -> pd.Series:
     return pd.Series([simhash_of(t) for t in texts], dtype="Int64")
 

@@ -7,6 +7,7 @@ from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Query parameters that only track where a visitor came from.
 TRACKING = frozenset(
@@ -31,12 +32,12 @@ def canonical(url: str | None) -> str | None:
     return at._replace(scheme=at.scheme.lower(), netloc=at.netloc.lower(), path=path, query=urlencode(kept), fragment="").geturl()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _canonical(urls: pd.Series) -> pd.Series:
     return urls.map(canonical, na_action="ignore").astype(object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _joined(base: pd.Series, link: pd.Series) -> pd.Series:
     def one(b, x):
         try:
