@@ -1,9 +1,12 @@
 """Problem 6: records that share most of their word sequences.
 
 Grouped prefix join. Word sequences are ordered from rare to common by a count sketch of the
-whole corpus; documents with the same prefix and size form one group; groups that meet in a
-prefix element are candidates; their members are then compared exactly. Only prefixes are
-shuffled, packed in blocks; a very common element is split over blocks of pairs.
+whole corpus, and a document's prefix are its rarest ones. Documents with the same prefix and
+size form one group. Prefix elements are joined several at a time: a hash cuts the element
+space into segments, and groups meet where they have the same elements, two at least, in a
+segment. Pairs of groups are filtered by size and by a bit sketch, and their members are then
+compared exactly. Only packed prefixes are shuffled; a segment that very many groups share is
+split over blocks of pairs.
 """
 
 from __future__ import annotations
@@ -20,21 +23,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.simhash import plain_words
-from tidemark.llm.common import components, one_row_per_id
+from tidemark.llm.common import checked, components, one_row_per_id
 from tidemark.session import Scratch
 
 #: Counters of the sketch (4 bytes each): its size is fixed, so it may be collected and broadcast.
 SLOTS = 1 << 20
 SKETCH_BLOCKS = 64
-#: Prefix elements of one block of the join.
+#: Share of a document's sequences that is its prefix.
+PREFIX = 0.7
+#: Segments that a pair at the similarity bound shares in expectation, at least, when every
+#: difference falls on rare elements; a pair is missed with a probability of exp(-EXPECTED) there
+#: (4e-8 for differences anywhere), and less above the bound.
+EXPECTED = 10
+#: Up to this many sequences single prefix elements are joined, which is exact.
+SHORT = 24
+#: Bits of the sketch; pairs five standard deviations under the bound are filtered.
+BITS = 128
+#: Join entries of one block, and groups in a segment from which it is split.
 BLOCK = 400_000
-#: A prefix element with more documents than this is split.
-HOT = 20_000
+HOT = 4_000
 #: Ratio of neighbouring size classes.
 STEP = 1.05
 
-ENTRY = np.dtype([("t", "<u4"), ("g", "<u8"), ("c", "u1"), ("f", "u1")])
-MEMBER = np.dtype([("id", "<i8"), ("s", "<u8"), ("g", "<u8"), ("n", "<u4")])
+ENTRY = np.dtype([("t", "<u4"), ("g", "<u8"), ("c", "u1"), ("u", "<u8"), ("v", "<u8")])
+MEMBER = np.dtype([("id", "<i8"), ("s", "<u8"), ("g", "<u8"), ("n", "<u4"), ("k", "V128")])
 
 
 class _Words(dict):
@@ -85,7 +97,7 @@ def sketch(docs: DataFrame, width: int, sim: float) -> tuple[np.ndarray, int]:
             for x in sets_of(b.column("body").to_pylist(), width, words):
                 if len(x):
                     slots[(x >> np.uint64(44)).astype(np.int64)] += 1  # distinct in a document but for slot collisions
-                    elements += len(x) - _overlap(sim * len(x)) + 1
+                    elements += len(x) // 2
         if elements:
             step = SLOTS // SKETCH_BLOCKS
             yield pa.RecordBatch.from_pydict(
@@ -112,13 +124,77 @@ def sketch(docs: DataFrame, width: int, sim: float) -> tuple[np.ndarray, int]:
     return slots, sum(r["elements"] for r in rows)
 
 
-def _prefix(x: np.ndarray, counts: np.ndarray, sim: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """The prefix of a set in the corpus order, the counts of its elements, and how many a smaller partner needs."""
+def _prefix(x: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest elements of a set in the corpus order, rarest first."""
     c = counts[(x >> np.uint64(44)).astype(np.int64)]
-    n = len(x)
-    p = n - _overlap(sim * n) + 1
+    p = len(x) if len(x) <= SHORT else math.ceil(PREFIX * len(x))
     order = np.argsort((np.minimum(c, 0xFFFFFF).astype(np.uint64) << np.uint64(40)) | (x >> np.uint64(24)), kind="stable")[:p]
-    return x[order], c[order], n - _overlap(2 * sim * n / (1 + sim)) + 1
+    return x[order]
+
+
+def _multipliers() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(1234)
+    return rng.integers(0, 1 << 63, BITS, np.int64).astype(np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, BITS, np.int64).astype(np.uint64)
+
+
+def bit_sketch(x: np.ndarray, by: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of BITS minimum hashes of a set: one bit each as two words, and one byte each."""
+    low = (x[:, None] * by[0] + by[1]).min(axis=0) >> np.uint64(20)
+    return np.packbits((low & np.uint64(1)).astype(np.uint8)).view("<u8"), ((low >> np.uint64(1)) & np.uint64(255)).astype(np.uint8)
+
+
+def _level(n: np.ndarray) -> np.ndarray:
+    """log2 of the number of segments for sets of n elements: two elements a segment, about."""
+    return np.maximum(1, np.rint(np.log2(np.maximum(n, 4) / 2))).astype(np.int64)
+
+
+def rounds_for(n: int, sim: float) -> int:
+    """How often the elements are cut into segments, so that EXPECTED segments of a pair at the bound agree."""
+    s = 2 * sim / (1 + sim)
+    both = 2 * max(0.05, PREFIX - (1 - s))
+    share = math.exp(-4 * (1 - s)) * (1 - math.exp(-both) * (1 + both))
+    return min(200, math.ceil(EXPECTED / (share * n / 2)))
+
+
+def segment_keys(prefixes: list[np.ndarray], sizes: np.ndarray, sim: float) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, row of each): what the prefixes are joined by.
+
+    The larger set of a pair decides the level and the number of rounds, so a set has its own
+    level's keys and those of the largest partner it may have.
+    """
+    keys, rows = [], []
+    short = np.flatnonzero((sizes > 0) & (sizes <= math.floor(SHORT / sim)))
+    for k in short.tolist():
+        x = prefixes[k]
+        p = min(len(x), int(sizes[k]) - _overlap(sim * int(sizes[k])) + 1)
+        keys.append(_mix(x[:p] ^ np.uint64(0x5151)))
+        rows.append(np.full(p, k))
+    long = np.flatnonzero(sizes > SHORT)
+    if len(long):
+        times = np.array([rounds_for(n, sim) for n in sizes[long].tolist()])
+        n = np.array([len(prefixes[k]) for k in long])
+        flat = np.concatenate([prefixes[k] for k in long])
+        own, top = _level(sizes[long]), _level(sizes[long] / sim)
+        for r in range(int(times.max())):
+            h = _mix(flat + np.uint64(0x1F123BB5 * (r + 1)))
+            e = _mix(h)
+            for level, which in ((own, times > r), (top, (times > r) & (top != own))):
+                if not which.any():
+                    continue
+                use = np.repeat(which, n)
+                k = np.repeat(np.arange(len(long)), n)[use]
+                lev = level[k].astype(np.uint64)
+                seg = (k.astype(np.uint64) << np.uint64(32)) | (h[use] >> (np.uint64(64) - lev))
+                order = np.argsort(seg, kind="stable")
+                seg, el, k, lev = seg[order], e[use][order], k[order], lev[order]
+                start = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
+                size = np.diff(np.r_[start, len(seg)])
+                total = np.add.reduceat(el, start)
+                strong = size >= 2
+                keys.append(_mix(total[strong] + lev[start][strong] * np.uint64(0x9E37) + np.uint64(r)))
+                rows.append(long[k[start][strong]])
+    none = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    return np.concatenate(keys or none[0]), np.concatenate(rows or none[1])
 
 
 @dataclass
@@ -134,9 +210,9 @@ def near_duplicates(df: DataFrame, key: str, body: str, width: int = 5, sim: flo
 
     Documents with equal sets are one class; links are between classes, so copies are never
     expanded into pairs. Null and empty texts, and texts under ``width`` words, have no
-    sequences and no links. Repeated rows of an id count once. No candidate is dropped: the
-    prefix filter loses no pair, whatever the element order. Sets are compared by 64-bit
-    hashes.
+    sequences and no links. Repeated rows of an id count once. There is no cap on candidates or
+    partners; a pair at the very bound is missed with the probability stated at EXPECTED, and
+    sets are compared by 64-bit hashes.
     """
     spark = df.sparkSession
     scratch = scratch or Scratch(spark, "near")
@@ -144,33 +220,23 @@ def near_duplicates(df: DataFrame, key: str, body: str, width: int = 5, sim: flo
     counts, elements = sketch(docs, width, sim)
     counts_b = spark.sparkContext.broadcast(counts)
     parts = max(12, -(-elements // BLOCK))
-    hot = max(HOT, 4 * int(counts.mean()), int(counts.max()) // 200)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = _Words(), counts_b.value
-        held: list[tuple] = []
-        members: list[tuple] = []
+        words, counts, by = _Words(), counts_b.value, _multipliers()
+        held: list[np.ndarray] = []
+        where: list[np.ndarray] = []
+        members: list[np.ndarray] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             if not members:
                 return
-            e = np.zeros(size, ENTRY)
-            part = np.empty(size, np.int64)
-            at = 0
-            for t, g, c, f in held:
-                k = len(t)
-                e["t"][at : at + k] = (t & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                part[at : at + k] = ((t >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-                e["g"][at : at + k], e["c"][at : at + k], e["f"][at : at + k] = g, c, f
-                at += k
+            e, part, m = np.concatenate(held), np.concatenate(where), np.concatenate(members)
             order = np.argsort(part, kind="stable")
             e, ends = e[order], np.searchsorted(part[order], np.arange(parts + 1))
-            m = np.array(members, MEMBER)
             share = np.linspace(0, len(m), parts + 1).astype(int)
             for lo in range(0, parts, 4096):
-                hi = min(parts, lo + 4096)
-                keep = [i for i in range(lo, hi) if ends[i] < ends[i + 1] or share[i] < share[i + 1]]
+                keep = [i for i in range(lo, min(parts, lo + 4096)) if ends[i] < ends[i + 1] or share[i] < share[i + 1]]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "part": pa.array(keep, pa.int32()),
@@ -180,94 +246,117 @@ def near_duplicates(df: DataFrame, key: str, body: str, width: int = 5, sim: flo
                 )
 
         for b in batches:
-            ids = b.column("id").to_pylist()
-            for i, x in zip(ids, sets_of(b.column("body").to_pylist(), width, words)):
-                n = len(x)
-                if not n:
+            for lo in range(0, b.num_rows, 1000):
+                cut = b.slice(lo, 1000)
+                sets = sets_of(cut.column("body").to_pylist(), width, words)
+                ids = [i for i, x in zip(cut.column("id").to_pylist(), sets) if len(x)]
+                sets = [x for x in sets if len(x)]
+                if not sets:
                     continue
-                t, c, first = _prefix(x, counts, sim)
-                s = xxhash.xxh64_intdigest(x.tobytes())
-                g = xxhash.xxh64_intdigest(t.tobytes(), seed=n)
-                members.append((i, s, g, n))
-                t = _mix(t)
-                f = (np.arange(len(t)) < first).astype(np.uint8)
-                code = _size_code(n)
-                many = c > hot
-                if many.any():
-                    for tok, num, flag in zip(t[many].tolist(), c[many].tolist(), f[many].tolist()):
-                        blocks = min(250, -(-num // hot))
-                        mine = g % blocks
-                        to = [(min(mine, j), max(mine, j), 0 if mine == j else 1 if mine < j else 2) for j in range(blocks)]
-                        tt = np.array([xxhash.xxh64_intdigest(b"%d %d %d" % (tok, x0, x1)) for x0, x1, _ in to], np.uint64)
-                        held.append((tt, g, code, np.array([flag | side << 1 for _, _, side in to], np.uint8)))
-                        size += len(tt)
-                    t, f = t[~many], f[~many]
-                held.append((t, g, code, f))
-                size += len(t)
-            if size > 3_000_000:
-                yield from flush()
-                held, members, size = [], [], 0
+                n = np.array([len(x) for x in sets])
+                prefixes = [_prefix(x, counts) for x in sets]
+                m = np.empty(len(sets), MEMBER)
+                m["id"], m["n"] = ids, n
+                m["s"] = [xxhash.xxh64_intdigest(x.tobytes()) for x in sets]
+                m["g"] = [xxhash.xxh64_intdigest(t.tobytes(), seed=len(x)) for t, x in zip(prefixes, sets)]
+                sketches = [bit_sketch(x, by) for x in sets]
+                sk = np.stack([w for w, _ in sketches])
+                m["k"] = np.stack([k for _, k in sketches]).view("V128").ravel()
+                code = np.array([_size_code(k) for k in n.tolist()], np.uint8)
+                keys, rows = segment_keys(prefixes, n, sim)
+                e = np.empty(len(keys), ENTRY)
+                e["t"] = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                e["g"], e["c"], e["u"], e["v"] = m["g"][rows], code[rows], sk[rows, 0], sk[rows, 1]
+                held.append(e)
+                where.append(((keys >> np.uint64(32)) % np.uint64(parts)).astype(np.int64))
+                members.append(m)
+                size += len(e)
+                if size > 1_500_000:
+                    yield from flush()
+                    held, where, members, size = [], [], [], 0
         yield from flush()
 
     reach = int(math.log(1 / sim) / math.log(STEP)) + 2
+    agree = (1 + sim) / 2
+    differ = math.floor(BITS * (1 - agree) + 5 * math.sqrt(BITS * agree * (1 - agree)))
 
     def allowed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Element by element, whether entries of one token may be a pair."""
-        ca, cb, fa, fb = a["c"].astype(np.int16), b["c"].astype(np.int16), a["f"], b["f"]
-        sides = (fa >> 1) + (fb >> 1)
-        flag = np.where(ca < cb, fa, np.where(cb < ca, fb, fa | fb)) & 1
-        return (np.abs(ca - cb) <= reach) & (flag == 1) & ((sides == 0) | ((sides == 3) & (fa >> 1 != 0) & (fb >> 1 != 0))) & (a["g"] != b["g"])
-
-    def pairs_of(e: np.ndarray) -> Iterator[np.ndarray]:
-        e = e[np.lexsort((e["g"], e["c"], e["t"]))]
-        e = e[np.r_[True, (e["t"][1:] != e["t"][:-1]) | (e["g"][1:] != e["g"][:-1]) | (e["f"][1:] != e["f"][:-1])]] if len(e) else e
-        starts = np.flatnonzero(np.r_[True, e["t"][1:] != e["t"][:-1]]) if len(e) else np.zeros(0, int)
-        sizes = np.diff(np.r_[starts, len(e)])
-        found, n = [], 0
-        for m in np.unique(sizes[sizes > 1]):
-            at = starts[sizes == m]
-            step = max(1, 1_000_000 // (m * m))
-            for lo in range(0, len(at), step):
-                rows = at[lo : lo + step, None] + np.arange(m)
-                for i0 in range(0, m, 512):
-                    i, j = np.triu_indices(m, 1) if m <= 512 else (x.ravel() for x in np.meshgrid(np.arange(i0, min(m, i0 + 512)), np.arange(m), indexing="ij"))
-                    if m > 512:
-                        i, j = i[i < j], j[i < j]
-                    a, b = e[rows[:, i].ravel()], e[rows[:, j].ravel()]
-                    ok = allowed(a, b)
-                    ga, gb = a["g"][ok], b["g"][ok]
-                    found.append(np.stack([np.minimum(ga, gb), np.maximum(ga, gb)], 1))
-                    n += len(ga)
-                    if n > 2_000_000:
-                        yield np.unique(np.concatenate(found), axis=0)
-                        found, n = [], 0
-                    if m <= 512:
-                        break
-        if n:
-            yield np.unique(np.concatenate(found), axis=0)
+        """Row by row, whether two groups may hold a pair."""
+        near = np.abs(a["c"].astype(np.int16) - b["c"].astype(np.int16)) <= reach
+        near &= np.bitwise_count(a["u"] ^ b["u"]).astype(np.int16) + np.bitwise_count(a["v"] ^ b["v"]) <= differ
+        return near & (a["g"] != b["g"])
+
+    def ordered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.stack([np.minimum(a["g"], b["g"]), np.maximum(a["g"], b["g"])], 1)
+
+    def table(kind: int, x, y, z=None, n=None, u=None, v=None, sig=None) -> pa.Table:
+        k = len(x)
+        zero = np.zeros(k, np.int64)
+        cols = [np.ascontiguousarray(c).view(np.int64) if c is not None else zero for c in (x, y, z, u, v)]
+        return pa.table({"kind": pa.array(np.full(k, kind, np.int32)), "x": cols[0], "y": cols[1], "z": cols[2], "u": cols[3], "v": cols[4], "n": pa.array(np.zeros(k, np.int32) if n is None else np.asarray(n).astype(np.int32)), "sig": pa.nulls(k, pa.binary()) if sig is None else pa.array([q.tobytes() for q in sig], pa.binary())})
 
     def meet(t: pa.Table) -> pa.Table:
         m = np.concatenate([np.frombuffer(x.as_buffer(), MEMBER) for x in t.column("members")])
         e = np.concatenate([np.frombuffer(x.as_buffer(), ENTRY) for x in t.column("entries")])
-        out = [pa.table({"kind": pa.array(np.zeros(len(m), np.int32)), "x": pa.array(m["id"]), "y": pa.array(m["s"].view(np.int64) if m["s"].flags.c_contiguous else m["s"].copy().view(np.int64)), "z": pa.array(m["g"].copy().view(np.int64)), "n": pa.array(m["n"].astype(np.int32))})]
-        for p in pairs_of(e):
-            k = len(p)
-            out.append(pa.table({"kind": pa.array(np.ones(k, np.int32)), "x": pa.array(p[:, 0].copy().view(np.int64)), "y": pa.array(p[:, 1].copy().view(np.int64)), "z": pa.array(np.zeros(k, np.int64)), "n": pa.array(np.zeros(k, np.int32))}))
+        out = [table(0, m["id"], m["s"], m["g"], m["n"], sig=m["k"])]
+        e = e[np.lexsort((e["g"], e["t"]))]
+        if len(e):
+            e = e[np.r_[True, (e["t"][1:] != e["t"][:-1]) | (e["g"][1:] != e["g"][:-1])]]
+            start = np.flatnonzero(np.r_[True, e["t"][1:] != e["t"][:-1]])
+            size = np.diff(np.r_[start, len(e)])
+            found = []
+            for k in np.unique(size[(size > 1) & (size <= HOT)]):
+                at = start[size == k]
+                i, j = np.triu_indices(k, 1)
+                step = max(1, 500_000 // len(i))
+                for lo in range(0, len(at), step):
+                    base = at[lo : lo + step, None]
+                    for c0 in range(0, len(i), 500_000):
+                        a, b = e[(base + i[c0 : c0 + 500_000]).ravel()], e[(base + j[c0 : c0 + 500_000]).ravel()]
+                        ok = allowed(a, b)
+                        found.append(ordered(a[ok], b[ok]))
+            if found:
+                p = np.unique(np.concatenate(found), axis=0)
+                out.append(table(1, p[:, 0], p[:, 1]))
+            hot = np.repeat(size > HOT, size)
+            if hot.any():
+                h = e[hot]
+                part = np.uint64(t.column("part")[0].as_py()) << np.uint64(32)
+                out.append(table(2, h["t"].astype(np.uint64) | part, h["g"], None, h["c"], h["u"], h["v"]))
         return pa.concat_tables(out)
 
-    schema = "kind int, x long, y long, z long, n int"
+    schema = "kind int, x long, y long, z long, u long, v long, n int, sig binary"
     met = scratch.put(docs.mapInArrow(emit, "part int, entries binary, members binary").groupBy("part").applyInArrow(meet, schema), "met")
+    groups = met.where("kind = 1").select(F.col("x").alias("g1"), F.col("y").alias("g2"))
+    wide = met.where("kind = 2")
+    if not wide.isEmpty():
+        groups = groups.unionByName(_split_hot(wide, allowed, ordered))
+    groups = groups.distinct()
     members = met.where("kind = 0").select(F.col("x").alias("id"), F.col("y").alias("s"), F.col("z").alias("g"), "n")
-    groups = met.where("kind = 1").select(F.col("x").alias("g1"), F.col("y").alias("g2")).distinct()
 
-    sets = members.groupBy("s").agg(F.min("id").alias("id"), F.min("g").alias("g"), F.min("n").alias("n"))
-    one, two = (sets.select(F.col("s").alias(f"s{k}"), F.col("g").alias(f"g{k}"), F.col("n").alias(f"n{k}")) for k in (1, 2))
-    among = one.join(two.withColumnRenamed("g2", "g1"), "g1").where("s1 < s2").select("s1", "s2", "n1", "n2")
-    across = groups.join(one, "g1").join(two, "g2").select(F.least("s1", "s2").alias("s1"), F.greatest("s1", "s2").alias("s2"), "n1", "n2")
-    pairs = among.unionByName(across).where(F.least("n1", "n2") >= F.greatest("n1", "n2") * sim - 1e-9).select("s1", "s2").distinct()
-    pairs = scratch.put(pairs, "pairs")
+    # members of group pairs, and of one group: by size, then by the minimum hashes
+    full = met.where("kind = 0").select(F.col("x").alias("id"), F.col("y").alias("s"), F.col("z").alias("g"), "n", "sig")
+    sets = full.groupBy("s").agg(F.min(F.struct("id", "g", "n", "sig")).alias("m")).select("s", "m.*")
+    one, two = (sets.select(F.col("s").alias(f"s{k}"), F.col("g").alias(f"g{k}"), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"sig{k}"), F.col("id").alias(f"id{k}")) for k in (1, 2))
+    crowded = sets.groupBy(F.col("g").alias("g1")).count().where("count > 1").select("g1")
+    within = one.join(crowded, "g1", "left_semi")
+    among = within.join(two.withColumnRenamed("g2", "g1"), "g1").where("s1 < s2")
+    across = groups.join(one, "g1").join(two, "g2")
+    cols = ["s1", "s2", "id1", "id2", "n1", "n2", "sig1", "sig2"]
+    least_equal = math.floor(BITS * sim - 5 * math.sqrt(BITS * sim * (1 - sim)))
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            u, v = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BITS) for c in ("sig1", "sig2"))
+            ok = pa.array((u == v).sum(axis=1) >= least_equal)
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(ok) for c in cols[:4]], names=cols[:4])
 
-    needed = pairs.select(F.explode(F.array("s1", "s2")).alias("s")).distinct().join(sets.select("s", "id"), "s").select("id")
+    sized = among.select(*cols).unionByName(across.select(*cols)).where(F.least("n1", "n2") >= F.greatest("n1", "n2") * sim - 1e-9)
+    pairs = sized.mapInArrow(alike, "s1 long, s2 long, id1 long, id2 long")
+    turn = F.col("s1") > F.col("s2")
+    pairs = pairs.select(*[F.when(turn, b).otherwise(a).alias(n) for n, a, b in (("s1", F.col("s1"), F.col("s2")), ("s2", F.col("s2"), F.col("s1")), ("id1", F.col("id1"), F.col("id2")), ("id2", F.col("id2"), F.col("id1")))])
+    pairs = scratch.put(pairs.distinct(), "pairs")
+    needed = checked(pairs.select(F.explode(F.array("id1", "id2")).alias("id")).distinct())
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
@@ -288,11 +377,43 @@ def near_duplicates(df: DataFrame, key: str, body: str, width: int = 5, sim: flo
                 combined.append(len(u) + len(v) - k)
             yield pa.RecordBatch.from_pydict({"s1": b.column("s1"), "s2": b.column("s2"), "shared": pa.array(shared, pa.int32()), "combined": pa.array(combined, pa.int32())})
 
-    both = pairs.join(tok.select(F.col("s").alias("s2"), F.col("tok").alias("t2")), "s2").join(tok.select(F.col("s").alias("s1"), F.col("tok").alias("t1")), "s1")
+    both = pairs.select("s1", "s2").join(tok.select(F.col("s").alias("s2"), F.col("tok").alias("t2")), "s2").join(tok.select(F.col("s").alias("s1"), F.col("tok").alias("t1")), "s1")
     links = both.select("s1", "s2", "t1", "t2").mapInArrow(compare, "s1 long, s2 long, shared int, combined int")
     return Near(members, links.where(F.col("shared") >= F.col("combined") * sim - 1e-9))
 
 
+def _split_hot(wide: DataFrame, allowed, ordered) -> DataFrame:
+    """(g1, g2) of segments that very many groups share: hashed into blocks, every pair of blocks a task of its own."""
+    blocks = wide.groupBy("x").agg(F.ceil(F.count("*") / HOT).cast("long").alias("k"))
+    mine = F.pmod(F.xxhash64("y"), F.col("k"))
+    rows = (
+        wide.join(blocks, "x")
+        .withColumn("mine", mine)
+        .withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+        .select("x", F.least("mine", "j").alias("i"), F.greatest("mine", "j").alias("j"), "mine", "y", "n", "u", "v")
+    )
+
+    def pairs(t: pa.Table) -> pa.Table:
+        e = np.empty(t.num_rows, ENTRY)
+        for name, col in (("g", "y"), ("u", "u"), ("v", "v")):
+            e[name] = np.asarray(t.column(col).combine_chunks()).view(np.uint64)
+        e["c"], e["t"] = np.asarray(t.column("n").combine_chunks()), 0
+        mine = np.asarray(t.column("mine").combine_chunks())
+        first, second = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        a, b = e[mine == first], e[mine == second]
+        found = []
+        for lo in range(0, len(a), 100):
+            i, j = np.meshgrid(np.arange(lo, min(len(a), lo + 100)), np.arange(len(b)), indexing="ij")
+            keep = i < j if first == second else np.ones(i.shape, bool)
+            x, y = a[i[keep]], b[j[keep]]
+            ok = allowed(x, y)
+            found.append(ordered(x[ok], y[ok]))
+        p = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.uint64)
+        return pa.table({"g1": np.ascontiguousarray(p[:, 0]).view(np.int64), "g2": np.ascontiguousarray(p[:, 1]).view(np.int64)})
+
+    return rows.groupBy("x", "i", "j").applyInArrow(pairs, "g1 long, g2 long")
+
+
 def document_pairs(near: Near) -> DataFrame:
     """(id_a, id_b), id_a < id_b: every pair of documents, copies included.
 
