@@ -26,6 +26,12 @@ LOST = "�"
 #: A clean original must be this many times as common as its garbled form, where the form could pass as a word.
 MORE = 5
 _RUN = re.compile(r"[^\x00-\x7f]+")
+#: A last run with an ASCII letter or two behind it, as in a possessive.
+_TAIL = re.compile(r"(?<=[a-z])[^\x00-\x7f]{1,3}[a-z]{1,2}$")
+_BLANK = re.compile(r"[ \t-\r\x1c-\x1f]+")
+_CONTROL = re.compile("[\x80-\x9f]")
+#: The chain that leaves a lone letter of a curly quote: only what stands behind it tells.
+TIDIED = "utf-8>latin-1-controls"
 _EDGE = "\"'()[]{}<>.,;:!?*_-/|\\&%#=+~^`$@"
 
 
@@ -77,35 +83,63 @@ def garbled_forms(piece: str) -> Iterator[tuple[str, str, bool]]:
 
 
 def pieces(text: str) -> tuple[set[str], set[str]]:
-    """The words with a character beyond ASCII, and the runs of such characters."""
+    """The words with a character beyond ASCII, and the runs of such characters and their parts.
+
+    Only ASCII white space ends a word, as wrong decoding also makes hard blanks and control
+    characters. Parts of two to four characters are taken of runs that could not be clean.
+    """
     if text.isascii():
         return set(), set()
-    found = {w.strip(_EDGE) for w in set(text.split()) if not w.isascii()}
-    return found, {r for w in found for r in _RUN.findall(w)}
+    words = {w.strip(_EDGE) for w in set(_BLANK.split(text)) if not w.isascii()}
+    runs = {r for w in words for r in _RUN.findall(w)}
+    parts = {r[i : i + k] for r in runs if len(r) > 2 and not plausible(r) for k in (2, 3, 4) for i in range(len(r) - k + 1)}
+    tails = {w[m.start() :] for w in words for m in _TAIL.finditer(w)}
+    return words, runs | parts | tails
+
+
+def _near_letters(ch: str) -> bool:
+    return ch in "’‘“”„«»—–…।"
 
 
 def plausible(piece: str) -> bool:
-    """Whether a piece could be clean: every character beyond ASCII a letter or mark of one script, or a usual sign."""
+    """Whether a piece could be clean.
+
+    Characters beyond ASCII are letters or marks of one script, quotes and dashes, or emoji;
+    other usual signs may stand in a piece, but not beside a letter of Latin, Greek or Cyrillic
+    beyond ASCII.
+    """
     if not piece:
         return False
-    scripts = set()
+    scripts, before = set(), ""
     for ch in piece:
         o = ord(ch)
-        if o < 128 or ch in "’‘“”„«»—–…€£°½©®™¿¡·•।":
-            continue
-        if o < 0xC0 or ch in "×÷":
-            return False
-        if 0xC0 <= o < 0x250:
+        kind = ""
+        if o < 128 or _near_letters(ch) or o >= 0x1F000:
+            pass
+        elif ch in "€£°½¼¾©®™¿¡•§·×÷":
+            kind = "sign"
+        elif 0xC0 <= o < 0x250:
             scripts.add("latin")
-        elif ch.isalpha() or 0x900 <= o < 0x980:
-            scripts.add(o >> 8 if o >= 0x400 else 3)
-        elif o >= 0x1F000:
-            continue
+            kind = "letter"
+        elif 0x900 <= o < 0x980:
+            scripts.add("indic")
+        elif ch.isalpha() and o >= 0x370:
+            scripts.add(o >> 8)
+            kind = "letter" if o < 0x530 else ""
         else:
             return False
+        if {kind, before} == {"sign", "letter"}:
+            return False
+        before = kind
     return len(scripts) <= 1 and not (scripts == {4} and any(ch.isascii() and ch.isalpha() for ch in piece))
 
 
+def alphabet() -> list[str]:
+    """Letters and signs that any text may hold, whether or not this corpus has them clean: by Unicode range."""
+    ranges = ((0xA1, 0x180), (0x391, 0x3CA), (0x401, 0x460), (0x905, 0x970), (0x2013, 0x2027))
+    return [chr(o) for lo, hi in ranges for o in range(lo, hi) if o != 0xAD] + ["€", "™", "\u2039", "\u203a"]
+
+
 @dataclass
 class Damage:
     """pieces: (doc_id, piece, word) of all documents; table: (piece, original, chain, lossy, sure)."""
@@ -120,10 +154,9 @@ def find_damage(df: DataFrame, key: str, text: str, scratch: Scratch | None = No
 
     Pieces are words that hold a character beyond ASCII and, so that rare names count too, the
     runs of such characters inside them. Counts are over all documents (once per document).
-    A piece is an original if it could be clean and is no garbled form of a commoner one; a
-    piece is garbled (``sure``) if it is a form of an original and could not be clean itself,
-    or is a whole word or a run of three or more letters with an original MORE times as
-    common. Anything that holds the replacement character is garbled. Null, empty and plain
+    Originals are pieces that could be clean, and the alphabet, whose counts are 0. A piece is
+    garbled (``sure``) if it is a form of an original and could not be clean itself (two
+    characters at least, or a control character), or if the original is MORE times as common. Anything that holds the replacement character is garbled. Null, empty and plain
     ASCII texts have no pieces. Repeated rows of an id count once.
     """
     scratch = scratch or Scratch(df.sparkSession, "damage")
@@ -159,19 +192,23 @@ def find_damage(df: DataFrame, key: str, text: str, scratch: Scratch | None = No
             )
 
     schema = "piece string, original string, m long, chain string, lossy boolean"
-    table = counts.select("piece", "n").mapInArrow(forms, schema)
+    letters = df.sparkSession.createDataFrame([(ch, 0) for ch in alphabet()], "piece string, n long")
+    clean = counts.select("piece", "n").unionByName(letters.join(counts, "piece", "left_anti").coalesce(1))
+    table = clean.mapInArrow(forms, schema)
     # only forms that some document holds go on; each keeps its commonest original
     hit = table.join(counts, "piece")
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sure = []
-            for p, o, n, m, lossy, word in zip(*(b.column(c).to_pylist() for c in ("piece", "original", "n", "m", "lossy", "word"))):
+            for p, n, m, chain, lossy, word in zip(*(b.column(c).to_pylist() for c in ("piece", "n", "m", "chain", "lossy", "word"))):
                 letters = sum(not ch.isascii() for ch in p)
                 if LOST in p or not plausible(p):
-                    sure.append(True)
-                elif word and len(p) > letters and not o.isascii():
-                    sure.append(m >= MORE * n and _foreign(p))
+                    sure.append(letters >= 2 or LOST in p or bool(_CONTROL.search(p)))
+                elif len(p) > letters and not word:
+                    sure.append(m >= 4 * MORE * n and chain == TIDIED)
+                elif word and len(p) > letters:
+                    sure.append(m >= n and chain == TIDIED and bool(_TAIL.search(p)) or letters >= 2 and not lossy and m >= MORE * n)
                 else:
                     sure.append(letters >= 2 and m >= MORE * n and (letters >= 3 or not lossy))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sure, pa.bool_())], names=[*b.schema.names, "sure"])
@@ -181,17 +218,12 @@ def find_damage(df: DataFrame, key: str, text: str, scratch: Scratch | None = No
         hit.select("piece", "original", "m", "chain", "lossy", "n", "word")
         .mapInArrow(judged, judged_schema)
         .groupBy("piece")
-        .agg(F.max("sure").alias("sure"), F.max(F.struct((~F.col("lossy")).alias("whole"), "m", "original", "chain")).alias("o"))
-        .select("piece", F.col("o.original").alias("original"), F.col("o.chain").alias("chain"), (~F.col("o.whole")).alias("lossy"), "sure")
+        .agg(F.max("sure").alias("sure"), F.max(F.struct("sure", (~F.col("lossy")).alias("whole"), "m", "original", "chain")).alias("o"))
+        .select("piece", F.col("o.original").alias("original"), F.col("o.chain").alias("chain"), (~F.col("o.whole")).alias("lossy"), "sure", F.col("o.m").alias("m"))
     )
     return Damage(found, scratch.put(best, "table"), docs)
 
 
-def _foreign(word: str) -> bool:
-    """Whether a word mixes its characters as clean words don't: a lone accented letter before a final s, say."""
-    return bool(re.search(r"[a-z]â(?:s|t|ll|re|ve|d)?$|^(?:l|d|n|s|j|c|qu)â", word))
-
-
 def damaged_documents(d: Damage) -> DataFrame:
     """(doc_id): documents that hold a garbled piece, restorable or not."""
     sure = d.table.where("sure").select("piece")
@@ -202,8 +234,8 @@ def damaged_documents(d: Damage) -> DataFrame:
 def restored(d: Damage) -> DataFrame:
     """(doc_id, text, n_restored, n_lost): damaged documents with verified originals put back.
 
-    Longer pieces are put back first; a piece with no lossless original stays as it is and
-    counts as lost.
+    Longer pieces are put back first. A form that lost characters is put back only for a whole
+    word whose original the corpus has twice or more; other lost pieces stay as they are.
     """
     bad = damaged_documents(d)
     fixes = (
@@ -211,7 +243,7 @@ def restored(d: Damage) -> DataFrame:
         .where("sure or not lossy")
         .join(bad, "doc_id", "left_semi")
         .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("piece", "original", "lossy", "sure")).alias("fixes"))
+        .agg(F.collect_list(F.struct("piece", "original", "lossy", "sure", F.col("word").alias("word"), "m")).alias("fixes"))
     )
     work = d.docs.join(bad, "doc_id", "left_semi").join(fixes, "doc_id", "left").select("doc_id", "text", "fixes")
 
@@ -220,7 +252,7 @@ def restored(d: Damage) -> DataFrame:
             texts, done, lost = [], [], []
             for t, fx in zip(b.column("text").to_pylist(), b.column("fixes").to_pylist()):
                 fx = fx or []
-                to = {f["piece"]: f["original"] for f in fx if f["sure"] and not f["lossy"]}
+                to = {f["piece"]: f["original"] for f in fx if f["sure"] and (not f["lossy"] or f["word"] and f["m"] >= 2 and len(f["piece"]) > 2)}
                 n = Counter()
                 if to:
                     any_of = re.compile("|".join(map(re.escape, sorted(to, key=lambda p: (-len(p), p)))))
@@ -232,7 +264,7 @@ def restored(d: Damage) -> DataFrame:
                     t = any_of.sub(swap, t)
                 texts.append(t)
                 done.append(n["done"])
-                lost.append(t.count(LOST) + sum(t.count(f["piece"]) for f in fx if f["sure"] and f["lossy"] and LOST not in f["piece"]))
+                lost.append(t.count(LOST) + sum(t.count(f["piece"]) for f in fx if f["sure"] and f["piece"] not in to and LOST not in f["piece"]))
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "text": pa.array(texts, pa.string()), "n_restored": pa.array(done, pa.int64()), "n_lost": pa.array(lost, pa.int64())})
 
     return work.mapInArrow(put_back, "doc_id long, text string, n_restored long, n_lost long")

@@ -97,20 +97,16 @@ def pack(df: DataFrame, key: str, source: str, text: str, capacity: int = CAPACI
     else:
         share = df.sparkSession.createDataFrame(list(targets.items()), "source string, share double")
     # what each bucket inherits: target minus actual tokens of the buckets before it
-    every = share.join(per.groupBy("bucket").agg(F.sum("tokens").alias("all")), F.lit(True)) if buckets == 1 else None
     size = per.groupBy("bucket").agg(F.sum("tokens").alias("all"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     size = size.withColumn("all_before", F.coalesce(F.sum("all").over(before), F.lit(0)))
     mine = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        (every if every is not None else per.select("source", "bucket"))
-        .select("source", "bucket")
-        .distinct()
-        .join(per, ["source", "bucket"], "left")
-        .withColumn("own_before", F.coalesce(F.sum("tokens").over(mine), F.lit(0)))
+    carry = scratch.put(
+        per.withColumn("own_before", F.coalesce(F.sum("tokens").over(mine), F.lit(0)))
         .join(size, "bucket")
         .join(share, "source", "left")
-        .select("bucket", "source", F.coalesce("share", F.lit(0.0)).alias("share"), (F.coalesce("share", F.lit(0.0)) * F.col("all_before") - F.col("own_before")).alias("deficit"))
+        .select("bucket", "source", F.coalesce("share", F.lit(0.0)).alias("share"), (F.coalesce("share", F.lit(0.0)) * F.col("all_before") - F.col("own_before")).alias("deficit")),
+        "carry",
     )
 
     def work(key_, left: pa.Table, right: pa.Table) -> pa.Table:

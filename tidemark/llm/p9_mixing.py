@@ -68,8 +68,8 @@ def mix(df: DataFrame, targets: DataFrame, key: str, source: str, text: str, ran
     taken relative to those of the sources that have tokens; a source without any gives no
     row and is reported with 0. Documents of other or null sources, with a null id, or
     without tokens don't take part; repeated rows of an id count once. Each pass over a source
-    goes through its documents in the same hashed order, and the last one ends with the
-    document in which the share is reached.
+    goes through its documents in the same hashed order, and a document is used if at least
+    half of it lies within its source's share.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "mix")
@@ -95,15 +95,17 @@ def mix(df: DataFrame, targets: DataFrame, key: str, source: str, text: str, ran
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranges.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).select("source", "range", "offset")
     within = Window.partitionBy("source", "range").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    # a start may lie in the block after the last one by half a document: it goes to the last
+    last_block = F.floor((F.col("need") - 1) / block)
     placed = (
         sized.join(offsets, ["source", "range"])
         .withColumn("at", F.col("offset") + F.coalesce(F.sum("tokens").over(within), F.lit(0)))
         .join(F.broadcast(facts), "source")
-        .where("at < need")
-        .withColumn("last", F.floor((F.col("need") - 1 - F.col("at")) / F.col("own")).cast("long"))
-        .select("source", "doc_id", "tokens", "at", "own", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("pass"))
+        .withColumn("last", F.floor((F.col("need") - F.col("at") - F.col("tokens") / 2) / F.col("own")).cast("long"))
+        .where("last >= 0")
+        .select("source", "doc_id", "tokens", "at", "own", "need", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("pass"))
         .withColumn("start", F.col("at") + F.col("pass") * F.col("own"))
-        .withColumn("block", F.floor(F.col("start") / block).cast("long"))
+        .withColumn("block", F.least(F.floor(F.col("start") / block), last_block).cast("long"))
     )
     # the schedule has at most MOST_BLOCKS rows and one per source
     rows = placed.join(F.broadcast(slots), ["source", "block"]).select("slot", "source", "doc_id", (F.col("pass") + 1).alias("repeat_no"), "tokens")
