@@ -50,7 +50,7 @@ def summary(c: Column, length: int = 280) -> Column:
 FURNITURE_OPENINGS = (
     r"also read|read more|read also|follow us|click here|subscribe|download the|sign up|"
     r"watch:|watch video|image credit|photo credit|(?:\()?with inputs from|first published|"
-    r"get the latest|for more cricket news|follow \w+(?: \w+)? (?:on|for)\b"
+    r"get the latest|for more cricket news|follow [\p{L}\p{N}_]+(?: [\p{L}\p{N}_]+)? (?:on|for)\b"
 )
 
 
@@ -59,7 +59,7 @@ def clean_text(c: Column) -> Column:
     steps = [
         (r"https?://\S+|www\.\S+", " "),
         (r"\S+@\S+\.\w+", " "),
-        (rf"(?im)^\s*(?:{FURNITURE_OPENINGS}).*$", ""),
+        (rf"(?imd)^\s*(?:{FURNITURE_OPENINGS}).*$", ""),
         (" ", " "),
         ("[‘’]", "'"),
         (r"[ \t]+", " "),

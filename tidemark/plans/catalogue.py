@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from tidemark.plans import serving  # noqa: F401  (importing a module registers its queries)
+from tidemark.plans.base import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
