@@ -51,7 +51,7 @@ def nearest(rows: DataFrame, cents: DataFrame, key: str = "id", vec: str = "v",
     block = F.pmod(F.xxhash64("topic"), F.lit(blocks))
     packed = cents.groupBy(block.alias("b")).agg(F.collect_list(F.struct("topic", "centroid")).alias("cs"))
     packed = F.broadcast(packed) if blocks == 1 else packed
-    r = rows.select(key, vec, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("b"))
+    r = rows.select(key, vec, F.explode(F.array(*[F.lit(i).cast("long") for i in range(blocks)])).alias("b"))
     best = F.aggregate(
         F.col("cs"),
         F.struct(F.lit(-2.0).alias("sim"), F.lit(0).cast("long").alias("minus")),

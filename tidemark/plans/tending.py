@@ -25,14 +25,14 @@ def _arrivals(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {_NEW_SEEN} SELECT coalesce(n.url, o.url) AS url, CASE WHEN n.url IS NOT NULL THEN n.outcome ELSE o.outcome END AS outcome, coalesce(n.content_hash, o.content_hash) AS content_hash,
-    epoch_ms(CASE WHEN n.url IS NOT NULL THEN n.seen_at ELSE o.seen_at END) // 1000 AS seen_at FROM arrivals n FULL OUTER JOIN old o ON n.url = o.url""")
+    epoch_us(CASE WHEN n.url IS NOT NULL THEN n.seen_at ELSE o.seen_at END) // 1000000 AS seen_at FROM arrivals n FULL OUTER JOIN old o ON n.url = o.url""")
 def upsert_seen(t: Tables) -> DataFrame:
     """Arrivals written to the seen-memory; an old hash stays where a new one is missing."""
     return merge.upsert(_seen(t), _arrivals(t), ["url"], {"content_hash": merge.keep_old_if_null}).withColumn("seen_at", F.unix_timestamp("seen_at"))
 
 
-@query(f"""WITH {_NEW_SEEN} SELECT url, outcome, content_hash, epoch_ms(seen_at) // 1000 AS seen_at FROM old UNION ALL
-    SELECT url, outcome, content_hash, epoch_ms(seen_at) // 1000 FROM arrivals WHERE url NOT IN (SELECT url FROM old)""")
+@query(f"""WITH {_NEW_SEEN} SELECT url, outcome, content_hash, epoch_us(seen_at) // 1000000 AS seen_at FROM old UNION ALL
+    SELECT url, outcome, content_hash, epoch_us(seen_at) // 1000000 FROM arrivals WHERE url NOT IN (SELECT url FROM old)""")
 def insert_if_absent(t: Tables) -> DataFrame:
     return merge.insert_if_absent(_seen(t), _arrivals(t), ["url"]).withColumn("seen_at", F.unix_timestamp("seen_at"))
 
@@ -92,7 +92,7 @@ def cluster_sizes(t: Tables) -> DataFrame:
     return merge.with_sizes(t.clusters, t.article_clusters).select("id", "size")
 
 
-@query("""SELECT article_id, model, epoch_ms(created_at) // 1000 AS created_at FROM (SELECT article_id, model, created_at, row_number() OVER (PARTITION BY article_id ORDER BY created_at DESC NULLS LAST, model) AS rn FROM article_vectors) WHERE rn = 1""")
+@query("""SELECT article_id, model, epoch_us(created_at) // 1000000 AS created_at FROM (SELECT article_id, model, created_at, row_number() OVER (PARTITION BY article_id ORDER BY created_at DESC NULLS LAST, model) AS rn FROM article_vectors) WHERE rn = 1""")
 def latest_vectors(t: Tables) -> DataFrame:
     """The last write per article wins; the vectors themselves aren't moved to find it."""
     v = merge.first_per(t.article_vectors.select("article_id", "model", "created_at"), ["article_id"], [F.desc_nulls_last("created_at"), F.asc("model")])

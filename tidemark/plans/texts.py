@@ -63,9 +63,9 @@ def clean_authors(t: Tables) -> DataFrame:
     return t.articles.select("id", text.clean_author(F.col("author")).alias("author"))
 
 
-@query("""SELECT incoming_id, epoch_ms(coalesce(
+@query("""SELECT incoming_id, epoch_us(coalesce(
         try_strptime(regexp_replace(regexp_replace(trim(published_at), '^[A-Za-z]+, *', ''), ' (GMT|UTC|UT|Z)$', ' +0000'), ['%d %b %Y %H:%M:%S %z', '%d %b %Y %H:%M %z']),
-        CASE WHEN regexp_matches(trim(published_at), '(Z|[+-][0-9][0-9]:?[0-9][0-9])$') THEN TRY_CAST(published_at AS TIMESTAMPTZ) ELSE TRY_CAST(published_at AS TIMESTAMP) AT TIME ZONE 'UTC' END)) // 1000 AS published FROM incoming_articles""")
+        CASE WHEN regexp_matches(trim(published_at), '(Z|[+-][0-9][0-9]:?[0-9][0-9])$') THEN TRY_CAST(published_at AS TIMESTAMPTZ) ELSE TRY_CAST(published_at AS TIMESTAMP) AT TIME ZONE 'UTC' END)) // 1000000 AS published FROM incoming_articles""")
 def parsed_dates(t: Tables) -> DataFrame:
     """Times of arrivals in mail or ISO form, as seconds."""
     return t.incoming_articles.select("incoming_id", F.unix_timestamp(parse_time(F.col("published_at"))).alias("published"))
