@@ -125,7 +125,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
     """(url, canonical_url, title, author, published_at, body, image_url): one row per page, body NULL where there is no text."""
     p = pages.select(F.col(url).alias("url"), _parsed(F.col(html)).alias("p"))
     meta = lambda *names: F.coalesce(*[F.nullif(F.trim(F.element_at("p.metas", F.lit(n))), F.lit("")) for n in names])
-    first = lambda path: F.filter(F.transform("p.ld", lambda o: F.get_json_object(o, path)), lambda v: v.isNotNull())[0]
+    first = lambda path: F.get(F.filter(F.transform("p.ld", lambda o: F.get_json_object(o, path)), lambda v: v.isNotNull()), F.lit(0))
     author = F.coalesce(
         clean_author(meta("author", "article:author")), clean_author(first("$.author.name")), clean_author(first("$.author[0].name")), clean_author(first("$.author"))
     )
