@@ -112,7 +112,7 @@ def test_kmeans_sweep_finds_k(spark):
 
 def test_topic_terms_and_coherence(spark):
     docs = [(1, 0, "bat ball bat"), (2, 0, "bat ball"), (3, 0, "ball bat"), (4, 1, "rain delay"), (5, 1, "rain delay rain"), (6, -1, "other")]
-    terms = spark.createDataFrame([(i, t, w) for i, t, s in docs for w in s.split()], "id long, topic long, term string")
+    terms = spark.createDataFrame([(i, t, w, s.split().count(w)) for i, t, s in docs for w in sorted(set(s.split()))], "id long, topic long, term string, n long")
     top = topics.ctfidf(terms)
     first = {r.topic: r.term for r in top.where("rank = 1").collect()}
     assert first == {0: "bat", 1: "rain"}

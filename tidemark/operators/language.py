@@ -22,11 +22,14 @@ def stop_words() -> list[str]:
     return StopWordsRemover.loadDefaultStopWords("english")
 
 
-def tokens(text: Column, stops: list[str] | None = None, least: int = 3) -> Column:
-    """Lower-case words of letters and digits that start with a letter, without stop words and short ones."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), F.lit(1))
-    stop = F.array(*[F.lit(w) for w in stops]) if stops else None
-    return F.filter(found, lambda w: (F.length(w) >= least) & (~F.array_contains(stop, w) if stops else F.lit(True)))
+def tokens(text: Column) -> Column:
+    """Lower-case words of letters and digits that start with a letter."""
+    return F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), F.lit(1))
+
+
+def is_term(token: Column, stops: list[str], least: int = 3) -> Column:
+    """Whether a token counts: long enough and no stop word. Meant for exploded tokens, where it compiles to a set lookup."""
+    return (F.length(token) >= least) & ~token.isin(stops)
 
 
 def fold_entities(text: Column, names: list[str]) -> Column:
@@ -98,7 +101,7 @@ def entity_map(ents: DataFrame) -> DataFrame:
 
 def keywords(df: DataFrame, key: str, text: str, stops: list[str], n: int = TOP_KEYWORDS) -> DataFrame:
     """(id, keywords): a document's commonest terms, ties by first place then term; words don't repeat over terms."""
-    t = df.select(F.col(key).alias("id"), F.posexplode(tokens(F.left(clean_text(F.col(text)), F.lit(KEYWORD_CHARS)), stops)).alias("pos", "term"))
+    t = df.select(F.col(key).alias("id"), F.posexplode(tokens(F.left(clean_text(F.col(text)), F.lit(KEYWORD_CHARS)))).alias("pos", "term")).where(is_term(F.col("term"), stops))
     c = t.groupBy("id", "term").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     w = Window.partitionBy("id").orderBy(F.desc("n"), "first", "term")
     top = c.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)

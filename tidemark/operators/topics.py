@@ -109,12 +109,12 @@ def davies_bouldin(members: DataFrame, topic: str = "topic", vec: str = "v") ->
 
 
 def ctfidf(doc_terms: DataFrame, topic: str = "topic", k: int = TOP_TERMS) -> DataFrame:
-    """(topic, term, score, rank) of (id, topic, term) token rows: class-based TF-IDF.
+    """(topic, term, score, rank) of (id, topic, term, n) rows: class-based TF-IDF.
 
     Totals are over all documents, also those in no topic (below 0). Equal scores are ordered by
     term.
     """
-    counts = doc_terms.groupBy(topic, "term").agg(F.count("*").alias("tf"))
+    counts = doc_terms.groupBy(topic, "term").agg(F.sum("n").alias("tf"))
     total = counts.groupBy("term").agg(F.sum("tf").alias("total"))
     whole = counts.agg(F.sum("tf").alias("words"), F.countDistinct(F.when(F.col(topic) >= 0, F.col(topic))).alias("topics"))
     a = F.col("words") / F.greatest(F.col("topics"), F.lit(1))
@@ -134,7 +134,7 @@ def npmi(doc_terms: DataFrame, topic_terms: DataFrame, n_docs: int, topic: str =
     Only the topics' own terms are counted, so the pairs are few per document.
     """
     terms = topic_terms.select("term").distinct()
-    has = doc_terms.select("id", "term").distinct().join(F.broadcast(terms), "term", "left_semi")
+    has = doc_terms.select("id", "term").join(F.broadcast(terms), "term", "left_semi").distinct()
     df = has.groupBy("term").agg(F.count("*").alias("df"))
     t = topic_terms.select(topic, "term")
     pairs = t.join(t.select(topic, F.col("term").alias("term2")), topic).where("term < term2")

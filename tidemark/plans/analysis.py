@@ -9,6 +9,7 @@ from tidemark.functions.text import entity_token, normalise_name
 from tidemark.functions.vectors import normalised
 from tidemark.operators import clustering, language, topics
 from tidemark.plans.base import KEYWORDS, MODEL, STOPS, Tables, query
+from tidemark.session import cut
 from tidemark.streaming import jobs
 
 #: What ends a team's and a tournament's name in the test data.
@@ -116,11 +117,12 @@ _TERMS = f"""part AS (SELECT article_id AS id, min(cluster_id) AS topic FROM art
 
 
 def _terms(t: Tables) -> DataFrame:
-    """(id, topic, term) tokens of all articles; topic -1 for those in none."""
+    """(id, topic, term, n) terms of all articles with their counts; topic -1 for those in none."""
     c = t.active_clusters.select(F.col("id").alias("cluster_id"))
     part = t.article_clusters.join(F.broadcast(c), "cluster_id").groupBy(F.col("article_id").alias("id")).agg(F.min("cluster_id").alias("topic"))
-    a = t.articles.select("id", language.tokens(F.col("body"), list(STOPS)).alias("ts")).join(part, "id", "left")
-    return a.select("id", F.coalesce("topic", F.lit(-1)).alias("topic"), F.explode("ts").alias("term"))
+    a = t.articles.select("id", F.explode(language.tokens(F.col("body"))).alias("term")).where(language.is_term(F.col("term"), list(STOPS)))
+    n = a.groupBy("id", "term").agg(F.count("*").alias("n"))
+    return n.join(part, "id", "left").select("id", F.coalesce("topic", F.lit(-1)).alias("topic"), "term", "n")
 
 
 @query(f"WITH {_TERMS} SELECT topic::BIGINT AS topic, term, round(score, 6) AS score, rank FROM best")
@@ -137,7 +139,9 @@ def ctfidf(t: Tables) -> DataFrame:
 def npmi(t: Tables) -> DataFrame:
     """How often the terms of a topic go together."""
     terms = _terms(t)
-    return topics.npmi(terms, topics.ctfidf(terms), t.articles.count()).select(F.col("topic").cast("long").alias("topic"), "npmi")
+    # one row per topic and term: small, and read four times
+    top = cut(topics.ctfidf(terms))
+    return topics.npmi(terms, top, t.articles.count()).select(F.col("topic").cast("long").alias("topic"), "npmi")
 
 
 @query(f"WITH {_TERMS} SELECT topic::BIGINT AS topic, string_agg(CASE WHEN regexp_matches(term, '[0-9]') THEN upper(term) ELSE upper(left(term, 1)) || substr(term, 2) END, ' · ' ORDER BY rank) AS label FROM best WHERE rank <= 3 GROUP BY 1")

@@ -22,11 +22,12 @@ _BLOCK = {"p", "h2", "h3", "li", "blockquote"}
 
 
 class _Page(HTMLParser):
-    """Collects metas, JSON-LD, the canonical link, the first time, and text blocks with where they stand."""
+    """Collects metas (a property goes before a name), JSON-LD, the canonical link, the first time, and text blocks with where they stand."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.metas: dict[str, str] = {}
+        self.names: dict[str, str] = {}
+        self.properties: dict[str, str] = {}
         self.ld: list[str] = []
         self.title = self.canonical = self.time = None
         self.blocks: list[tuple[bool, str]] = []
@@ -38,9 +39,10 @@ class _Page(HTMLParser):
         a = {k: v or "" for k, v in attrs}
         if tag == "meta":
             value = a.get("content", "").strip()
-            for name in ("property", "name", "itemprop"):
-                if value and a.get(name):
-                    self.metas.setdefault(a[name].lower(), value)
+            if value and a.get("property"):
+                self.properties.setdefault(a["property"].lower(), value)
+            elif value and (a.get("name") or a.get("itemprop")):
+                self.names.setdefault((a.get("name") or a["itemprop"]).lower(), value)
         elif tag == "link" and a.get("rel", "").lower() == "canonical":
             self.canonical = self.canonical or a.get("href")
         elif tag == "time" and a.get("datetime"):
@@ -112,7 +114,7 @@ def parse_page(html: str | None) -> dict | None:
     inside = [t for main, t in page.blocks if main] or [t for _, t in page.blocks]
     if not inside:
         return None
-    return {"body": "\n".join(inside), "heading": page.title, "canonical": page.canonical, "time": page.time, "metas": page.metas, "ld": [json.dumps(o) for o in json_objects(page.ld)]}
+    return {"body": "\n".join(inside), "heading": page.title, "canonical": page.canonical, "time": page.time, "metas": page.names | page.properties, "ld": [json.dumps(o) for o in json_objects(page.ld)]}
 
 
 @F.pandas_udf(SCHEMA)
