@@ -83,7 +83,7 @@ class Clusters:
     vectors: Vectors
 
 
-def pivot_clusters(v: Vectors, scratch: Scratch, least: float = 0.55, smallest: int = 4, copies: int = 6, ratio: float = 1.2, list_size: int = 400) -> Clusters:
+def pivot_clusters(v: Vectors, scratch: Scratch, least: float = 0.55, smallest: int = 4, copies: int = 8, ratio: float = 1.3, list_size: int = 400) -> Clusters:
     """Stars around pivots, and groups of at least ``smallest`` ids connected by links of cosine ``least`` or more.
 
     group_id is the smallest id of the group. Copies of one vector belong together. The links

@@ -38,7 +38,7 @@ def _best(k: int, least: float):
     return work
 
 
-def neighbours(v: Vectors, k: int = 5, least: float = -1.0, copies: int = 6, ratio: float = 1.2, list_size: int = 400) -> DataFrame:
+def neighbours(v: Vectors, k: int = 5, least: float = -1.0, copies: int = 8, ratio: float = 1.3, list_size: int = 400) -> DataFrame:
     """(id, other, cos, rank): up to k others of every id by cosine (double), those of at least ``least``.
 
     Ties go to the smaller id. A row's candidates are the vectors it shares a posting list

@@ -157,7 +157,7 @@ def fit(v: Vectors, list_size: int = LIST, fit_rows: int = FIT_ROWS, seed: int =
     return Centroids(c, hubs, [np.flatnonzero(at == h) for h in range(len(hubs))], near, load * (n / len(x))), n
 
 
-def in_lists(v: Vectors, c: Centroids, work: Callable[[np.ndarray, np.ndarray, np.ndarray], pa.Table], schema: str, copies: int = 6, ratio: float = 1.2) -> DataFrame:
+def in_lists(v: Vectors, c: Centroids, work: Callable[[np.ndarray, np.ndarray, np.ndarray], pa.Table], schema: str, copies: int = 8, ratio: float = 1.3) -> DataFrame:
     """``work(ids, unit vectors, sides)`` over every posting list; its rows together.
 
     A vector is in its nearest list and in those at no more than ``ratio`` times that
