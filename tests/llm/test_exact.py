@@ -235,15 +235,17 @@ def test_linkage(spark):
     scratch = Scratch(spark, "t1")
     history = p1_linkage.build_history(spark.createDataFrame(arts, ARTICLE), spark.createDataFrame(seen, SEEN), scratch)
     batch = scratch.put(p1_linkage.prepare(spark.createDataFrame(inc, INCOMING)), "batch")
-    met, cases = p1_linkage.link(batch, history)
+    links = p1_linkage.link(batch, history)
+    cases = links.cases
     want = linkage_brute(arts, seen, inc)
     got = {r.incoming_id for r in cases.collect()}
     assert got == want and {1, 2, 3, 4, 6} <= got and 5 not in got and 100 not in got and set(range(101, 140)) <= got
-    reps = {r.incoming_id: r for r in p1_linkage.representatives(met).collect()}
-    assert set(reps) <= got and reps[1].n_clusters >= 1
+    reps = {r.incoming_id: r for r in p1_linkage.representatives(batch, links).collect()}
+    assert set(reps) == {r[0] for r in inc if r[0] is not None} and reps[1].n_clusters >= 1
+    assert len({reps[100 + k].rep for k in range(40)}) == 1 and reps[6].rep == reps[5].rep != reps[9].rep
     # the accepted rows join history: sent again, everything is a case but rows that hold nothing
     later = p1_linkage.add_to_history(history, batch.join(cases, "incoming_id", "left_anti"), scratch)
-    again = {r.incoming_id for r in p1_linkage.link(batch, later)[1].collect()}
+    again = {r.incoming_id for r in p1_linkage.link(batch, later).cases.collect()}
     assert again == {i for i in {r[0] for r in inc} if i is not None} - {9, 10}
 
 
@@ -251,10 +253,10 @@ def test_linkage_of_nothing(spark):
     scratch = Scratch(spark, "t1")
     empty = p1_linkage.build_history(spark.createDataFrame([], ARTICLE), spark.createDataFrame([], SEEN), scratch)
     none = p1_linkage.prepare(spark.createDataFrame([], INCOMING))
-    assert p1_linkage.link(none, empty)[1].count() == 0
+    assert p1_linkage.link(none, empty).cases.count() == 0
     one = p1_linkage.prepare(spark.createDataFrame([(1, "https://x.example", None, None, None, "t", "b", None), (2, "https://x.example/", None, None, None, "u", "c", None)], INCOMING))
-    met, cases = p1_linkage.link(one, empty)
-    assert [r.incoming_id for r in cases.collect()] == [2] and p1_linkage.representatives(met).count() == 0
+    links = p1_linkage.link(one, empty)
+    assert [r.incoming_id for r in links.cases.collect()] == [2] and len({r.rep for r in p1_linkage.representatives(one, links).collect()}) == 1
 
 
 def test_block_pairs_meet_within_three_bits(spark):

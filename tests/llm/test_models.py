@@ -209,6 +209,20 @@ def test_counts_are_the_tokenizer_s(spark):
     assert [got[i] for i in range(len(texts))] == want and got[99] == 0
 
 
+def test_very_long_runs_are_counted():
+    of = tokens.counter()
+    import base64
+
+    import tiktoken
+
+    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(tokens.RANKS, "rb"))}
+    plain = tiktoken.Encoding("x", pat_str=tokens.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+    for text in ("a" + " " * 6000 + "b", "\n" * 7000, "x" + "\t" * 5001 + "é" + " " * 5500, "ab " * 4000, "\u3000" * 5200 + "7"):
+        assert of(text) == len(plain(text))
+    for text in (" " * 2_000_000 + "end", "a" * 1_000_000, "." * 1_000_000, "7" * 1_000_000, "क" * 300_000):
+        assert of(text) > 1000
+
+
 @pytest.mark.parametrize("capacity", [64, 512])
 def test_packing(spark, capacity):
     df = documents(spark, extra=ODD)

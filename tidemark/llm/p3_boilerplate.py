@@ -24,6 +24,8 @@ from tidemark.llm.common import one_row_per_id
 #: Pages that the classifier's sample may have at most (about), chosen by a hash of their id.
 FIT_PAGES = 4_000
 SLOTS = 1 << 17
+#: Characters from which a line is story for the sample's labels.
+LONG = 3_000
 #: Smoothness: next line without and with a blank between; a line of like kind two further on.
 NEXT, APART, LIKE = 0.9, 0.6, 0.3
 
@@ -62,7 +64,13 @@ _TOKEN = re.compile(r"\w+|[^\w\s]")
 
 
 def weak_label(line: str) -> int | None:
-    """1 furniture, 0 story, None unknown: what the seed phrases say of a line."""
+    """1 furniture, 0 story, None unknown: what the seed phrases say of a line.
+
+    A line of more than LONG characters is story: furniture isn't that long, and patterns are
+    slow on it.
+    """
+    if len(line) > LONG:
+        return 0
     bars = len(parts := _BAR.split(line.strip()))
     t = " ".join(line.split())
     if _SEED.match(t) or _SITE_SEED.search(t):

@@ -139,7 +139,10 @@ def _multipliers() -> tuple[np.ndarray, np.ndarray]:
 
 def bit_sketch(x: np.ndarray, by: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Of BITS minimum hashes of a set: one bit each as two words, and one byte each."""
-    low = (x[:, None] * by[0] + by[1]).min(axis=0) >> np.uint64(20)
+    low = np.full(BITS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(x), 4096):
+        low = np.minimum(low, (x[at : at + 4096, None] * by[0] + by[1]).min(axis=0))
+    low >>= np.uint64(20)
     return np.packbits((low & np.uint64(1)).astype(np.uint8)).view("<u8"), ((low >> np.uint64(1)) & np.uint64(255)).astype(np.uint8)
 
 

@@ -22,19 +22,19 @@ def _p1(spark: SparkSession, sf_dir: str):
     scratch = Scratch(spark, "p1")
     history = p1_linkage.build_history(read(spark, sf_dir, "articles"), read(spark, sf_dir, "seen_articles"), scratch)
     batch = scratch.put(p1_linkage.prepare(read(spark, sf_dir, "incoming_articles")), "batch")
-    return p1_linkage.link(batch, history)
+    return batch, p1_linkage.link(batch, history)
 
 
 @query
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incoming rows that repeat history or an earlier new row."""
-    return _p1(spark, sf_dir)[1].select(F.col("incoming_id").cast("long").alias("incoming_id"))
+    return _p1(spark, sf_dir)[1].cases.select(F.col("incoming_id").cast("long").alias("incoming_id"))
 
 
 @query
 def p1_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cluster each linked row joins, with the score of its best link."""
-    return p1_linkage.representatives(_p1(spark, sf_dir)[0])
+    """The cluster of every incoming row after the batch, with the score of its best link."""
+    return p1_linkage.representatives(*_p1(spark, sf_dir))
 
 
 @query
