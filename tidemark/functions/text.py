@@ -110,3 +110,10 @@ def clean_author(c: Column) -> Column:
     t = strip(c)
     bad = F.lower(t).isin("", "null", "none", "unknown", "n/a") | F.lower(t).startswith("http")
     return F.when(~bad, t)
+
+
+def ago(time: Column, now: Column) -> Column:
+    """How long before ``now`` in words: minutes under an hour, hours under a day, else days."""
+    s = F.unix_timestamp(now) - F.unix_timestamp(time)
+    part = lambda n, unit: F.concat(F.floor(s / n).cast("string"), F.lit(unit))
+    return F.when(s < 60, "just now").when(s < 3600, part(60, " min ago")).when(s < 86400, part(3600, " h ago")).otherwise(part(86400, " days ago"))

@@ -115,3 +115,30 @@ def sentiment(text: Column, good=GOOD, bad=BAD) -> Column:
     score = lambda ws: (F.size(F.filter(ws, lambda w: F.array_contains(g, w))) - F.size(F.filter(ws, lambda w: F.array_contains(b, w)))).cast("double")
     each = F.transform(sentences, lambda ws: score(ws) / F.sqrt(score(ws) * score(ws) + 15))
     return F.coalesce(F.round(F.aggregate(each, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(each), F.lit(0)), 4), F.lit(0.0))
+
+
+# Words that make a place name a ground.
+VENUE = (
+    r"(?i)\b(stadium|ground|oval|park|gardens?|arena|cricket club|sports? (?:city|complex)|academy|lord's|wankhede|chinnaswamy|chepauk|mcg|scg|"
+    r"gabba|waca|wanderers|kingsmead|centurion|newlands|headingley|edgbaston|trent bridge|old trafford)\b"
+)
+# What a tagger's labels are called here, and openings that are no name.
+TAGGER = {"PERSON": "PERSON", "ORG": "ORG", "FAC": "VENUE", "GPE": "PLACE", "LOC": "PLACE", "EVENT": "EVENT"}
+NO_NAME = ("follow", "read", "watch", "also", "click", "subscribe")
+
+
+def tagged(ents: DataFrame, stoplist: list[str] = []) -> DataFrame:  # noqa: B006
+    """(id, label, name, n) of a tagger's (id, label, name, n): labels renamed, and names dropped that are none.
+
+    Dropped are unknown labels, names of the stop list, of under three or over sixty
+    characters or with a digit, footer phrases, and venues without a word for a ground.
+    """
+    label = F.coalesce(*[F.when(F.col("label") == a, F.lit(b)) for a, b in TAGGER.items()])
+    low = F.lower("name")
+    good = (
+        label.isNotNull() & F.length("name").between(3, 60) & ~F.col("name").rlike(r"\d") & ~F.element_at(F.split(low, " "), 1).isin(*NO_NAME)
+        & ((label != "VENUE") | F.col("name").rlike(VENUE))
+    )
+    if stoplist:
+        good = good & ~low.isin(*[s.lower() for s in stoplist])
+    return ents.where(good).select("id", label.alias("label"), "name", "n").groupBy("id", "label", "name").agg(F.sum("n").alias("n"))

@@ -100,3 +100,15 @@ class Lock:
         if self.held:
             os.unlink(self.path)
             self.held = False
+
+
+def recent_runs(runs: DataFrame, n: int = 10) -> DataFrame:
+    """(started_at, new): the last n runs, oldest first, with each source's inserted articles as a map."""
+    per = runs.groupBy("started_at").agg(F.map_from_entries(F.collect_list(F.struct("source_id", "inserted"))).alias("new"))
+    return per.orderBy(F.desc("started_at")).limit(n).orderBy("started_at")
+
+
+def last_good_crawl(runs: DataFrame) -> DataFrame:
+    """One row: when a run last ended without failing."""
+    ok = F.col("finished_at").isNotNull() & F.get(F.transform(F.array("details"), lambda d: F.element_at(d, "failed")), F.lit(0)).isNull()
+    return runs.where(ok).agg(F.max("finished_at").alias("last_crawl"))
