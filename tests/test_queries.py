@@ -32,3 +32,17 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_arguments_are_checked(spark, data):
+    from tidemark.plans import serving, trends
+    from tidemark.plans.base import Tables
+
+    t = Tables(spark, data)
+    for bad in (lambda: serving.check_page("newest", 0, 20), lambda: serving.check_page("newest", 1, 3), lambda: serving.check_page("x", 1, 20, "q" * 101), lambda: serving.check_days(0),
+                lambda: serving.articles(t, topic="x"), lambda: trends.check_range("2026-01-02", "2026-01-01"), lambda: trends.check_range("2024-01-01", "2026-01-01")):
+        with pytest.raises(ValueError):
+            bad()
+    assert trends.check_range("2026-01-01", "2026-01-14") == 14
+    assert trends.default_range(t, "2026-01-14") == ("2026-01-01", "2026-01-14") and trends.default_range(t)[1] >= "2026-01-01"
+    assert serving.page_of(serving.articles(t), "unknown order", 1, 5).count() == 5

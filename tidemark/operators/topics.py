@@ -42,23 +42,42 @@ def assign_threshold(sims: DataFrame, percentile: float = ASSIGN_PERCENTILE, flo
 def nearest(rows: DataFrame, cents: DataFrame, key: str = "id", vec: str = "v", most: int = 20_000) -> DataFrame:
     """(id, topic, sim): the closest centroid of every row, the smaller topic among equals.
 
-    Centroids are counted first: up to ``most`` they go to every task as one array and rows
-    don't move; beyond that rows meet them in blocks.
+    Centroids are counted first and go to the tasks in blocks of about ``most``, as a matrix
+    that whole Arrow batches are multiplied with; rows don't move. Rows whose vector is null or
+    of another length have no result.
     """
-    if (n := cents.count()) == 0:
-        return rows.sparkSession.createDataFrame([], f"{key} long, topic long, sim double")
-    blocks = max(1, -(-n // most))
-    block = F.pmod(F.xxhash64("topic"), F.lit(blocks))
-    packed = cents.groupBy(block.alias("b")).agg(F.collect_list(F.struct("topic", "centroid")).alias("cs"))
-    packed = F.broadcast(packed) if blocks == 1 else packed
-    r = rows.select(key, vec, F.explode(F.array(*[F.lit(i).cast("long") for i in range(blocks)])).alias("b"))
-    best = F.aggregate(
-        F.col("cs"),
-        F.struct(F.lit(-2.0).alias("sim"), F.lit(0).cast("long").alias("minus")),
-        lambda acc, c: F.greatest(acc, F.struct(dot(F.col(vec), c["centroid"]).alias("sim"), (-c["topic"].cast("long")).alias("minus"))),
-    )
-    got = r.join(packed, "b").select(key, best.alias("m"))
-    return got.groupBy(key).agg(F.max("m").alias("m")).select(key, (-F.col("m.minus")).alias("topic"), F.col("m.sim").alias("sim"))
+    kind = dict(rows.dtypes)[key]
+    out = f"{key} {kind}, topic long, sim double"
+    n = cents.count()
+    blocks = -(-n // most)
+    met = rows.sparkSession.createDataFrame([], out)
+    for i in range(blocks):
+        part = cents.where(F.pmod(F.xxhash64("topic"), F.lit(blocks)) == i).select("topic", "centroid").orderBy("topic").collect()
+        if part:
+            met = met.unionByName(rows.select(key, vec).mapInArrow(_closest(part, key, vec), out))
+    if blocks <= 1:
+        return met
+    best = met.groupBy(key).agg(F.max(F.struct("sim", (-F.col("topic")).alias("minus"))).alias("m"))
+    return best.select(key, (-F.col("m.minus")).alias("topic"), F.col("m.sim").alias("sim"))
+
+
+def _closest(part: list, key: str, vec: str):
+    import numpy as np
+    import pyarrow as pa
+
+    ids = np.array([r["topic"] for r in part], np.int64)
+    matrix = np.array([r["centroid"] for r in part], float).T
+
+    def work(batches):
+        for b in batches:
+            v = b.column(vec)
+            at = np.flatnonzero(np.asarray(v.value_lengths().fill_null(-1)) == len(matrix))
+            x = np.asarray(v.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False), float).reshape(len(at), len(matrix))
+            sim = x @ matrix
+            best = sim.argmax(axis=1) if len(at) else at
+            yield pa.RecordBatch.from_pydict({key: b.column(key).take(pa.array(at)), "topic": pa.array(ids[best]), "sim": pa.array(sim[np.arange(len(at)), best])})
+
+    return work
 
 
 def nearest_column(cents: DataFrame, most: int = 500):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import entity_token, normalise_name
 from tidemark.functions.vectors import normalised
-from tidemark.operators import clustering, language, topics
+from tidemark.operators import clustering, embedding, language, model, topics
 from tidemark.plans.base import KEYWORDS, MODEL, STOPS, Tables, query
 from tidemark.session import cut
 from tidemark.streaming import jobs
@@ -248,6 +248,41 @@ def stable_keys(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(sorted(got.items()), "id int, stable_key string")
 
 
+def usable_vectors(t: Tables) -> DataFrame:
+    """(id, v): each article's latest vector, of full length, without NaN and not all zero."""
+    v = F.col("embedding")
+    ok = v.isNotNull() & (F.size(v) == 384) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)) & F.exists(v, lambda x: x != 0)
+    last = t.article_vectors.groupBy("article_id").agg(F.max_by("embedding", F.struct("created_at", "embedding")).alias("embedding"))
+    return last.where(ok).select(F.col("article_id").alias("id"), F.col("embedding").alias("v"))
+
+
+@query(f"""WITH latest AS (SELECT article_id AS id, arg_max(embedding, row(created_at, embedding))::DOUBLE[] AS v FROM article_vectors GROUP BY 1),
+    u AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM latest WHERE v IS NOT NULL AND len(v) = 384 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x))) = 0 AND list_dot_product(v, v) > 0),
+    c AS (SELECT id AS cluster_id, list_transform(centroid::DOUBLE[], lambda x: x / sqrt(list_dot_product(centroid::DOUBLE[], centroid::DOUBLE[]))) AS c FROM clusters WHERE model_id = {MODEL} AND centroid IS NOT NULL),
+    n AS (SELECT id, cluster_id, list_dot_product(v, c) AS sim FROM u CROSS JOIN c QUALIFY row_number() OVER (PARTITION BY id ORDER BY list_dot_product(v, c) DESC, cluster_id) = 1)
+    SELECT id, CASE WHEN sim >= 0.42 THEN cluster_id::BIGINT END AS cluster_id, CASE WHEN sim >= 0.42 THEN round(sim, 4) END AS score FROM n""")
+def assign_articles(t: Tables) -> DataFrame:
+    """All article vectors against the active model's topics; without a topic where none is near enough."""
+    c = t.active_clusters.where(F.col("centroid").isNotNull()).select("id", "centroid")
+    return model.assign(usable_vectors(t), c, 0.42).withColumn("cluster_id", F.col("cluster_id").cast("long"))
+
+
+@query()
+def fit_topics(t: Tables) -> DataFrame:
+    """A model fitted on all article vectors, its keys carried over from stored models; iterative, so there is no SQL."""
+    terms = _terms(t).select("id", "term", "n")
+    got = model.fit(usable_vectors(t), terms, t.clusters.select("id", "model_id", "centroid", "stable_key"), 7, 1_000_000)
+    if got is None:
+        return t.spark.createDataFrame([], "id int, label string, size int, stable_key string")
+    return got.clusters.select("id", "label", "size", "stable_key")
+
+
+@query()
+def text_vectors(t: Tables) -> DataFrame:
+    """Vectors of all articles without a downloaded model; the weights depend on a hash, so there is no SQL."""
+    return embedding.hashed_embeddings(t.articles, "id", "title", "body")
+
+
 # ---------------------------------------------------------------- events
 
 @query("SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) // 1000000 AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

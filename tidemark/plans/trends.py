@@ -27,6 +27,17 @@ def check_range(start: str, end: str) -> int:
     return n
 
 
+def default_range(t: Tables, end: str | None = None, days: int = 14) -> tuple[str, str]:
+    """The range shown when none is asked for: the last fourteen days that have articles, or of ``end``."""
+    import datetime as dt
+
+    if end is None:
+        last = t.articles.agg(F.max(day()).alias("d")).first()["d"] or dt.date.today()
+    else:
+        last = dt.date.fromisoformat(end)
+    return (last - dt.timedelta(days=days - 1)).isoformat(), last.isoformat()
+
+
 def _in_range(d: Column, start: str, end: str) -> Column:
     return d.between(F.lit(start).cast("date"), F.lit(end).cast("date"))
 
