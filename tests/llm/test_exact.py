@@ -177,6 +177,16 @@ def test_hot_segments_are_split(spark, monkeypatch):
     assert {(r.id_a, r.id_b) for r in p6_neardup.document_pairs(near).collect()} == near_brute(docs, 3, 0.6)
 
 
+def test_hot_segments_leave_while_a_block_is_read(spark, monkeypatch):
+    monkeypatch.setattr(p6_neardup, "HOT", 5)
+    monkeypatch.setattr(p6_neardup, "BLOCK", 2)
+    rng = random.Random(5)
+    docs = list(enumerate(family(rng, 40, [i % 3 for i in range(40)]))) + [(100 + i, words(rng, 40)) for i in range(5)]
+    df = spark.createDataFrame(docs, "id long, body string").repartition(4)
+    near = p6_neardup.near_duplicates(df, "id", "body", 3, 0.6)
+    assert {(r.id_a, r.id_b) for r in p6_neardup.document_pairs(near).collect()} == near_brute(docs, 3, 0.6)
+
+
 def test_near_duplicates_of_nothing(spark):
     for rows in ([], [(1, None), (2, "")]):
         near = p6_neardup.near_duplicates(spark.createDataFrame(rows, "id long, body string"), "id", "body")

@@ -296,40 +296,85 @@ def near_duplicates(df: DataFrame, key: str, body: str, width: int = 5, sim: flo
         k = len(x)
         zero = np.zeros(k, np.int64)
         cols = [np.ascontiguousarray(c).view(np.int64) if c is not None else zero for c in (x, y, z, u, v)]
-        return pa.table({"kind": pa.array(np.full(k, kind, np.int32)), "x": cols[0], "y": cols[1], "z": cols[2], "u": cols[3], "v": cols[4], "n": pa.array(np.zeros(k, np.int32) if n is None else np.asarray(n).astype(np.int32)), "sig": pa.nulls(k, pa.binary()) if sig is None else pa.array([q.tobytes() for q in sig], pa.binary())})
-
-    def meet(t: pa.Table) -> pa.Table:
-        m = np.concatenate([np.frombuffer(x.as_buffer(), MEMBER) for x in t.column("members")])
-        e = np.concatenate([np.frombuffer(x.as_buffer(), ENTRY) for x in t.column("entries")])
-        out = [table(0, m["id"], m["s"], m["g"], m["n"], sig=m["k"])]
-        e = e[np.lexsort((e["g"], e["t"]))]
-        if len(e):
-            e = e[np.r_[True, (e["t"][1:] != e["t"][:-1]) | (e["g"][1:] != e["g"][:-1])]]
-            start = np.flatnonzero(np.r_[True, e["t"][1:] != e["t"][:-1]])
-            size = np.diff(np.r_[start, len(e)])
-            found = []
-            for k in np.unique(size[(size > 1) & (size <= HOT)]):
-                at = start[size == k]
-                i, j = np.triu_indices(k, 1)
-                step = max(1, 500_000 // len(i))
-                for lo in range(0, len(at), step):
-                    base = at[lo : lo + step, None]
-                    for c0 in range(0, len(i), 500_000):
-                        a, b = e[(base + i[c0 : c0 + 500_000]).ravel()], e[(base + j[c0 : c0 + 500_000]).ravel()]
-                        ok = allowed(a, b)
-                        found.append(ordered(a[ok], b[ok]))
-            if found:
-                p = np.unique(np.concatenate(found), axis=0)
-                out.append(table(1, p[:, 0], p[:, 1]))
-            hot = np.repeat(size > HOT, size)
-            if hot.any():
-                h = e[hot]
-                part = np.uint64(t.column("part")[0].as_py()) << np.uint64(32)
-                out.append(table(2, h["t"].astype(np.uint64) | part, h["g"], None, h["c"], h["u"], h["v"]))
-        return pa.concat_tables(out)
+        return pa.table({"kind": pa.array(np.full(k, kind, np.int32)), "x": pa.array(cols[0]), "y": pa.array(cols[1]), "z": pa.array(cols[2]), "u": pa.array(cols[3]), "v": pa.array(cols[4]), "n": pa.array(np.zeros(k, np.int32) if n is None else np.asarray(n).astype(np.int32)), "sig": pa.nulls(k, pa.binary()) if sig is None else pa.array([q.tobytes() for q in sig], pa.binary())})
+
+    def runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and lengths of equal keys in sorted order."""
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        return start, np.diff(np.r_[start, len(key)])
+
+    def pairs_of(key: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Distinct (g1, g2) of groups that share a key, of entries sorted by key."""
+        start, size = runs(key)
+        found = []
+        for k in np.unique(size[size > 1]):
+            at = start[size == k]
+            i, j = np.triu_indices(k, 1)
+            step = max(1, 500_000 // len(i))
+            for lo in range(0, len(at), step):
+                base = at[lo : lo + step, None]
+                for c0 in range(0, len(i), 500_000):
+                    a, b = e[(base + i[c0 : c0 + 500_000]).ravel()], e[(base + j[c0 : c0 + 500_000]).ravel()]
+                    ok = allowed(a, b)
+                    found.append(ordered(a[ok], b[ok]))
+        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.uint64)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Members as they come, pairs of groups (kind 1), and the entries of hot segments (kind 2).
+
+        A segment that is hot once leaves with all its later entries at once, so what is held
+        is a block's share of the others however many groups share one segment.
+        """
+        hot = np.zeros(0, np.uint64)
+        keys: list[np.ndarray] = []
+        held: list[np.ndarray] = []
+        size, most = 0, 8 * BLOCK
+
+        def wide(key: np.ndarray, e: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if len(e):
+                yield from table(2, key, e["g"], None, e["c"], e["u"], e["v"]).to_batches()
+
+        def settled() -> Iterator[pa.RecordBatch]:
+            """Sorts what is held, once per (key, group), and lets hot segments go."""
+            nonlocal hot, keys, held, size
+            key, e = np.concatenate(keys), np.concatenate(held)
+            order = np.lexsort((e["g"], key))
+            key, e = key[order], e[order]
+            once = np.r_[True, (key[1:] != key[:-1]) | (e["g"][1:] != e["g"][:-1])]
+            key, e = key[once], e[once]
+            start, n = runs(key)
+            now = np.repeat(n > HOT, n)
+            hot = np.union1d(hot, key[start[n > HOT]])
+            yield from wide(key[now], e[now])
+            keys, held, size = [key[~now]], [e[~now]], int((~now).sum())
+
+        for b in batches:
+            parts_of = b.column("part").to_pylist()
+            for k, part in enumerate(parts_of):
+                m = np.frombuffer(b.column("members")[k].as_buffer(), MEMBER)
+                if len(m):
+                    yield from table(0, m["id"], m["s"], m["g"], m["n"], sig=m["k"]).to_batches()
+                e = np.frombuffer(b.column("entries")[k].as_buffer(), ENTRY)
+                key = e["t"].astype(np.uint64) | np.uint64(part) << np.uint64(32)
+                if len(hot):
+                    gone = np.isin(key, hot)
+                    yield from wide(key[gone], e[gone])
+                    key, e = key[~gone], e[~gone]
+                keys.append(key)
+                held.append(e)
+                size += len(e)
+                if size > most:
+                    yield from settled()
+                    most = max(8 * BLOCK, 2 * size)
+        if size:
+            yield from settled()
+            if size:
+                p = pairs_of(keys[0], held[0])
+                yield from table(1, p[:, 0], p[:, 1]).to_batches()
 
     schema = "kind int, x long, y long, z long, u long, v long, n int, sig binary"
-    met = scratch.put(docs.mapInArrow(emit, "part int, entries binary, members binary").groupBy("part").applyInArrow(meet, schema), "met")
+    packed = docs.mapInArrow(emit, "part int, entries binary, members binary").repartition(parts, "part")
+    met = scratch.put(packed.mapInArrow(meet, schema), "met")
     groups = met.where("kind = 1").select(F.col("x").alias("g1"), F.col("y").alias("g2"))
     wide = met.where("kind = 2")
     if not wide.isEmpty():
