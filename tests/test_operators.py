@@ -140,3 +140,12 @@ def test_refit_reasons():
 def test_nearest_without_centroids(spark):
     rows = spark.createDataFrame([(1, [1.0])], "id long, v array<double>")
     assert topics.nearest(rows, spark.createDataFrame([], "topic long, centroid array<double>")).count() == 0
+
+
+def test_key_phrases_share_no_word(spark):
+    text = "Slow left arm spin won the day. Slow left arm spin again, said the coach of spin. Rain came and rain stayed."
+    df = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "the and was")], "id long, body string")
+    got = {r.id: r.phrases for r in language.key_phrases(df, "id", "body", ["the", "and", "was", "again", "said"]).collect()}
+    assert set(got) == {1} and got[1][0] == "slow left arm" and "rain" in got[1] and "spin" in got[1]
+    words = " ".join(got[1]).split()
+    assert len(words) == len(set(words)) and len(got[1]) <= 10

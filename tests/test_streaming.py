@@ -45,3 +45,28 @@ def test_assign_stream_is_a_column(spark):
     v = spark.createDataFrame([(1, [0.9, 0.1]), (2, [0.5, 0.5]), (3, [-1.0, -1.0])], "id long, v array<double>")
     got = {r.id: r.topic for r in jobs.assign_stream(v, cents, 0.4).collect()}
     assert got == {1: 3, 2: 3, 3: None}
+
+
+def test_near_duplicates_over_batches(spark, tmp_path):
+    schema = "k long, simhash long, seen_at timestamp"
+    d = lambda n: dt.datetime(2026, 1, n)
+    src, kept, ck = (str(tmp_path / n) for n in ("src", "kept", "ck"))
+    run = lambda: jobs.near_duplicates(spark.readStream.schema(schema).parquet(src), kept, ck).awaitTermination()
+    spark.createDataFrame([(1, 0, d(1)), (2, 1, d(2)), (3, 0b11111, d(2)), (4, None, d(2))], schema).coalesce(1).write.parquet(src)
+    run()
+    assert {r.k for r in spark.read.parquet(kept).collect()} == {1, 3}
+    spark.createDataFrame([(5, 0b1111111, d(3)), (6, 0, d(20)), (7, 1 << 40, d(20)), (8, -1, d(20))], schema).coalesce(1).write.mode("append").parquet(src)
+    run()
+    # 5 repeats 3; 6 is too late for 1; 7 repeats 6
+    assert {r.k for r in spark.read.parquet(kept).collect()} == {1, 3, 6, 8}
+
+
+def test_history_outlives_batches(spark, tmp_path):
+    src, history = str(tmp_path / "src"), str(tmp_path / "history")
+    schema = "day date, cluster_id int, n long"
+    live = lambda df: df.groupBy("day", "cluster_id").agg(F.sum("n").alias("article_count")).select("day", "cluster_id", F.lit(1).alias("model_id"), F.lit("x").alias("label"), "article_count", F.lit(0.5).alias("avg_sentiment"))
+    for k, rows in enumerate([[(dt.date(2026, 1, 1), 1, 5)], [(dt.date(2026, 1, 1), 1, 3), (dt.date(2026, 1, 2), 1, 4)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        jobs.keep_history(spark.readStream.schema(schema).parquet(src), live, history, str(tmp_path / "ck")).awaitTermination()
+        got = {(r.day.day, r.article_count) for r in spark.read.parquet(f"{history}/version={k}").collect()}
+    assert got == {(1, 5), (2, 4)}

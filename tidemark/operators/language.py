@@ -108,6 +108,26 @@ def keywords(df: DataFrame, key: str, text: str, stops: list[str], n: int = TOP_
     return top.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "term"))), lambda s: s["term"]).alias("keywords"))
 
 
+def key_phrases(df: DataFrame, key: str, text: str, stops: list[str], n: int = TOP_KEYWORDS, longest: int = 3, pool: int = 60) -> DataFrame:
+    """(id, phrases): phrases of one to three words by count times length, no word twice.
+
+    A phrase neither begins nor ends with a stop word or a short word, and longer ones occur
+    twice or more. Of the ``pool`` best of a document, each is taken whose words none before
+    it has; ties go to the first place in the text.
+    """
+    ts = tokens(F.left(clean_text(F.col(text)), F.lit(KEYWORD_CHARS)))
+    words = df.select(F.col(key).alias("id"), ts.alias("ts")).select("id", "ts", F.posexplode("ts").alias("pos", "w")).where(is_term(F.col("w"), stops))
+    size = F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("ts") - F.col("pos"))))
+    grams = words.select("id", "pos", F.col("ts"), size.alias("k")).select("id", "pos", "k", F.slice("ts", F.col("pos") + 1, F.col("k")).alias("g"))
+    grams = grams.where(is_term(F.element_at("g", -1), stops))
+    c = grams.groupBy("id", "g").agg(F.count("*").alias("c"), F.min("pos").alias("first"), F.max("k").alias("k")).where("k = 1 or c >= 2")
+    w = Window.partitionBy("id").orderBy(F.desc(F.col("c") * F.col("k")), "first", F.desc("k"))
+    best = c.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= pool).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rn", "g"))).alias("l"))
+    none = F.array().cast("array<array<string>>")
+    kept = F.aggregate("l", none, lambda acc, x: F.when((F.size(acc) < n) & ~F.arrays_overlap(F.flatten(acc), x["g"]), F.concat(acc, F.array(x["g"]))).otherwise(acc))
+    return best.select("id", F.transform(kept, lambda g: F.array_join(g, " ")).alias("phrases"))
+
+
 def sentiment(text: Column, good=GOOD, bad=BAD) -> Column:
     """Mean over sentences of three words or more of (good - bad) / sqrt((good - bad)^2 + 15); 0 without sentences."""
     g, b = F.array(*map(F.lit, good)), F.array(*map(F.lit, bad))

@@ -62,13 +62,13 @@ def fit(window: DataFrame, terms: DataFrame, old: DataFrame, model_id: int, firs
     numbers = rows.sparkSession.createDataFrame([(t, i, keys.get(t)) for t, i in number.items()], "topic long, id int, kept string")
     fresh = F.substring(F.sha2(F.concat_ws("/", F.lit(str(model_id)), F.col("id").cast("string")), 256), 1, 10)
     clusters = (
-        cents.join(F.broadcast(numbers), "topic")
+        cents.join(numbers, "topic")
         .join(named, "topic", "left")
         .join(listed, "topic", "left")
         .join(coherence.withColumnRenamed("npmi", "coherence_npmi"), "topic", "left")
         .select("id", F.lit(model_id).alias("model_id"), "label", "terms", "coherence_npmi", F.col("centroid").cast("array<float>").alias("centroid"), F.col("n").cast("int").alias("size"), F.coalesce("kept", fresh).alias("stable_key"))
     )
-    scores = topics.member_scores(members, cents).join(F.broadcast(numbers.select("topic", F.col("id").alias("cluster_id"))), "topic")
+    scores = topics.member_scores(members, cents).join(numbers.select("topic", F.col("id").alias("cluster_id")), "topic")
     return Fit(algorithm, threshold, quality, n, cut(clusters), cut(scores.select(F.col("id").alias("article_id"), "cluster_id", "score")))
 
 

@@ -21,7 +21,7 @@ def centroids(members: DataFrame, topic: str = "topic", vec: str = "v") -> DataF
 
 def member_scores(members: DataFrame, cents: DataFrame, key: str = "id", topic: str = "topic", vec: str = "v") -> DataFrame:
     """(id, topic, score): closeness of each member to its topic's centre."""
-    return members.join(F.broadcast(cents), topic).select(key, topic, F.round(dot(F.col(vec), F.col("centroid")), 4).alias("score"))
+    return members.join(cents, topic).select(key, topic, F.round(dot(F.col(vec), F.col("centroid")), 4).alias("score"))
 
 
 def leave_one_out(members: DataFrame, key: str = "id", topic: str = "topic", vec: str = "v") -> DataFrame:
@@ -30,7 +30,7 @@ def leave_one_out(members: DataFrame, key: str = "id", topic: str = "topic", vec
     sums = sum_vectors(m, [topic], vec, "s").join(m.groupBy(topic).agg(F.count("*").alias("n")), topic).where("n > 1")
     x = F.col(vec)
     rest = F.zip_with(F.col("s"), x.cast("array<double>"), lambda a, b: a - b)
-    j = m.join(F.broadcast(sums), topic).withColumn("rest", rest)
+    j = m.join(sums, topic).withColumn("rest", rest)
     return j.select(key, topic, (dot(x, F.col("rest")) / F.greatest(F.sqrt(dot(F.col("rest"), F.col("rest"))), F.lit(1e-12))).alias("sim"))
 
 
@@ -119,7 +119,7 @@ def davies_bouldin(members: DataFrame, topic: str = "topic", vec: str = "v") ->
     def far(u: Column, v: Column) -> Column:
         return F.sqrt(F.aggregate(F.zip_with(u.cast("array<double>"), v, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
-    spread = m.join(F.broadcast(cent), topic).groupBy(topic).agg(F.avg(far(F.col(vec), F.col("c"))).alias("spread"))
+    spread = m.join(cent, topic).groupBy(topic).agg(F.avg(far(F.col(vec), F.col("c"))).alias("spread"))
     t = cent.join(spread, topic)
     other = t.select(F.col(topic).alias("o"), F.col("c").alias("oc"), F.col("spread").alias("os"))
     pairs = t.join(F.broadcast(other), F.col(topic) != F.col("o"))
@@ -153,13 +153,13 @@ def npmi(doc_terms: DataFrame, topic_terms: DataFrame, n_docs: int, topic: str =
     Only the topics' own terms are counted, so the pairs are few per document.
     """
     terms = topic_terms.select("term").distinct()
-    has = doc_terms.select("id", "term").join(F.broadcast(terms), "term", "left_semi").distinct()
+    has = doc_terms.select("id", "term").join(terms, "term", "left_semi").distinct()
     df = has.groupBy("term").agg(F.count("*").alias("df"))
     t = topic_terms.select(topic, "term")
     pairs = t.join(t.select(topic, F.col("term").alias("term2")), topic).where("term < term2")
     wanted = pairs.select("term", "term2").distinct()
     together = (
-        has.join(F.broadcast(wanted), "term")
+        has.join(wanted, "term")
         .join(has.select("id", F.col("term").alias("term2")), ["id", "term2"])
         .groupBy("term", "term2")
         .agg(F.count("*").alias("both"))
@@ -229,4 +229,13 @@ def scaled(points: DataFrame, keys: list[str], axes: tuple[str, ...] = ("x", "y"
     span = {a: F.col(f"_hi_{a}") - F.col(f"_lo_{a}") for a in axes}
     out = [((F.col(a) - F.col(f"_lo_{a}")) / F.when(span[a] == 0, 1.0).otherwise(span[a])).alias(a) for a in axes]
     rest = [c for c in points.columns if c not in axes and c not in keys]
-    return points.join(F.broadcast(lo_hi), keys).select(*keys, *rest, *out)
+    return points.join(lo_hi, keys).select(*keys, *rest, *out)
+
+
+def metrics(members: DataFrame, topic: str = "topic", vec: str = "v") -> DataFrame:
+    """One row: records, topics, unassigned, coverage, silhouette and Davies-Bouldin index of a labelling."""
+    n = members.agg(F.count("*").alias("articles"), F.countDistinct(F.when(F.col(topic) >= 0, F.col(topic))).alias("topics"), F.count_if(F.col(topic) < 0).alias("unassigned"))
+    s = silhouette(members, topic=topic, vec=vec).agg(F.round(F.avg("s"), 6).alias("silhouette"))
+    d = davies_bouldin(members, topic, vec).select(F.round("davies_bouldin", 6).alias("davies_bouldin"))
+    share = F.round((F.col("articles") - F.col("unassigned")) / F.nullif(F.col("articles"), F.lit(0)), 4)
+    return n.withColumn("coverage", share).join(F.broadcast(s)).join(F.broadcast(d))

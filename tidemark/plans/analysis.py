@@ -76,6 +76,12 @@ def keyword_top(t: Tables) -> DataFrame:
     return t.article_nlp.select(F.explode("keywords").alias("keyword")).groupBy("keyword").agg(F.count("*").alias("articles")).orderBy(F.desc("articles"), "keyword").limit(12)
 
 
+@query()
+def key_phrases(t: Tables) -> DataFrame:
+    """Phrases of each article; they are chosen one after the other, so there is no SQL."""
+    return language.key_phrases(t.articles, "id", "body", list(STOPS))
+
+
 _GOOD, _BAD = (", ".join(f"'{w}'" for w in ws) for ws in (language.GOOD, language.BAD))
 _MOOD = f"""mood AS (SELECT id, source_id, coalesce(round(list_sum(list_transform(s, lambda x: x / sqrt(x * x + 15))) / nullif(len(s), 0), 4), 0) AS mood FROM (
     SELECT id, source_id, list_transform(list_filter(list_transform(regexp_split_to_array(lower(body), '[.!?]+\\s+|\\n+'), lambda z: list_filter(regexp_split_to_array(z, '[^a-z0-9''-]+'), lambda w: w <> '')), lambda ws: len(ws) >= 3),
@@ -88,7 +94,7 @@ def _mood(t: Tables) -> DataFrame:
 
 @query(f"WITH {_MOOD} SELECT s.name AS source, count(*) AS articles, round(avg(mood), 3) + 0.0 AS mood FROM mood m JOIN sources s ON s.id = m.source_id GROUP BY 1")
 def sentiment_by_source(t: Tables) -> DataFrame:
-    s = F.broadcast(t.sources.select(F.col("id").alias("source_id"), F.col("name").alias("source")))
+    s = t.sources.select(F.col("id").alias("source_id"), F.col("name").alias("source"))
     return _mood(t).join(s, "source_id").groupBy("source").agg(F.count("*").alias("articles"), (F.round(F.avg("mood"), 3) + 0.0).alias("mood"))
 
 
@@ -119,7 +125,7 @@ _TERMS = f"""part AS (SELECT article_id AS id, min(cluster_id) AS topic FROM art
 def _terms(t: Tables) -> DataFrame:
     """(id, topic, term, n) terms of all articles with their counts; topic -1 for those in none."""
     c = t.active_clusters.select(F.col("id").alias("cluster_id"))
-    part = t.article_clusters.join(F.broadcast(c), "cluster_id").groupBy(F.col("article_id").alias("id")).agg(F.min("cluster_id").alias("topic"))
+    part = t.article_clusters.join(c, "cluster_id").groupBy(F.col("article_id").alias("id")).agg(F.min("cluster_id").alias("topic"))
     a = t.articles.select("id", F.explode(language.tokens(F.col("body"))).alias("term")).where(language.is_term(F.col("term"), list(STOPS)))
     n = a.groupBy("id", "term").agg(F.count("*").alias("n"))
     return n.join(part, "id", "left").select("id", F.coalesce("topic", F.lit(-1)).alias("topic"), "term", "n")
@@ -211,6 +217,20 @@ def davies_bouldin(t: Tables) -> DataFrame:
     return topics.davies_bouldin(_v(t)).select(F.round("davies_bouldin", 6).alias("davies_bouldin"))
 
 
+_SIL = """d AS (SELECT v.id, v.topic, s.topic AS o, s.n, list_dot_product(v.v, s.s) AS x FROM v CROSS JOIN sums s WHERE v.topic >= 0),
+    ab AS (SELECT id, topic, max(CASE WHEN o = topic THEN (n - x) / (n - 1) END) AS a, min(CASE WHEN o <> topic THEN 1 - x / n END) AS b, max(CASE WHEN o = topic THEN n END) AS n FROM d GROUP BY 1, 2),
+    m AS (SELECT topic, list_transform(s, lambda x: x / n) AS c FROM sums), sp AS (SELECT topic, m.c, avg(list_distance(v.v, m.c)) AS s FROM v JOIN m USING (topic) GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_V.replace('label::BIGINT AS topic', 'CASE WHEN label >= 8 THEN -1 ELSE label END::BIGINT AS topic').replace('FROM v) GROUP BY 1, 2)', 'FROM v WHERE topic >= 0) GROUP BY 1, 2)')}, {_SIL}
+    SELECT (SELECT count(*) FROM v) AS articles, (SELECT count(DISTINCT topic) FROM v WHERE topic >= 0) AS topics, (SELECT count(*) FROM v WHERE topic < 0) AS unassigned, round((SELECT count(*) FROM v WHERE topic >= 0) / (SELECT count(*) FROM v), 4) AS coverage,
+    (SELECT round(avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) FROM ab) AS silhouette,
+    (SELECT round(avg(w), 6) FROM (SELECT a.topic, max((a.s + b.s) / list_distance(a.c, b.c)) AS w FROM sp a JOIN sp b ON a.topic <> b.topic GROUP BY 1)) AS davies_bouldin""")
+def model_metrics(t: Tables) -> DataFrame:
+    """The report of a labelling that leaves two labels unassigned."""
+    return topics.metrics(_v(t).withColumn("topic", F.when(F.col("topic") >= 8, F.lit(-1).cast("long")).otherwise(F.col("topic"))))
+
+
 @query("""WITH p AS (SELECT vec_id AS id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), r AS (SELECT label, min(x) AS x0, max(x) - min(x) AS xr, min(y) AS y0, max(y) - min(y) AS yr FROM p GROUP BY 1)
     SELECT id, round((x - x0) / CASE WHEN xr = 0 THEN 1 ELSE xr END, 6) AS x, round((y - y0) / CASE WHEN yr = 0 THEN 1 ELSE yr END, 6) AS y FROM p JOIN r USING (label)""")
 def projection_minmax(t: Tables) -> DataFrame:

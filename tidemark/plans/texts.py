@@ -10,7 +10,7 @@ from tidemark.functions.simhash import simhash64
 from tidemark.functions.urls import canonical_url
 from tidemark.operators import dedup, validate
 from tidemark.plans.base import DAY, Tables, clean_sql, query
-from tidemark.sources.feeds import fresh, parse_time
+from tidemark.sources.feeds import fresh, map_urls, parse_time, rss_items
 from tidemark.sources.pages import archive_name, extract
 
 _W = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"
@@ -136,7 +136,7 @@ def near_dup_resolved(t: Tables) -> DataFrame:
     FROM articles a JOIN sources s ON s.id = a.source_id GROUP BY 1""")
 def word_stats_by_source(t: Tables) -> DataFrame:
     """Quality report per source."""
-    a = t.articles.join(F.broadcast(t.sources.select(F.col("id").alias("source_id"), F.col("name").alias("source"))), "source_id")
+    a = t.articles.join(t.sources.select(F.col("id").alias("source_id"), F.col("name").alias("source")), "source_id")
     n, d = F.count("*"), F.to_date(F.coalesce("published_at", "scraped_at"))
     missing = F.count_if(F.col("author").isNull())
     return a.groupBy("source").agg(
@@ -214,3 +214,24 @@ def extract_pages(t: Tables) -> DataFrame:
     pages = d.select(F.concat(F.lit("https://x.example/"), F.col("doc_id")).alias("url"), html.alias("html"))
     e = extract(pages).where(F.col("body").isNotNull())
     return e.select(F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("doc_id"), F.trim("title").alias("title"), F.md5("body").alias("body_hash"))
+
+
+@query("""SELECT link, published, count(*) AS n FROM (SELECT trim(url) AS link, epoch_us(coalesce(
+        try_strptime(regexp_replace(regexp_replace(trim(published_at), '^[A-Za-z]+, *', ''), ' (GMT|UTC|UT|Z)$', ' +0000'), ['%d %b %Y %H:%M:%S %z', '%d %b %Y %H:%M %z']),
+        CASE WHEN regexp_matches(trim(published_at), '(Z|[+-][0-9][0-9]:?[0-9][0-9])$') THEN TRY_CAST(published_at AS TIMESTAMPTZ) ELSE TRY_CAST(published_at AS TIMESTAMP) AT TIME ZONE 'UTC' END)) // 1000000 AS published
+    FROM incoming_articles WHERE trim(url) <> '') GROUP BY 1, 2""")
+def rss_feed(t: Tables) -> DataFrame:
+    """Items of feeds that are built around arrivals: links with their times."""
+    xml = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    item = F.concat(F.lit("<rss><channel><item><title>x</title><link>"), xml(F.col("url")), F.lit("</link><pubDate>"), xml(F.coalesce("published_at", F.lit(""))), F.lit("</pubDate></item><item><title>no link</title></item></channel></rss>"))
+    got = rss_items(t.incoming_articles.where(F.col("url").isNotNull()).select(item.alias("feed")))
+    return got.groupBy("link", F.unix_timestamp("published").alias("published")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT trim(url) AS link, epoch_us(published_at) // 1000000 AS published FROM articles WHERE url LIKE '%/reports/%' AND NOT contains(url, '&')")
+def site_map(t: Tables) -> DataFrame:
+    """Addresses of one section out of site maps that are built around articles."""
+    last = F.coalesce(F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(""))
+    xml = F.concat(F.lit("<urlset><url><loc>"), F.col("url"), F.lit("</loc><lastmod>"), last, F.lit("</lastmod></url><url><loc>https://x.example/about</loc></url></urlset>"))
+    got = map_urls(t.articles.where(F.col("url").isNotNull() & ~F.contains("url", F.lit("&"))).select(xml.alias("xml")), section="/reports/")
+    return got.select("link", F.unix_timestamp("published").alias("published"))

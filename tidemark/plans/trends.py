@@ -49,7 +49,7 @@ def live(t: Tables, start: str = FROM, end: str = TO, source: str | None = None)
     s = t.sources.where(F.col("name") == source) if source else t.sources
     a = a.join(s.select(F.col("id").alias("source_id")), "source_id", "left_semi")
     c = t.active_clusters.where(F.col("stable_key").isNotNull()).select(F.col("id").alias("cluster_id"), "stable_key")
-    return a.join(t.article_clusters.select("article_id", "cluster_id"), "article_id").join(F.broadcast(c), "cluster_id").groupBy("day", "stable_key").agg(F.count("*").alias("n"))
+    return a.join(t.article_clusters.select("article_id", "cluster_id"), "article_id").join(c, "cluster_id").groupBy("day", "stable_key").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_LIVE} SELECT CAST(day AS VARCHAR) AS day, stable_key, n FROM live")
@@ -61,7 +61,7 @@ def trends_live(t: Tables) -> DataFrame:
 def trends_totals(t: Tables) -> DataFrame:
     """All articles of one source per day, in a topic or not."""
     s = t.sources.where("name = 'creasecourier'").select(F.col("id").alias("source_id"))
-    a = t.articles.where(F.col("duplicate_of").isNull() & _in_range(day(), FROM, TO)).join(F.broadcast(s), "source_id", "left_semi")
+    a = t.articles.where(F.col("duplicate_of").isNull() & _in_range(day(), FROM, TO)).join(s, "source_id", "left_semi")
     return a.groupBy(day().cast("string").alias("day")).agg(F.count("*").alias("n"))
 
 
@@ -133,7 +133,7 @@ def topic_days(t: Tables, until: str | None = None) -> DataFrame:
     c = t.active_clusters.select(F.col("id").alias("cluster_id"), "model_id", "label")
     score = F.when(~F.isnan("score"), F.col("score").cast("double"))
     ac = t.article_clusters.select("article_id", "cluster_id", score.alias("score"))
-    return a.join(ac, "article_id").join(F.broadcast(c), "cluster_id").groupBy("day", "cluster_id", "model_id", "label").agg(F.count("*").alias("article_count"), F.round(F.avg("score"), 6).alias("avg_sentiment"))
+    return a.join(ac, "article_id").join(c, "cluster_id").groupBy("day", "cluster_id", "model_id", "label").agg(F.count("*").alias("article_count"), F.round(F.avg("score"), 6).alias("avg_sentiment"))
 
 
 def _topic_days_sql(where: str = "TRUE") -> str:
@@ -273,5 +273,5 @@ def stale_map(t: Tables) -> DataFrame:
 @query(f"""SELECT c.stable_key, count(*) AS articles, row_number() OVER (ORDER BY count(*) DESC, c.stable_key) AS place FROM article_clusters ac JOIN clusters c ON c.id = ac.cluster_id WHERE c.model_id = {MODEL} AND c.stable_key IS NOT NULL GROUP BY 1""")
 def topic_places(t: Tables) -> DataFrame:
     """Topics by size; the window is over one row per topic of a model."""
-    n = t.article_clusters.join(F.broadcast(t.active_clusters.where(F.col("stable_key").isNotNull()).select(F.col("id").alias("cluster_id"), "stable_key")), "cluster_id").groupBy("stable_key").agg(F.count("*").alias("articles"))
+    n = t.article_clusters.join(t.active_clusters.where(F.col("stable_key").isNotNull()).select(F.col("id").alias("cluster_id"), "stable_key"), "cluster_id").groupBy("stable_key").agg(F.count("*").alias("articles"))
     return n.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("articles"), "stable_key")).cast("long"))

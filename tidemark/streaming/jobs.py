@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import content_hash, word_count
 from tidemark.functions.urls import canonical_url
-from tidemark.operators import topics
+from tidemark.operators import dedup, merge, topics
+from tidemark.session import cut
 
 
 def tumbling(events: DataFrame, time: str, width: str, keys: list[str], late: str, aggregates: list[Column]) -> DataFrame:
@@ -55,6 +56,52 @@ def ingest(stream: DataFrame, table: str, seen: str, checkpoint: str):
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def near_duplicates(stream: DataFrame, kept: str, checkpoint: str, days: int = dedup.WINDOW_DAYS, distance: int = dedup.DISTANCE):
+    """A query that keeps arrivals (k, simhash, seen_at) without a near-duplicate kept in the days before.
+
+    The memory is the folder of kept values, of which only the window's batches are read; it is
+    bounded by the window and not by the stream. A micro-batch overwrites its own subfolder.
+    """
+
+    def batch(df: DataFrame, n: int) -> None:
+        spark = df.sparkSession
+        new = df.where(F.col("simhash").isNotNull()).select("k", "simhash", "seen_at").dropDuplicates(["k"])
+        since = new.agg(F.min("seen_at").alias("t")).first()["t"]
+        old = _read_if_there(spark, kept, "k long, simhash long, seen_at timestamp, batch int").where(F.col("batch") != n).select("k", "simhash", "seen_at")
+        if since is not None:
+            old = old.where(F.col("seen_at") >= F.lit(since) - F.expr(f"INTERVAL {days} DAYS"))
+        both = cut(old.withColumn("first", F.lit(0)).unionByName(new.withColumn("first", F.lit(1))))
+        # what is kept already goes before what is new, then by time
+        order = F.struct("first", "seen_at", "k")
+        pairs = dedup.near_pairs(both, "k", "simhash", distance)
+        of = lambda c, s: both.select(F.col("k").alias(c), order.alias(f"o{s}"), F.col("seen_at").alias(f"t{s}"))
+        j = pairs.join(of("a", 1), "a").join(of("b", 2), "b")
+        turn = F.col("o1") > F.col("o2")
+        edges = j.where(F.abs(F.unix_timestamp("t1") - F.unix_timestamp("t2")) <= days * 86400).where(~((F.col("o1.first") == 0) & (F.col("o2.first") == 0)))
+        edges = edges.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"))
+        again = dedup.keep_first(both.select("k"), edges)
+        new.join(again.select("k"), "k", "left_anti").write.mode("overwrite").parquet(f"{kept}/batch={n}")
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def keep_history(stream: DataFrame, live, history: str, checkpoint: str):
+    """A query that merges live daily counts into a kept history after every micro-batch.
+
+    ``live`` makes the counts of a batch's session (day, cluster_id, model_id, label,
+    article_count, avg_sentiment). Versions are written beside each other; the merge is the
+    same when it is run again, as counts only grow.
+    """
+    schema = "day date, cluster_id int, model_id int, label string, article_count long, avg_sentiment double, version int"
+
+    def batch(df: DataFrame, n: int) -> None:
+        spark = df.sparkSession
+        old = _read_if_there(spark, history, schema).where(F.col("version") == n - 1).drop("version")
+        merge.merge_daily(old, live(df)).write.mode("overwrite").parquet(f"{history}/version={n}")
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def _read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)
