@@ -156,7 +156,8 @@ def find_damage(df: DataFrame, key: str, text: str, scratch: Scratch | None = No
     runs of such characters inside them. Counts are over all documents (once per document).
     Originals are pieces that could be clean, and the alphabet, whose counts are 0. A piece is
     garbled (``sure``) if it is a form of an original and could not be clean itself (two
-    characters at least, or a control character), or if the original is MORE times as common. Anything that holds the replacement character is garbled. Null, empty and plain
+    characters at least, or a control character), if it is three letters that a quote, dash or
+    other sign turns into, or if the original is MORE times as common. Anything that holds the replacement character is garbled. Null, empty and plain
     ASCII texts have no pieces. Repeated rows of an id count once.
     """
     scratch = scratch or Scratch(df.sparkSession, "damage")
@@ -201,12 +202,14 @@ def find_damage(df: DataFrame, key: str, text: str, scratch: Scratch | None = No
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sure = []
-            for p, n, m, chain, lossy, word in zip(*(b.column(c).to_pylist() for c in ("piece", "n", "m", "chain", "lossy", "word"))):
+            for p, o, n, m, chain, lossy, word in zip(*(b.column(c).to_pylist() for c in ("piece", "original", "n", "m", "chain", "lossy", "word"))):
                 letters = sum(not ch.isascii() for ch in p)
                 if LOST in p or not plausible(p):
                     sure.append(letters >= 2 or LOST in p or bool(_CONTROL.search(p)))
+                elif letters >= 3 and chain.startswith("utf-8>") and not lossy and not any(map(str.isalnum, o)):
+                    sure.append(True)  # three letters that a sign turns into, as letters of words don't stand together
                 elif len(p) > letters and not word:
-                    sure.append(m >= 4 * MORE * n and chain == TIDIED)
+                    sure.append(m >= MORE * n and chain == TIDIED)
                 elif word and len(p) > letters:
                     sure.append(m >= n and chain == TIDIED and bool(_TAIL.search(p)) or letters >= 2 and not lossy and m >= MORE * n)
                 else:
