@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import pretty
 from tidemark.functions.vectors import dot, normalised, sum_vectors
+from tidemark.session import cut
 
 ASSIGN_PERCENTILE, ASSIGN_FLOOR, MATCH_LEAST = 0.10, 0.30, 0.75
 TOP_TERMS = 10
@@ -153,7 +154,8 @@ def npmi(doc_terms: DataFrame, topic_terms: DataFrame, n_docs: int, topic: str =
     Only the topics' own terms are counted, so the pairs are few per document.
     """
     terms = topic_terms.select("term").distinct()
-    has = doc_terms.select("id", "term").join(terms, "term", "left_semi").distinct()
+    # rows of the topics' own terms only; read three times
+    has = cut(doc_terms.select("id", "term").join(terms, "term", "left_semi").distinct())
     df = has.groupBy("term").agg(F.count("*").alias("df"))
     t = topic_terms.select(topic, "term")
     pairs = t.join(t.select(topic, F.col("term").alias("term2")), topic).where("term < term2")

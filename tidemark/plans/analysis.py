@@ -79,7 +79,7 @@ def keyword_top(t: Tables) -> DataFrame:
 @query()
 def key_phrases(t: Tables) -> DataFrame:
     """Phrases of each article; they are chosen one after the other, so there is no SQL."""
-    return language.key_phrases(t.articles, "id", "body", list(STOPS))
+    return language.key_phrases(t.bodies, "id", "body", list(STOPS))
 
 
 _GOOD, _BAD = (", ".join(f"'{w}'" for w in ws) for ws in (language.GOOD, language.BAD))
@@ -89,7 +89,7 @@ _MOOD = f"""mood AS (SELECT id, source_id, coalesce(round(list_sum(list_transfor
 
 
 def _mood(t: Tables) -> DataFrame:
-    return t.articles.select("id", "source_id", language.sentiment(F.col("body")).alias("mood"))
+    return t.bodies.select("id", "source_id", language.sentiment(F.col("body")).alias("mood"))
 
 
 @query(f"WITH {_MOOD} SELECT s.name AS source, count(*) AS articles, round(avg(mood), 3) + 0.0 AS mood FROM mood m JOIN sources s ON s.id = m.source_id GROUP BY 1")
@@ -126,7 +126,7 @@ def _terms(t: Tables) -> DataFrame:
     """(id, topic, term, n) terms of all articles with their counts; topic -1 for those in none."""
     c = t.active_clusters.select(F.col("id").alias("cluster_id"))
     part = t.article_clusters.join(c, "cluster_id").groupBy(F.col("article_id").alias("id")).agg(F.min("cluster_id").alias("topic"))
-    a = t.articles.select("id", F.explode(language.tokens(F.col("body"))).alias("term")).where(language.is_term(F.col("term"), list(STOPS)))
+    a = t.bodies.select("id", F.explode(language.tokens(F.col("body"))).alias("term")).where(language.is_term(F.col("term"), list(STOPS)))
     n = a.groupBy("id", "term").agg(F.count("*").alias("n"))
     return n.join(part, "id", "left").select("id", F.coalesce("topic", F.lit(-1)).alias("topic"), "term", "n")
 

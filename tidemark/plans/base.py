@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import language
+from tidemark.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -85,7 +86,12 @@ class Tables:
     @cached_property
     def article_nlp(self) -> DataFrame:
         """(article_id, keywords): keywords of stored articles."""
-        return language.keywords(self.articles, "id", "body", list(STOPS)).withColumnRenamed("id", "article_id")
+        return language.keywords(self.bodies, "id", "body", list(STOPS)).withColumnRenamed("id", "article_id")
+
+    @cached_property
+    def bodies(self) -> DataFrame:
+        """(id, source_id, body) of articles, spread for work on their words."""
+        return spread(self.articles.select("id", "source_id", "body"), "id")
 
 
 #: ``Tables.assigned`` in SQL.

@@ -10,6 +10,7 @@ from tidemark.functions.simhash import simhash64
 from tidemark.functions.urls import canonical_url
 from tidemark.operators import dedup, validate
 from tidemark.plans.base import DAY, Tables, clean_sql, query
+from tidemark.session import spread
 from tidemark.sources.feeds import fresh, map_urls, parse_time, rss_items
 from tidemark.sources.pages import archive_name, extract
 
@@ -34,7 +35,8 @@ def content_hash(t: Tables) -> DataFrame:
 @query("SELECT id, simhash FROM articles WHERE simhash IS NOT NULL")
 def simhash64_articles(t: Tables) -> DataFrame:
     """SimHash values computed anew; the SQL reads the stored ones."""
-    return t.articles.where(F.col("simhash").isNotNull()).select("id", simhash64(F.col("body")).alias("simhash"))
+    a = spread(t.articles.where(F.col("simhash").isNotNull()).select("id", "body"), "id")
+    return a.select("id", simhash64(F.col("body")).alias("simhash"))
 
 
 @query("SELECT id, canonical_url FROM articles WHERE canonical_url IS NOT NULL AND url IS NOT NULL")

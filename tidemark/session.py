@@ -48,6 +48,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over all cores, by a hash of a key, if it has fewer partitions than there are cores.
+
+    For heavy work on small inputs, which come as a file or two; larger inputs stay where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 class Scratch:
     """Parquet tables under the shared folder, for one query.
 
