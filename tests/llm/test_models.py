@@ -319,6 +319,21 @@ def test_garbled_text_is_found_and_put_back(spark):
     assert set(back) == set(bad) and back[2004].n_restored == 1
 
 
+def test_words_with_one_garbled_letter(spark):
+    clean = ["“We saw Rardrualeí für José Peña at the end,” said NÉO", "NÃO é bom, 1º lugar, custa 1¼ ou 5 m²"]
+    rows = [(i, f"{clean[i % 2]} in part {i}") for i in range(40)]
+    bad = {
+        100: ("Then RardrualeÃ won", "Then Rardrualeí won"), 101: ("âWe won it", "“We won it"), 102: ("at the end,â said one", "at the end,” said one"),
+        103: ("This is f³r all", "This is für all"), 104: ("So JosÚ won", "So José won"), 105: ("PeÒa won", "Peña won"),
+    }
+    # copies of one text make a garbled word no commoner
+    rows += [(i, t) for i, (t, _) in bad.items()] + [(200 + k, bad[104][0]) for k in range(30)]
+    d = p10_encoding.find_damage(spark.createDataFrame(rows, "i long, t string"), "i", "t")
+    assert {r.doc_id for r in p10_encoding.damaged_documents(d).collect()} == set(bad) | {200 + k for k in range(30)}
+    back = {r.doc_id: r.text for r in p10_encoding.restored(d).collect()}
+    assert all(back[i] == t for i, (_, t) in bad.items())
+
+
 def test_encoding_of_nothing(spark):
     for rows in ([], [(1, None), (2, "ascii")]):
         d = p10_encoding.find_damage(spark.createDataFrame(rows, "i long, t string"), "i", "t")

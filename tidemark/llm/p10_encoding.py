@@ -142,7 +142,7 @@ def alphabet() -> list[str]:
 
 @dataclass
 class Damage:
-    """pieces: (doc_id, piece, word) of all documents; table: (piece, original, chain, lossy, sure)."""
+    """pieces: (doc_id, copy, piece, word) of all documents; table: (piece, original, chain, lossy, sure)."""
 
     pieces: DataFrame
     table: DataFrame
@@ -153,48 +153,54 @@ def find_damage(df: DataFrame, key: str, text: str, scratch: Scratch | None = No
     """Pieces of the corpus, and the garbled ones with their originals.
 
     Pieces are words that hold a character beyond ASCII and, so that rare names count too, the
-    runs of such characters inside them. Counts are over all documents (once per document).
-    Originals are pieces that could be clean, and the alphabet, whose counts are 0. A piece is
-    garbled (``sure``) if it is a form of an original and could not be clean itself (two
-    characters at least, or a control character), if it is three letters that a quote, dash or
-    other sign turns into, or if the original is MORE times as common. Anything that holds the replacement character is garbled. Null, empty and plain
-    ASCII texts have no pieces. Repeated rows of an id count once.
+    runs of such characters inside them. Counts are over all documents (once per document) and
+    over distinct texts, so that copies of a garbled text don't make it common. Originals are
+    pieces that could be clean, and the alphabet, whose counts are 0. A piece is garbled
+    (``sure``) if it is a form of an original and could not be clean itself (two characters at
+    least, or a control character), if it is three letters that a quote, dash or other sign
+    turns into, or if the original is MORE times as common by either count. A whole word, be it
+    of one such character only, is garbled if its original is a word of MORE times as many
+    texts; if it could not be clean, any word with another letter in its place will do, and any
+    commoner word. Anything that holds the replacement character is garbled. Null, empty and
+    plain ASCII texts have no pieces. Repeated rows of an id count once.
     """
     scratch = scratch or Scratch(df.sparkSession, "damage")
     docs = one_row_per_id(df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), "doc_id")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, out, kind = [], [], []
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+            ids, copies, out, kind = [], [], [], []
+            for i, c, t in zip(*(b.column(c).to_pylist() for c in ("doc_id", "copy", "text"))):
                 if not t:
                     continue
                 words, runs = pieces(t)
                 for group, is_word in ((words, True), (runs - words, False)):
                     ids += [i] * len(group)
+                    copies += [c] * len(group)
                     out += group
                     kind += [is_word] * len(group)
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "piece": pa.array(out, pa.string()), "word": pa.array(kind, pa.bool_())})
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "copy": pa.array(copies, pa.int64()), "piece": pa.array(out, pa.string()), "word": pa.array(kind, pa.bool_())})
 
-    found = scratch.put(docs.mapInArrow(split, "doc_id long, piece string, word boolean"), "pieces")
-    counts = scratch.put(found.groupBy("piece").agg(F.count("*").alias("n"), F.max("word").alias("word")), "counts")
+    found = scratch.put(docs.withColumn("copy", F.xxhash64("text")).mapInArrow(split, "doc_id long, copy long, piece string, word boolean"), "pieces")
+    once = found.groupBy("piece", "copy").agg(F.count("*").alias("n"), F.max("word").alias("word"))
+    counts = scratch.put(once.groupBy("piece").agg(F.sum("n").alias("n"), F.count("*").alias("n_text"), F.count_if("word").alias("n_word"), F.max("word").alias("word")), "counts")
 
     def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [
-                (form, p, n, chain, lossy)
-                for p, n in zip(b.column("piece").to_pylist(), b.column("n").to_pylist())
+                (form, p, n, n_text, n_word, chain, lossy)
+                for p, n, n_text, n_word in zip(*(b.column(c).to_pylist() for c in ("piece", "n", "n_text", "n_word")))
                 if plausible(p)
                 for form, chain, lossy in garbled_forms(p)
             ]
-            cols = list(zip(*rows)) if rows else [[]] * 5
+            cols = list(zip(*rows)) if rows else [[]] * 7
             yield pa.RecordBatch.from_pydict(
-                {"piece": pa.array(cols[0], pa.string()), "original": pa.array(cols[1], pa.string()), "m": pa.array(cols[2], pa.int64()), "chain": pa.array(cols[3], pa.string()), "lossy": pa.array(cols[4], pa.bool_())}
+                {"piece": pa.array(cols[0], pa.string()), "original": pa.array(cols[1], pa.string()), "m": pa.array(cols[2], pa.int64()), "m_text": pa.array(cols[3], pa.int64()), "m_word": pa.array(cols[4], pa.int64()), "chain": pa.array(cols[5], pa.string()), "lossy": pa.array(cols[6], pa.bool_())}
             )
 
-    schema = "piece string, original string, m long, chain string, lossy boolean"
-    letters = df.sparkSession.createDataFrame([(ch, 0) for ch in alphabet()], "piece string, n long")
-    clean = counts.select("piece", "n").unionByName(letters.join(counts, "piece", "left_anti").coalesce(1))
+    schema = "piece string, original string, m long, m_text long, m_word long, chain string, lossy boolean"
+    letters = df.sparkSession.createDataFrame([(ch, 0, 0, 0) for ch in alphabet()], "piece string, n long, n_text long, n_word long")
+    clean = counts.select("piece", "n", "n_text", "n_word").unionByName(letters.join(counts, "piece", "left_anti").coalesce(1))
     table = clean.mapInArrow(forms, schema)
     # only forms that some document holds go on; each keeps its commonest original
     hit = table.join(counts, "piece")
@@ -202,23 +208,29 @@ def find_damage(df: DataFrame, key: str, text: str, scratch: Scratch | None = No
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sure = []
-            for p, o, n, m, chain, lossy, word in zip(*(b.column(c).to_pylist() for c in ("piece", "original", "n", "m", "chain", "lossy", "word"))):
+            names = ("piece", "original", "n", "m", "n_text", "m_text", "n_word", "m_word", "chain", "lossy", "word")
+            for p, o, n, m, n_text, m_text, n_word, m_word, chain, lossy, word in zip(*(b.column(c).to_pylist() for c in names)):
+                more = m >= MORE * n or m_text >= MORE * n_text
                 letters = sum(not ch.isascii() for ch in p)
+                whole = n_word > 0 and m_word > 0 and len(p) > letters  # words that stand for words
                 if LOST in p or not plausible(p):
-                    sure.append(letters >= 2 or LOST in p or bool(_CONTROL.search(p)))
+                    other = whole and (m_word > n_word or any(ch.isalpha() and not ch.isascii() for ch in o))
+                    sure.append(letters >= 2 or LOST in p or bool(_CONTROL.search(p)) or other)
                 elif letters >= 3 and chain.startswith("utf-8>") and not lossy and not any(map(str.isalnum, o)):
                     sure.append(True)  # three letters that a sign turns into, as letters of words don't stand together
                 elif len(p) > letters and not word:
-                    sure.append(m >= MORE * n and chain == TIDIED)
+                    sure.append(more and chain == TIDIED)
+                elif whole and m_word >= MORE * n_word:
+                    sure.append(True)
                 elif word and len(p) > letters:
-                    sure.append(m >= n and chain == TIDIED and bool(_TAIL.search(p)) or letters >= 2 and not lossy and m >= MORE * n)
+                    sure.append((m >= n or m_text >= n_text) and chain == TIDIED and bool(_TAIL.search(p)) or letters >= 2 and not lossy and more)
                 else:
-                    sure.append(letters >= 2 and m >= MORE * n and (letters >= 3 or not lossy))
+                    sure.append(letters >= 2 and more and (letters >= 3 or not lossy))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sure, pa.bool_())], names=[*b.schema.names, "sure"])
 
-    judged_schema = "piece string, original string, m long, chain string, lossy boolean, n long, word boolean, sure boolean"
+    judged_schema = "piece string, original string, m long, m_text long, m_word long, chain string, lossy boolean, n long, n_text long, n_word long, word boolean, sure boolean"
     best = (
-        hit.select("piece", "original", "m", "chain", "lossy", "n", "word")
+        hit.select("piece", "original", "m", "m_text", "m_word", "chain", "lossy", "n", "n_text", "n_word", "word")
         .mapInArrow(judged, judged_schema)
         .groupBy("piece")
         .agg(F.max("sure").alias("sure"), F.max(F.struct("sure", (~F.col("lossy")).alias("whole"), "m", "original", "chain")).alias("o"))
