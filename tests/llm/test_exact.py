@@ -269,6 +269,32 @@ def test_linkage_of_nothing(spark):
     assert [r.incoming_id for r in links.cases.collect()] == [2] and len({r.rep for r in p1_linkage.representatives(one, links).collect()}) == 1
 
 
+def test_a_row_merges_all_clusters_within_three_bits_and_later_batches_know(spark):
+    scratch = Scratch(spark, "t1")
+    v = 0b1111 << 20
+    # 1 and 2 are four bits apart, 3 has the value of 2, 4 the hash of 3's text under another address
+    arts = [(1, "https://a.example/1", "h1", v ^ 0b1, "t", "x", None), (2, "https://a.example/2", "h2", v ^ 0b1110, "t", "x", None),
+            (3, "https://a.example/3", "h3", v ^ 0b1110, "t", "x", None), (9, "https://a.example/9", "h9", 7 << 50, "t", "x", None)]
+    seen = [("https://a.example/4", "stored", "h3", None)]
+    row = lambda i, url, value, ch: (i, url, url, ch, value, "t", "x", None)
+    history = p1_linkage.build_history(spark.createDataFrame(arts, ARTICLE), spark.createDataFrame(seen, SEEN), scratch)
+    before = {r.node: r.rep for r in history.reps.collect()}
+    node = {k: r.n for k in (1, 2, 3, 4, 9) for r in spark.range(1).select(p1_linkage.node_of(F.lit(f"https://a.example/{k}")).alias("n")).collect()}
+    low = min(node[2], node[3], node[4])
+    assert before == {node[k]: low for k in (2, 3, 4)}
+    one = scratch.put(p1_linkage.prepare(spark.createDataFrame([row(1, "https://n.example/1", v, "n1"), row(2, "https://n.example/2", 1 << 62, "n2")], INCOMING)), "one")
+    links = p1_linkage.link(one, history)
+    got = {r.incoming_id: r for r in p1_linkage.representatives(one, links).collect()}
+    low = min(low, node[1])
+    assert got[1].n_clusters == 2 and got[1].rep == low and got[2].n_clusters == 0 and links.met.count() == 2
+    # the next batch meets one merged cluster, by whichever of its records
+    later = p1_linkage.add_to_history(history, one.join(links.cases, "incoming_id", "left_anti"), scratch, links)
+    two = scratch.put(p1_linkage.prepare(spark.createDataFrame([row(5, "https://a.example/4", None, "n5"), row(6, "https://n.example/6", v ^ 0b1, "n6"), row(7, "https://n.example/7", v, "h9")], INCOMING)), "two")
+    got = {r.incoming_id: r for r in p1_linkage.representatives(two, p1_linkage.link(two, later)).collect()}
+    assert got[5].rep == got[6].rep == low and got[5].n_clusters == got[6].n_clusters == 1
+    assert got[7].n_clusters == 2 and got[7].rep == min(low, node[9])
+
+
 def test_block_pairs_meet_within_three_bits(spark):
     rng = random.Random(8)
     rows = []

@@ -48,12 +48,18 @@ def with_hashes(df: DataFrame, title: str, body: str) -> DataFrame:
 
 @dataclass
 class History:
-    """Persisted keys: urls (key, node), hashes (key, node), values (simhash, node), blocks (key, simhash)."""
+    """Persisted keys: urls (key, node), hashes (key, node), values (simhash, node), blocks (key, simhash).
+
+    The node is the smallest of its key. reps (node, rep) is the union-find table: the
+    representative of each node that is in a cluster with others. Nodes it doesn't hold
+    represent themselves.
+    """
 
     urls: DataFrame
     hashes: DataFrame
     values: DataFrame
     blocks: DataFrame
+    reps: DataFrame
 
 
 def node_of(url: Column) -> Column:
@@ -67,24 +73,35 @@ def new_node() -> Column:
 
 
 def build_history(articles: DataFrame, seen: DataFrame, scratch: Scratch) -> History:
-    """Blocking-key tables of accepted articles and seen addresses, written once and then only added to."""
+    """Blocking-key tables of accepted articles and seen addresses, written once and then only added to.
+
+    Records with the same content hash or SimHash value are one cluster, as stars to the
+    smallest node of the key.
+    """
     arts = with_hashes(articles.select("canonical_url", "content_hash", "simhash", "title", "body"), "title", "body")
     arts = scratch.put(arts.select(node_of(F.coalesce("canonical_url", "content_hash", F.lit(""))).alias("node"), "content_hash", "simhash"), "articles")
     s = seen.select("url", "content_hash", node_of(F.coalesce("url", F.lit(""))).alias("node"))
     urls = s.where("url is not null").groupBy(F.col("url").alias("key")).agg(F.min("node").alias("node"))
-    hashes = (
-        arts.select("content_hash", "node").unionByName(s.select("content_hash", "node"))
-        .where("content_hash is not null")
-        .groupBy(F.col("content_hash").alias("key"))
-        .agg(F.min("node").alias("node"))
-    )
-    values = scratch.put(arts.where("simhash is not null").groupBy("simhash").agg(F.min("node").alias("node")), "values")
+    by_hash = arts.select(F.col("content_hash").alias("key"), "node").unionByName(s.select(F.col("content_hash").alias("key"), "node")).where("key is not null")
+    by_value = arts.where("simhash is not null").select(F.col("simhash").alias("key"), "node")
+    hashes = scratch.put(by_hash.groupBy("key").agg(F.min("node").alias("node"), F.max("node").alias("last")), "hashes")
+    values = scratch.put(by_value.groupBy("key").agg(F.min("node").alias("node"), F.max("node").alias("last")), "values")
+
+    def stars(members: DataFrame, keys: DataFrame) -> DataFrame:
+        shared = keys.where("node < last").select("key", F.col("node").alias("a"))
+        return members.join(shared, "key").where("node <> a").select("a", F.col("node").alias("b"))
+
+    reps = components(stars(by_hash, hashes).unionByName(stars(by_value, values))).select("node", F.col("root").alias("rep"))
+    values = values.select(F.col("key").alias("simhash"), "node")
     blocks = values.select(F.explode(block_pairs(F.col("simhash"))).alias("key"), "simhash")
-    return History(urls, scratch.put(hashes, "hashes"), values, scratch.put(blocks, "blocks"))
+    return History(urls, hashes.select("key", "node"), values, scratch.put(blocks, "blocks"), scratch.put(reps, "reps"))
 
 
-def add_to_history(history: History, fresh: DataFrame, scratch: Scratch) -> History:
-    """History with the accepted rows of a batch (``fresh``: incoming_id, url, canonical_url, content_hash, simhash)."""
+def add_to_history(history: History, fresh: DataFrame, scratch: Scratch, links: Links | None = None) -> History:
+    """History with the accepted rows of a batch (``fresh``: incoming_id, url, canonical_url, content_hash, simhash).
+
+    The batch's ``links`` give the clusters it merged; their nodes get the new representative.
+    """
     r = fresh.withColumn("node", new_node())
     urls = r.select(F.explode(F.array("url", "canonical_url")).alias("key"), "node").where("key is not null")
     new = r.where("simhash is not null").groupBy("simhash").agg(F.min("node").alias("node"))
@@ -93,9 +110,18 @@ def add_to_history(history: History, fresh: DataFrame, scratch: Scratch) -> Hist
         scratch.put(history.hashes.unionByName(r.where("content_hash is not null").select(F.col("content_hash").alias("key"), "node")), "hashes"),
         scratch.put(history.values.unionByName(new), "values"),
         scratch.put(history.blocks.unionByName(new.select(F.explode(block_pairs(F.col("simhash"))).alias("key"), "simhash")), "blocks"),
+        history.reps if links is None else scratch.put(moved(history.reps, links), "reps"),
     )
 
 
+def moved(reps: DataFrame, links: Links) -> DataFrame:
+    """The union-find table after a batch: nodes of the clusters it merged go to the smallest node."""
+    roots = cut(components(best_links(links)[1]).where("node <> root"))
+    old = reps.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("node", F.coalesce("root", "rep").alias("rep"))
+    alone = roots.join(reps.select("node"), "node", "left_anti").select("node", F.col("root").alias("rep"))
+    return old.unionByName(alone)
+
+
 def prepare(incoming: DataFrame) -> DataFrame:
     """(incoming_id, url, canonical_url, content_hash, simhash): canonical address and derived hashes."""
     rows = one_row_per_id(
@@ -117,16 +143,18 @@ def near_values(left: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def probe(batch: DataFrame, history: History) -> DataFrame:
-    """(incoming_id, node, by_url, by_hash, d): records of history that a batch row meets, by kind of key."""
+    """(incoming_id, node, by_url, by_hash, d): records of history that a batch row meets, by kind of key.
+
+    All values within the distance are met. Of the records that share a key, which are one
+    cluster, the smallest node stands for all.
+    """
     urls = batch.select("incoming_id", F.explode(F.array_distinct(F.array("url", "canonical_url"))).alias("key")).where("key is not null")
     u = urls.join(history.urls, "key").select("incoming_id", "node", F.lit(1).alias("by_url"), F.lit(0).alias("by_hash"), F.lit(None).cast("int").alias("d"))
     h = batch.select("incoming_id", F.col("content_hash").alias("key")).where("key is not null").join(history.hashes, "key")
     h = h.select("incoming_id", "node", F.lit(0).alias("by_url"), F.lit(1).alias("by_hash"), F.lit(None).cast("int").alias("d"))
     near = near_values(batch.where("simhash is not null").select("simhash").distinct(), history.blocks)
-    # each value meets its nearest history value; farther ones of the same neighbourhood add no case
-    nearest = near.groupBy("simhash").agg(F.min(F.struct("d", "other")).alias("m")).select("simhash", "m.*")
     s = (
-        nearest.join(history.values.withColumnRenamed("simhash", "other"), "other")
+        near.join(history.values.withColumnRenamed("simhash", "other"), "other")
         .join(batch.select("incoming_id", "simhash"), "simhash")
         .select("incoming_id", "node", F.lit(0).alias("by_url"), F.lit(0).alias("by_hash"), "d")
     )
@@ -212,11 +240,12 @@ def learned_weights(met: DataFrame, rounds: int = 25) -> dict[tuple[int, int, in
 
 @dataclass
 class Links:
-    """met: scored candidate pairs with history; inner: (incoming_id, of) repeats within the batch; cases: (incoming_id) of either."""
+    """met: candidate pairs with history; inner: (incoming_id, of) repeats within the batch; cases: (incoming_id) of either; reps: the union-find table before the batch."""
 
     met: DataFrame
     inner: DataFrame
     cases: DataFrame
+    reps: DataFrame
 
 
 def link(batch: DataFrame, history: History) -> Links:
@@ -230,30 +259,38 @@ def link(batch: DataFrame, history: History) -> Links:
     met = cut(probe(batch, history))
     known = met.select("incoming_id").distinct()
     inner = within_batch(batch, known)
-    return Links(met, inner, known.unionByName(inner.select("incoming_id")).distinct())
+    return Links(met, inner, known.unionByName(inner.select("incoming_id")).distinct(), history.reps)
+
+
+def best_links(links: Links) -> tuple[DataFrame, DataFrame]:
+    """(incoming_id, rep, score, n_clusters) of each row that meets history, its best record's cluster; (a, b): clusters that a row links."""
+    met = links.met
+    weights = learned_weights(met)
+    klass = F.when(F.col("d").isNull(), 3).when(F.col("d") == 0, 0).when(F.col("d") <= 1, 1).otherwise(2)
+    score = F.lit(0.0)
+    for (a, b, k), w in weights.items():
+        score = F.when((F.col("by_url") == a) & (F.col("by_hash") == b) & (klass == k), F.lit(w)).otherwise(score)
+    scored = met.join(links.reps, "node", "left").select("incoming_id", "node", F.coalesce("rep", "node").alias("rep"), score.alias("score"))
+    each = scored.groupBy("incoming_id", "rep").agg(F.max(F.struct("score", (-F.col("node")).alias("minus"))).alias("m"))
+    best = each.groupBy("incoming_id").agg(F.max(F.struct("m", "rep")).alias("o"), F.count("*").alias("n_clusters"))
+    best = best.select("incoming_id", F.col("o.rep").alias("rep"), F.col("o.m.score").alias("score"), "n_clusters")
+    linked = best.where("n_clusters > 1").select("incoming_id", F.col("rep").alias("a")).join(each.select("incoming_id", F.col("rep").alias("b")), "incoming_id")
+    return best, linked.select("a", "b")
 
 
 def representatives(batch: DataFrame, links: Links) -> DataFrame:
     """(incoming_id, rep, score, n_clusters): each row's cluster after this batch, its union-find representative.
 
     A row joins the record of its best score; where it links several records, their clusters
-    become one, the smallest node the representative. A row that repeats an earlier new row has
+    become one, the smallest node the representative; n_clusters counts the clusters met as
+    they were before the batch. A row that repeats an earlier new row has
     that row's cluster, and a row without links begins one (score NULL, no clusters met). Only
     nodes met by the batch appear in the union-find edges, so clusters it doesn't reach are
     neither read nor written.
     """
-    met = links.met
-    weights = learned_weights(met)
-    klass = F.when(F.col("d").isNull(), 3).when(F.col("d") == 0, 0).when(F.col("d") <= 1, 1).otherwise(2)
-    score = F.lit(0.0)
-    for (a, b, k), w in weights.items():
-        score = F.when((F.col("by_url") == a) & (F.col("by_hash") == b) & (klass == k), F.lit(w)).otherwise(score)
-    scored = met.select("incoming_id", "node", score.alias("score"))
-    best = scored.groupBy("incoming_id").agg(F.max(F.struct("score", (-F.col("node")).alias("minus"))).alias("m"), F.count("*").alias("n_clusters"))
-    best = best.select("incoming_id", (-F.col("m.minus")).alias("node"), F.col("m.score").alias("score"), "n_clusters")
-    merged = best.where("n_clusters > 1").select("incoming_id", F.col("node").alias("a")).join(scored.select("incoming_id", F.col("node").alias("b")), "incoming_id")
-    roots = components(merged.select("a", "b"))
-    old = best.join(roots, "node", "left").select("incoming_id", F.coalesce("root", "node").alias("rep"), F.round("score", 4).alias("score"), "n_clusters")
+    best, linked = best_links(links)
+    roots = components(linked).withColumnRenamed("node", "rep")
+    old = best.join(roots, "rep", "left").select("incoming_id", F.coalesce("root", "rep").alias("rep"), F.round("score", 4).alias("score"), "n_clusters")
     begun = batch.join(links.cases, "incoming_id", "left_anti").select("incoming_id", new_node().alias("rep"))
     again = links.inner.join(begun.withColumnRenamed("incoming_id", "of"), "of").select("incoming_id", "rep")
     none = begun.unionByName(again).select("incoming_id", "rep", F.lit(None).cast("double").alias("score"), F.lit(0).cast("long").alias("n_clusters"))
