@@ -187,6 +187,33 @@ def test_hot_segments_leave_while_a_block_is_read(spark, monkeypatch):
     assert {(r.id_a, r.id_b) for r in p6_neardup.document_pairs(near).collect()} == near_brute(docs, 3, 0.6)
 
 
+@pytest.mark.parametrize("width,sim", [(3, 0.6), (3, 0.25), (5, 0.8)])
+def test_near_duplicates_exact(spark, width, sim):
+    rng = random.Random(31 + width)
+    docs = [(i, t) for i, t in enumerate(t for n in (5, 12, 30, 120, 250) for _ in range(4) for t in family(rng, n, [0, 0, 1, max(1, n // 15), max(1, n // 9)]))]
+    near = p6_neardup.near_duplicates(spark.createDataFrame(docs, "id long, body string"), "id", "body", width, sim, exact=True)
+    assert {(r.id_a, r.id_b) for r in p6_neardup.document_pairs(near).collect()} == near_brute(docs, width, sim)
+
+
+def test_groups_are_collapsed_before_the_join_and_keep_every_link(spark):
+    rng = random.Random(77)
+    base = family(rng, 200, [0, 10, 15])
+    # copies, in other letters and with other signs, of texts that are near each other
+    docs = [(k * 10 + c, f"{t.upper()}!" if c % 2 else t) for k, t in enumerate(base) for c in range(5)]
+    near = p6_neardup.near_duplicates(spark.createDataFrame(docs, "id long, body string"), "id", "body", 3, 0.5)
+    assert {(r.id_a, r.id_b) for r in p6_neardup.document_pairs(near).collect()} == near_brute(docs, 3, 0.5)
+    assert near.members.select("g").distinct().count() == 3 and near.links.count() == 3
+
+
+def test_pairs_of_runs():
+    key = np.array([1] * 3 + [2] + [5] * 2 + [9] * 40)
+    start, n = p6_neardup._starts(key)
+    want = {(i, j) for i in range(len(key)) for j in range(i + 1, len(key)) if key[i] == key[j]}
+    for most in (1, 7, 100, 10_000):
+        got = [p for i, j in p6_neardup._meeting(start, n, most) for p in zip(i.tolist(), j.tolist())]
+        assert set(got) == want and len(got) == len(want)
+
+
 def test_near_duplicates_of_nothing(spark):
     for rows in ([], [(1, None), (2, "")]):
         near = p6_neardup.near_duplicates(spark.createDataFrame(rows, "id long, body string"), "id", "body")

@@ -1,12 +1,13 @@
 """Problem 6: records that share most of their word sequences.
 
 Grouped prefix join. Word sequences are ordered from rare to common by a count sketch of the
-whole corpus, and a document's prefix are its rarest ones. Documents with the same prefix and
-size form one group. Prefix elements are joined several at a time: a hash cuts the element
-space into segments, and groups meet where they have the same elements, two at least, in a
-segment. Pairs of groups are filtered by size and by a bit sketch, and their members are then
-compared exactly. Only packed prefixes are shuffled; a segment that very many groups share is
-split over blocks of pairs.
+whole corpus, and a document's prefix are its rarest ones. Documents with the same prefix,
+size and bit sketch are collapsed into one group, of which one member carries the keys. Prefix
+elements are joined several at a time: a hash cuts the element space into segments, and groups
+meet where they have the same elements, two at least, in a segment. Pairs of groups are
+filtered by size and by the sketch, and their members are then compared exactly. Only packed
+keys are shuffled, tasks hold a bounded number of them, and a segment that very many groups
+share is split over blocks of pairs.
 """
 
 from __future__ import annotations
@@ -41,19 +42,21 @@ SHORT = 24
 BITS = 128
 #: Join entries of one block, and groups in a segment from which it is split.
 BLOCK = 400_000
-HOT = 4_000
+HOT = 2_000
+#: Join entries that a task gathers before it packs them.
+PACKED = 300_000
 #: Ratio of neighbouring size classes.
 STEP = 1.05
 
+#: What a group sends to a part: the lower bits of a key (the upper ones choose the part), group, size class, bit sketch.
 ENTRY = np.dtype([("t", "<u4"), ("g", "<u8"), ("c", "u1"), ("u", "<u8"), ("v", "<u8")])
-MEMBER = np.dtype([("id", "<i8"), ("s", "<u8"), ("g", "<u8"), ("n", "<u4"), ("k", "V128")])
 
 
 class _Words(dict):
     """Word -> 64-bit hash, computed once."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 2_000_000:
+        if len(self) > 300_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h
@@ -124,10 +127,15 @@ def sketch(docs: DataFrame, width: int, sim: float) -> tuple[np.ndarray, int]:
     return slots, sum(r["elements"] for r in rows)
 
 
-def _prefix(x: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def _needed(n: int, sim: float) -> int:
+    """How many of its rarest elements a set of n must be joined by, so that no partner at the bound is missed."""
+    return n - _overlap(sim * n) + 1
+
+
+def _prefix(x: np.ndarray, counts: np.ndarray, sim: float) -> np.ndarray:
     """The rarest elements of a set in the corpus order, rarest first."""
     c = counts[(x >> np.uint64(44)).astype(np.int64)]
-    p = len(x) if len(x) <= SHORT else math.ceil(PREFIX * len(x))
+    p = len(x) if len(x) <= SHORT else max(math.ceil(PREFIX * len(x)), _needed(len(x), sim))
     order = np.argsort((np.minimum(c, 0xFFFFFF).astype(np.uint64) << np.uint64(40)) | (x >> np.uint64(24)), kind="stable")[:p]
     return x[order]
 
@@ -159,20 +167,21 @@ def rounds_for(n: int, sim: float) -> int:
     return min(200, math.ceil(EXPECTED / (share * n / 2)))
 
 
-def segment_keys(prefixes: list[np.ndarray], sizes: np.ndarray, sim: float) -> tuple[np.ndarray, np.ndarray]:
+def segment_keys(prefixes: list[np.ndarray], sizes: np.ndarray, sim: float, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(keys, row of each): what the prefixes are joined by.
 
     The larger set of a pair decides the level and the number of rounds, so a set has its own
-    level's keys and those of the largest partner it may have.
+    level's keys and those of the largest partner it may have. Short sets, and all if
+    ``exact``, are joined by the single elements of the prefix that suffices for the bound.
     """
     keys, rows = [], []
-    short = np.flatnonzero((sizes > 0) & (sizes <= math.floor(SHORT / sim)))
+    short = np.flatnonzero((sizes > 0) & ((sizes <= math.floor(SHORT / sim)) | exact))
     for k in short.tolist():
         x = prefixes[k]
-        p = min(len(x), int(sizes[k]) - _overlap(sim * int(sizes[k])) + 1)
+        p = min(len(x), _needed(int(sizes[k]), sim))
         keys.append(_mix(x[:p] ^ np.uint64(0x5151)))
         rows.append(np.full(p, k))
-    long = np.flatnonzero(sizes > SHORT)
+    long = np.flatnonzero((sizes > SHORT) & (not exact))
     if len(long):
         times = np.array([rounds_for(n, sim) for n in sizes[long].tolist()])
         n = np.array([len(prefixes[k]) for k in long])
@@ -208,14 +217,64 @@ class Near:
     links: DataFrame
 
 
-def near_duplicates(df: DataFrame, key: str, body: str, width: int = 5, sim: float = 0.8, scratch: Scratch | None = None) -> Near:
+def _starts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of equal keys in sorted order."""
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
+    return start, np.diff(np.r_[start, len(key)])
+
+
+def _meeting(start: np.ndarray, size: np.ndarray, most: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j), i < j, of all pairs inside every run, at most about ``most`` at a time."""
+    for k in np.unique(size[size > 1]).tolist():
+        at = start[size == k]
+        if k * (k - 1) // 2 <= most:
+            i, j = np.triu_indices(k, 1)
+            step = max(1, most // len(i))
+            for lo in range(0, len(at), step):
+                base = at[lo : lo + step, None]
+                yield (base + i).ravel(), (base + j).ravel()
+        else:
+            step = max(1, most // k)
+            for first in at.tolist():
+                for lo in range(0, k - 1, step):
+                    rows = np.arange(lo, min(k - 1, lo + step))
+                    i = np.repeat(rows, k - 1 - rows)
+                    yield first + i, first + np.concatenate([np.arange(r + 1, k) for r in rows.tolist()])
+
+
+class _Distinct:
+    """Pairs of groups, each once as far as what is held reaches; lets go of them in tables of bounded size."""
+
+    def __init__(self, most: int = 500_000):
+        self.most, self.held, self.size = most, [], 0
+
+    def add(self, g: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[np.ndarray]:
+        self.held.append(np.stack([np.minimum(g[i], g[j]), np.maximum(g[i], g[j])], 1))
+        self.size += len(i)
+        if self.size > self.most:
+            p = np.unique(np.concatenate(self.held), axis=0)
+            self.held, self.size = [p], len(p)
+            if self.size > self.most // 2:
+                self.held, self.size = [], 0
+                yield p
+
+    def rest(self) -> Iterator[np.ndarray]:
+        if self.held:
+            yield np.unique(np.concatenate(self.held), axis=0)
+            self.held = []
+
+
+def near_duplicates(df: DataFrame, key: str, body: str, width: int = 5, sim: float = 0.8, scratch: Scratch | None = None, exact: bool = False) -> Near:
     """All pairs of documents whose sets of ``width``-word sequences have a Jaccard similarity of ``sim`` or more.
 
-    Documents with equal sets are one class; links are between classes, so copies are never
-    expanded into pairs. Null and empty texts, and texts under ``width`` words, have no
-    sequences and no links. Repeated rows of an id count once. There is no cap on candidates or
-    partners; a pair at the very bound is missed with the probability stated at EXPECTED, and
-    sets are compared by 64-bit hashes.
+    Documents with the same prefix, size and bit sketch are one group, formed before anything
+    is joined: only one of them carries the group's keys into the join. Documents with equal
+    sets are one class; links are between classes, so copies are never expanded into pairs.
+    Null and empty texts, and texts under ``width`` words, have no sequences and no links.
+    Repeated rows of an id count once. There is no cap on candidates or partners; a pair at
+    the very bound is missed with the probability stated at EXPECTED, and sets are compared by
+    64-bit hashes. With ``exact`` prefixes are joined by single elements and no sketch filters
+    pairs, so that nothing can be missed, at many more candidates.
     """
     spark = df.sparkSession
     scratch = scratch or Scratch(spark, "near")
@@ -224,174 +283,155 @@ def near_duplicates(df: DataFrame, key: str, body: str, width: int = 5, sim: flo
     counts_b = spark.sparkContext.broadcast(counts)
     parts = max(12, -(-elements // BLOCK))
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts, by = _Words(), counts_b.value, _multipliers()
-        held: list[np.ndarray] = []
-        where: list[np.ndarray] = []
-        members: list[np.ndarray] = []
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if not members:
-                return
-            e, part, m = np.concatenate(held), np.concatenate(where), np.concatenate(members)
-            order = np.argsort(part, kind="stable")
-            e, ends = e[order], np.searchsorted(part[order], np.arange(parts + 1))
-            share = np.linspace(0, len(m), parts + 1).astype(int)
-            for lo in range(0, parts, 4096):
-                keep = [i for i in range(lo, min(parts, lo + 4096)) if ends[i] < ends[i + 1] or share[i] < share[i + 1]]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "part": pa.array(keep, pa.int32()),
-                        "entries": pa.array([e[ends[i] : ends[i + 1]].tobytes() for i in keep], pa.binary()),
-                        "members": pa.array([m[share[i] : share[i + 1]].tobytes() for i in keep], pa.binary()),
-                    }
-                )
-
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                cut = b.slice(lo, 1000)
+            for lo in range(0, b.num_rows, 500):
+                cut = b.slice(lo, 500)
                 sets = sets_of(cut.column("body").to_pylist(), width, words)
                 ids = [i for i, x in zip(cut.column("id").to_pylist(), sets) if len(x)]
                 sets = [x for x in sets if len(x)]
                 if not sets:
                     continue
                 n = np.array([len(x) for x in sets])
-                prefixes = [_prefix(x, counts) for x in sets]
-                m = np.empty(len(sets), MEMBER)
-                m["id"], m["n"] = ids, n
-                m["s"] = [xxhash.xxh64_intdigest(x.tobytes()) for x in sets]
-                m["g"] = [xxhash.xxh64_intdigest(t.tobytes(), seed=len(x)) for t, x in zip(prefixes, sets)]
+                prefixes = [_prefix(x, counts, sim) for x in sets]
                 sketches = [bit_sketch(x, by) for x in sets]
-                sk = np.stack([w for w, _ in sketches])
-                m["k"] = np.stack([k for _, k in sketches]).view("V128").ravel()
-                code = np.array([_size_code(k) for k in n.tolist()], np.uint8)
-                keys, rows = segment_keys(prefixes, n, sim)
-                e = np.empty(len(keys), ENTRY)
-                e["t"] = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                e["g"], e["c"], e["u"], e["v"] = m["g"][rows], code[rows], sk[rows, 0], sk[rows, 1]
+                bits = np.stack([w for w, _ in sketches])
+                keys, rows = segment_keys(prefixes, n, sim, exact)
+                order = np.argsort(rows, kind="stable")
+                keys, ends = keys[order], np.searchsorted(rows[order], np.arange(len(sets) + 1))
+                group = [xxhash.xxh64_intdigest(t.tobytes() + w.tobytes(), seed=len(x)) for t, w, x in zip(prefixes, bits, sets)]
+                long = lambda x: pa.array(np.ascontiguousarray(x, np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "id": pa.array(ids, pa.int64()), "s": long([xxhash.xxh64_intdigest(x.tobytes()) for x in sets]), "g": long(group), "n": pa.array(n, pa.int32()),
+                        "u": long(bits[:, 0]), "v": long(bits[:, 1]), "sig": pa.array([k.tobytes() for _, k in sketches], pa.binary()),
+                        "keys": pa.array([keys[ends[i] : ends[i + 1]].tobytes() for i in range(len(sets))], pa.binary()),
+                    }
+                )
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One entry per key of a group, packed by the part that the key falls in."""
+        held: list[np.ndarray] = []
+        where: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            part = np.concatenate(where)
+            order = np.argsort(part, kind="stable")
+            e, part = np.concatenate(held)[order], part[order]
+            start, n = _starts(part)
+            there = part[start]
+            raw = [e[a : a + k].tobytes() for a, k in zip(start.tolist(), n.tolist())]
+            for lo in range(0, len(raw), 4096):
+                yield pa.RecordBatch.from_pydict({"part": pa.array(there[lo : lo + 4096]), "entries": pa.array(raw[lo : lo + 4096], pa.binary())})
+
+        for b in batches:
+            g, u, v = (np.asarray(b.column(c)).view(np.uint64) for c in ("g", "u", "v"))
+            code = np.array([_size_code(k) for k in b.column("n").to_pylist()], np.uint8)
+            for k, raw in enumerate(b.column("keys")):
+                x = np.frombuffer(raw.as_buffer(), np.uint64)
+                e = np.empty(len(x), ENTRY)
+                e["t"], e["g"], e["c"], e["u"], e["v"] = x & np.uint64(0xFFFFFFFF), g[k], code[k], u[k], v[k]
                 held.append(e)
-                where.append(((keys >> np.uint64(32)) % np.uint64(parts)).astype(np.int64))
-                members.append(m)
+                where.append(((x >> np.uint64(32)) % np.uint64(parts)).astype(np.int32))
                 size += len(e)
-                if size > 1_500_000:
+                if size > PACKED:
                     yield from flush()
-                    held, where, members, size = [], [], [], 0
-        yield from flush()
+                    held, where, size = [], [], 0
+        if size:
+            yield from flush()
 
     reach = int(math.log(1 / sim) / math.log(STEP)) + 2
     agree = (1 + sim) / 2
-    differ = math.floor(BITS * (1 - agree) + 5 * math.sqrt(BITS * agree * (1 - agree)))
-
-    def allowed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Row by row, whether two groups may hold a pair."""
-        near = np.abs(a["c"].astype(np.int16) - b["c"].astype(np.int16)) <= reach
-        near &= np.bitwise_count(a["u"] ^ b["u"]).astype(np.int16) + np.bitwise_count(a["v"] ^ b["v"]) <= differ
-        return near & (a["g"] != b["g"])
-
-    def ordered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.stack([np.minimum(a["g"], b["g"]), np.maximum(a["g"], b["g"])], 1)
-
-    def table(kind: int, x, y, z=None, n=None, u=None, v=None, sig=None) -> pa.Table:
-        k = len(x)
-        zero = np.zeros(k, np.int64)
-        cols = [np.ascontiguousarray(c).view(np.int64) if c is not None else zero for c in (x, y, z, u, v)]
-        return pa.table({"kind": pa.array(np.full(k, kind, np.int32)), "x": pa.array(cols[0]), "y": pa.array(cols[1]), "z": pa.array(cols[2]), "u": pa.array(cols[3]), "v": pa.array(cols[4]), "n": pa.array(np.zeros(k, np.int32) if n is None else np.asarray(n).astype(np.int32)), "sig": pa.nulls(k, pa.binary()) if sig is None else pa.array([q.tobytes() for q in sig], pa.binary())})
-
-    def runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and lengths of equal keys in sorted order."""
-        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        return start, np.diff(np.r_[start, len(key)])
-
-    def pairs_of(key: np.ndarray, e: np.ndarray) -> np.ndarray:
-        """Distinct (g1, g2) of groups that share a key, of entries sorted by key."""
-        start, size = runs(key)
-        found = []
-        for k in np.unique(size[size > 1]):
-            at = start[size == k]
-            i, j = np.triu_indices(k, 1)
-            step = max(1, 500_000 // len(i))
-            for lo in range(0, len(at), step):
-                base = at[lo : lo + step, None]
-                for c0 in range(0, len(i), 500_000):
-                    a, b = e[(base + i[c0 : c0 + 500_000]).ravel()], e[(base + j[c0 : c0 + 500_000]).ravel()]
-                    ok = allowed(a, b)
-                    found.append(ordered(a[ok], b[ok]))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.uint64)
+    differ = BITS if exact else math.floor(BITS * (1 - agree) + 5 * math.sqrt(BITS * agree * (1 - agree)))
+
+    def allowed(e: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the positions of pairs, those of two groups that may hold a link."""
+        c, u, v, g = (e[x] for x in ("c", "u", "v", "g"))
+        ok = np.abs(c[i].astype(np.int16) - c[j].astype(np.int16)) <= reach
+        i, j = i[ok], j[ok]
+        ok = (np.bitwise_count(u[i] ^ u[j]).astype(np.int16) + np.bitwise_count(v[i] ^ v[j]) <= differ) & (g[i] != g[j])
+        return i[ok], j[ok]
+
+    def table(kind: int, x, y, c=None, u=None, v=None) -> list[pa.RecordBatch]:
+        zero = np.zeros(len(x), np.int64)
+        cols = [np.ascontiguousarray(col).view(np.int64) if col is not None else zero for col in (x, y, u, v)]
+        kinds, code = pa.array(np.full(len(x), kind, np.int32)), pa.array(np.zeros(len(x), np.int32) if c is None else c.astype(np.int32))
+        return pa.table([kinds, *map(pa.array, cols), code], names=["kind", "x", "y", "u", "v", "c"]).to_batches(max_chunksize=100_000)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Members as they come, pairs of groups (kind 1), and the entries of hot segments (kind 2).
+        """Pairs of groups that share a key (kind 1), and the entries of hot segments (kind 2).
 
         A segment that is hot once leaves with all its later entries at once, so what is held
         is a block's share of the others however many groups share one segment.
         """
-        hot = np.zeros(0, np.uint64)
-        keys: list[np.ndarray] = []
+        hot = np.zeros(0, np.uint32)
         held: list[np.ndarray] = []
-        size, most = 0, 8 * BLOCK
+        size, most, part = 0, 2 * BLOCK, 0
 
-        def wide(key: np.ndarray, e: np.ndarray) -> Iterator[pa.RecordBatch]:
-            if len(e):
-                yield from table(2, key, e["g"], None, e["c"], e["u"], e["v"]).to_batches()
+        def wide(e: np.ndarray) -> list[pa.RecordBatch]:
+            return table(2, e["t"] | np.uint64(part << 32), e["g"], e["c"], e["u"], e["v"])
 
         def settled() -> Iterator[pa.RecordBatch]:
             """Sorts what is held, once per (key, group), and lets hot segments go."""
-            nonlocal hot, keys, held, size
-            key, e = np.concatenate(keys), np.concatenate(held)
-            order = np.lexsort((e["g"], key))
-            key, e = key[order], e[order]
-            once = np.r_[True, (key[1:] != key[:-1]) | (e["g"][1:] != e["g"][:-1])]
-            key, e = key[once], e[once]
-            start, n = runs(key)
-            now = np.repeat(n > HOT, n)
-            hot = np.union1d(hot, key[start[n > HOT]])
-            yield from wide(key[now], e[now])
-            keys, held, size = [key[~now]], [e[~now]], int((~now).sum())
+            nonlocal hot, held, size
+            e = np.concatenate(held)
+            held = []
+            e = e[np.lexsort((e["g"], e["t"]))]
+            e = e[np.r_[True, (e["t"][1:] != e["t"][:-1]) | (e["g"][1:] != e["g"][:-1])]]
+            start, n = _starts(e["t"])
+            if (n > HOT).any():
+                now = np.repeat(n > HOT, n)
+                hot = np.union1d(hot, e["t"][start[n > HOT]])
+                yield from wide(e[now])
+                e = e[~now]
+            held, size = [e], len(e)
 
         for b in batches:
-            parts_of = b.column("part").to_pylist()
-            for k, part in enumerate(parts_of):
-                m = np.frombuffer(b.column("members")[k].as_buffer(), MEMBER)
-                if len(m):
-                    yield from table(0, m["id"], m["s"], m["g"], m["n"], sig=m["k"]).to_batches()
-                e = np.frombuffer(b.column("entries")[k].as_buffer(), ENTRY)
-                key = e["t"].astype(np.uint64) | np.uint64(part) << np.uint64(32)
+            for part, raw in zip(b.column("part").to_pylist(), b.column("entries")):  # noqa: B007
+                e = np.frombuffer(raw.as_buffer(), ENTRY)
                 if len(hot):
-                    gone = np.isin(key, hot)
-                    yield from wide(key[gone], e[gone])
-                    key, e = key[~gone], e[~gone]
-                keys.append(key)
+                    gone = np.isin(e["t"], hot)
+                    if gone.any():
+                        yield from wide(e[gone])
+                        e = e[~gone]
                 held.append(e)
                 size += len(e)
                 if size > most:
                     yield from settled()
-                    most = max(8 * BLOCK, 2 * size)
+                    most = max(2 * BLOCK, 2 * size)
         if size:
             yield from settled()
-            if size:
-                p = pairs_of(keys[0], held[0])
-                yield from table(1, p[:, 0], p[:, 1]).to_batches()
-
-    schema = "kind int, x long, y long, z long, u long, v long, n int, sig binary"
-    packed = docs.mapInArrow(emit, "part int, entries binary, members binary").repartition(parts, "part")
-    met = scratch.put(packed.mapInArrow(meet, schema), "met")
+        if size:
+            e, found = held.pop(), _Distinct()
+            e, start, n = {x: np.ascontiguousarray(e[x]) for x in ("c", "u", "v", "g")}, *_starts(e["t"])
+            for i, j in _meeting(start, n):
+                for p in found.add(e["g"], *allowed(e, i, j)):
+                    yield from table(1, p[:, 0], p[:, 1])
+            for p in found.rest():
+                yield from table(1, p[:, 0], p[:, 1])
+
+    signed = scratch.put(docs.mapInArrow(sign, "id long, s long, g long, n int, u long, v long, sig binary, keys binary"), "signed")
+    many = signed.groupBy("g").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("g", "first")
+    spare = checked(signed.select("id", "g").join(many, "g").where("id <> first").select("id"))
+    packed = signed.join(spare, "id", "left_anti").select("g", "n", "u", "v", "keys").mapInArrow(pack, "part int, entries binary").repartitionById(parts, "part")
+    met = scratch.put(packed.mapInArrow(meet, "kind int, x long, y long, u long, v long, c int"), "met")
     groups = met.where("kind = 1").select(F.col("x").alias("g1"), F.col("y").alias("g2"))
     wide = met.where("kind = 2")
     if not wide.isEmpty():
-        groups = groups.unionByName(_split_hot(wide, allowed, ordered))
+        groups = groups.unionByName(_split_hot(wide, allowed))
     groups = groups.distinct()
-    members = met.where("kind = 0").select(F.col("x").alias("id"), F.col("y").alias("s"), F.col("z").alias("g"), "n")
 
     # members of group pairs, and of one group: by size, then by the minimum hashes
-    full = met.where("kind = 0").select(F.col("x").alias("id"), F.col("y").alias("s"), F.col("z").alias("g"), "n", "sig")
-    sets = full.groupBy("s").agg(F.min(F.struct("id", "g", "n", "sig")).alias("m")).select("s", "m.*")
+    sets = signed.groupBy("s").agg(F.min(F.struct("id", "g", "n", "sig")).alias("m")).select("s", "m.*")
     one, two = (sets.select(F.col("s").alias(f"s{k}"), F.col("g").alias(f"g{k}"), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"sig{k}"), F.col("id").alias(f"id{k}")) for k in (1, 2))
     crowded = sets.groupBy(F.col("g").alias("g1")).count().where("count > 1").select("g1")
     within = one.join(crowded, "g1", "left_semi")
     among = within.join(two.withColumnRenamed("g2", "g1"), "g1").where("s1 < s2")
     across = groups.join(one, "g1").join(two, "g2")
     cols = ["s1", "s2", "id1", "id2", "n1", "n2", "sig1", "sig2"]
-    least_equal = math.floor(BITS * sim - 5 * math.sqrt(BITS * sim * (1 - sim)))
+    least_equal = 0 if exact else math.floor(BITS * sim - 5 * math.sqrt(BITS * sim * (1 - sim)))
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -409,9 +449,10 @@ def near_duplicates(df: DataFrame, key: str, body: str, width: int = 5, sim: flo
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for b in batches:
-            x = sets_of(b.column("body").to_pylist(), width, words)
-            s = np.array([xxhash.xxh64_intdigest(v.tobytes()) for v in x], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_pydict({"s": pa.array(s), "tok": pa.array([v.tobytes() for v in x], pa.binary())})
+            for lo in range(0, b.num_rows, 500):
+                x = sets_of(b.column("body").slice(lo, 500).to_pylist(), width, words)
+                s = np.array([xxhash.xxh64_intdigest(v.tobytes()) for v in x], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_pydict({"s": pa.array(s), "tok": pa.array([v.tobytes() for v in x], pa.binary())})
 
     tok = docs.join(needed, "id", "left_semi").select("body").mapInArrow(tokens, "s long, tok binary")
 
@@ -427,10 +468,10 @@ def near_duplicates(df: DataFrame, key: str, body: str, width: int = 5, sim: flo
 
     both = pairs.select("s1", "s2").join(tok.select(F.col("s").alias("s2"), F.col("tok").alias("t2")), "s2").join(tok.select(F.col("s").alias("s1"), F.col("tok").alias("t1")), "s1")
     links = both.select("s1", "s2", "t1", "t2").mapInArrow(compare, "s1 long, s2 long, shared int, combined int")
-    return Near(members, links.where(F.col("shared") >= F.col("combined") * sim - 1e-9))
+    return Near(signed.select("id", "s", "g", "n"), links.where(F.col("shared") >= F.col("combined") * sim - 1e-9))
 
 
-def _split_hot(wide: DataFrame, allowed, ordered) -> DataFrame:
+def _split_hot(wide: DataFrame, allowed) -> DataFrame:
     """(g1, g2) of segments that very many groups share: hashed into blocks, every pair of blocks a task of its own."""
     blocks = wide.groupBy("x").agg(F.ceil(F.count("*") / HOT).cast("long").alias("k"))
     mine = F.pmod(F.xxhash64("y"), F.col("k"))
@@ -438,25 +479,21 @@ def _split_hot(wide: DataFrame, allowed, ordered) -> DataFrame:
         wide.join(blocks, "x")
         .withColumn("mine", mine)
         .withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-        .select("x", F.least("mine", "j").alias("i"), F.greatest("mine", "j").alias("j"), "mine", "y", "n", "u", "v")
+        .select("x", F.least("mine", "j").alias("i"), F.greatest("mine", "j").alias("j"), "mine", "y", "c", "u", "v")
     )
 
     def pairs(t: pa.Table) -> pa.Table:
-        e = np.empty(t.num_rows, ENTRY)
-        for name, col in (("g", "y"), ("u", "u"), ("v", "v")):
-            e[name] = np.asarray(t.column(col).combine_chunks()).view(np.uint64)
-        e["c"], e["t"] = np.asarray(t.column("n").combine_chunks()), 0
-        mine = np.asarray(t.column("mine").combine_chunks())
+        e = {name: np.asarray(t.column(col).combine_chunks()).view(np.uint64) for name, col in (("g", "y"), ("u", "u"), ("v", "v"))}
+        e["c"], mine = (np.asarray(t.column(n).combine_chunks()) for n in ("c", "mine"))
         first, second = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        a, b = e[mine == first], e[mine == second]
-        found = []
+        a, b = np.flatnonzero(mine == first), np.flatnonzero(mine == second)
+        found, out = _Distinct(), []
         for lo in range(0, len(a), 100):
-            i, j = np.meshgrid(np.arange(lo, min(len(a), lo + 100)), np.arange(len(b)), indexing="ij")
-            keep = i < j if first == second else np.ones(i.shape, bool)
-            x, y = a[i[keep]], b[j[keep]]
-            ok = allowed(x, y)
-            found.append(ordered(x[ok], y[ok]))
-        p = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.uint64)
+            i, j = (x.ravel() for x in np.meshgrid(a[lo : lo + 100], b, indexing="ij"))
+            keep = i < j if first == second else slice(None)
+            out += found.add(e["g"], *allowed(e, i[keep], j[keep]))
+        out += found.rest()
+        p = np.concatenate(out) if out else np.zeros((0, 2), np.uint64)
         return pa.table({"g1": np.ascontiguousarray(p[:, 0]).view(np.int64), "g2": np.ascontiguousarray(p[:, 1]).view(np.int64)})
 
     return rows.groupBy("x", "i", "j").applyInArrow(pairs, "g1 long, g2 long")
