@@ -33,9 +33,19 @@ def test_canonical():
     assert c(None) is None and c("http://[bad") == "http://[bad"
 
 
-def test_canonical_column_keeps_nulls(spark):
-    df = spark.createDataFrame([("https://A.example/x/",), (None,)], "u string").select(urls.canonical_url(F.col("u")).alias("c"))
-    assert {r.c for r in df.collect()} == {"https://a.example/x", None}
+def test_canonical_column_equals_the_scalar(spark):
+    rng = random.Random(11)
+    pick = lambda *x: rng.choice(x)
+    param = lambda: pick("a=1", "b=", "c", "utm_source=x", "UTM_Medium=y", "Ref=1", "q=a+b%20c", "x=é", "=v", "k=a=b", "t=~.-_", "m=%C3%A9", "", "cid=3&cid2=4")
+    made = [None, "", " ", "http://[bad", "HTTPS://A.example/x/", "mailto:a@b", "/only/path/", "https:", "https:/x", "//host/p", "https://[::1]:80/x/", "https://a.example/x\ty"]
+    for _ in range(600):
+        made.append(pick("", " ", "\u2003") + pick("https", "HTTP", "Https", "ftp") + "://" + pick("a.example", "WWW.B.example:8080", "bücher.example", "u:p@c.example") + pick("", "/", "//", "/x/", "/X/y//", "/ä/b c", "/a;b=1/", "/p%20q/")
+                    + pick("", "?" + "&".join(param() for _ in range(rng.randrange(5)))) + pick("", "#", "#top?x=1", "#a/b/") + pick("", " ", "\n"))
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(made)], "i int, u string").select("i", urls.canonical_url(F.col("u")).alias("c"))
+    got = {r.i: r.c for r in df.collect()}
+    assert [got[i] for i in range(len(made))] == [urls.canonical(u) for u in made]
+    # once canonical, always
+    assert all(urls.canonical(urls.canonical(u)) == urls.canonical(u) for u in made)
 
 
 def test_simhash_udf_equals_bitwise_sums(spark):

@@ -31,7 +31,7 @@ def once(events: DataFrame, time: str, keys: list[str], within: str) -> DataFram
 def prepared(stream: DataFrame) -> DataFrame:
     """Arrivals with canonical address, content hash and word count."""
     return (
-        stream.withColumn("canonical_url", F.coalesce("canonical_url", canonical_url(F.col("url"))))
+        stream.withColumn("canonical_url", canonical_url(F.coalesce("canonical_url", "url")))
         .withColumn("content_hash", F.coalesce("content_hash", content_hash(F.col("title"), F.col("body"))))
         .withColumn("word_count", word_count(F.col("body")))
     )
