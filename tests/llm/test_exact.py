@@ -238,7 +238,7 @@ def linkage_brute(articles, seen, incoming):
     sims = [s for s in sims if s is not None]
     out = set()
     for i, url, canon, ch, sh, t, b, _ in sorted({r[0]: r for r in reversed(incoming) if r[0] is not None}.values()):
-        keys = {k for k in (canonical(url), canon) if k}
+        keys = {k for k in (canonical(url), canonical(canon)) if k}
         ch = ch or (h(t, b) if t is not None or b is not None else None)
         sh = sh if sh is not None else simhash_of(b)
         if keys & urls or (ch and ch in hashes) or (sh is not None and any(bin((sh ^ s) & (2**64 - 1)).count("1") <= 3 for s in sims)):
@@ -265,6 +265,7 @@ def test_linkage(spark):
     b5 = inc[4][6]
     inc += [(6, "https://n.example/6", None, None, simhash_of(b5) ^ 1, "other", body(), 7), (7, "https://n.example/7", None, None, simhash_of(b5) ^ 0b11111, "chain", body(), 7), (8, "https://n.example/8", None, None, simhash_of(b5) ^ 0b11110, "chain", body(), 7)]
     inc += [(9, None, None, None, None, None, None, None), (10, None, None, None, None, None, None, None), (11, "https://n.example/5", "https://n.example/5", None, None, "z", "", None), (12, "https://n.example/12", "https://n.example/6", None, None, "z2", None, None)]
+    inc += [(13, "https://n.example/13", "HTTPS://S.example/x/?gclid=1#a", None, None, "untidy", body(), 7), (14, "https://n.example/14", "https://N.example/2/?ref=a", None, None, "untidy", body(), 7)]
     inc += [(100 + k, "https://hot.example/", None, None, None, f"t{k}", body(), None) for k in range(40)]
     flip = lambda v: int(np.int64(np.uint64(v & (2**64 - 1)) ^ np.uint64(sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 6))))))
     inc += [(200 + k, f"https://f.example/{k % 17}", None, None, flip(simhash_of(bodies[k % 30])) if k % 2 else None, "x", bodies[(k * 7) % 30] + f" {k}", None) for k in range(60)]
@@ -276,7 +277,7 @@ def test_linkage(spark):
     cases = links.cases
     want = linkage_brute(arts, seen, inc)
     got = {r.incoming_id for r in cases.collect()}
-    assert got == want and {1, 2, 3, 4, 6} <= got and 5 not in got and 100 not in got and set(range(101, 140)) <= got
+    assert got == want and {1, 2, 3, 4, 6, 13} <= got and 5 not in got and 100 not in got and set(range(101, 140)) <= got
     reps = {r.incoming_id: r for r in p1_linkage.representatives(batch, links).collect()}
     assert set(reps) == {r[0] for r in inc if r[0] is not None} and reps[1].n_clusters >= 1
     assert len({reps[100 + k].rep for k in range(40)}) == 1 and reps[6].rep == reps[5].rep != reps[9].rep
@@ -322,6 +323,34 @@ def test_a_row_merges_all_clusters_within_three_bits_and_later_batches_know(spar
     assert got[7].n_clusters == 2 and got[7].rep == min(low, node[9])
 
 
+def test_a_later_batch_bridges_clusters_and_nothing_is_rewritten(spark):
+    scratch = Scratch(spark, "t1")
+    v = 0b111111 << 30
+    row = lambda i, value, ch: (i, f"https://n.example/{i}", None, ch, value, "t", "x", None)
+    history = p1_linkage.build_history(spark.createDataFrame([(1, "https://a.example/1", "h1", 9 << 50, "t", "x", None)], ARTICLE), spark.createDataFrame([], SEEN), scratch)
+
+    def send(rows, name):
+        nonlocal history
+        batch = scratch.put(p1_linkage.prepare(spark.createDataFrame(rows, INCOMING)), name)
+        links = p1_linkage.link(batch, history)
+        out = {r.incoming_id: r for r in p1_linkage.representatives(batch, links).collect()}
+        fresh = batch.join(links.cases, "incoming_id", "left_anti")
+        before, history = history, p1_linkage.add_to_history(history, fresh, scratch, links)
+        for name in ("urls", "hashes", "values", "blocks", "reps"):
+            old, new = getattr(before, name), getattr(history, name)
+            assert set(old.inputFiles()) <= set(new.inputFiles())
+        assert history.values.count() - before.values.count() == fresh.count() and history.blocks.count() - before.blocks.count() == 10 * fresh.count()
+        return out
+
+    first, second = send([row(11, v ^ 0b11, "n11")], "b1")[11], send([row(12, v ^ 0b1100, "n12")], "b2")[12]
+    assert first.n_clusters == second.n_clusters == 0 and first.rep != second.rep
+    low = min(first.rep, second.rep)
+    bridge = send([row(13, v, "n13"), row(14, 1 << 61, "n14")], "b3")
+    assert bridge[13].n_clusters == 2 and bridge[13].rep == low and bridge[14].rep not in (first.rep, second.rep)
+    later = send([row(15, v ^ 0b10, "n15"), row(16, v ^ 0b1000, "n16")], "b4")
+    assert later[15].rep == later[16].rep == low and later[15].n_clusters == later[16].n_clusters == 1
+
+
 def test_block_pairs_meet_within_three_bits(spark):
     rng = random.Random(8)
     rows = []

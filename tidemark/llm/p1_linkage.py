@@ -50,9 +50,10 @@ def with_hashes(df: DataFrame, title: str, body: str) -> DataFrame:
 class History:
     """Persisted keys: urls (key, node), hashes (key, node), values (simhash, node), blocks (key, simhash).
 
-    The node is the smallest of its key. reps (node, rep) is the union-find table: the
-    representative of each node that is in a cluster with others. Nodes it doesn't hold
-    represent themselves.
+    The node is the smallest of its key. reps (node, rep, gen) is the union-find table: the
+    representative of each node that is in a cluster with others; of several rows of a node the
+    one of the latest generation (batch) holds. Nodes it doesn't hold represent themselves. A
+    batch adds files with its own rows; no table is ever rewritten.
     """
 
     urls: DataFrame
@@ -60,6 +61,7 @@ class History:
     values: DataFrame
     blocks: DataFrame
     reps: DataFrame
+    gen: int = 0
 
 
 def node_of(url: Column) -> Column:
@@ -91,7 +93,7 @@ def build_history(articles: DataFrame, seen: DataFrame, scratch: Scratch) -> His
         shared = keys.where("node < last").select("key", F.col("node").alias("a"))
         return members.join(shared, "key").where("node <> a").select("a", F.col("node").alias("b"))
 
-    reps = components(stars(by_hash, hashes).unionByName(stars(by_value, values))).select("node", F.col("root").alias("rep"))
+    reps = components(stars(by_hash, hashes).unionByName(stars(by_value, values))).select("node", F.col("root").alias("rep"), F.lit(0).alias("gen"))
     values = values.select(F.col("key").alias("simhash"), "node")
     blocks = values.select(F.explode(block_pairs(F.col("simhash"))).alias("key"), "simhash")
     return History(urls, hashes.select("key", "node"), values, scratch.put(blocks, "blocks"), scratch.put(reps, "reps"))
@@ -101,33 +103,38 @@ def add_to_history(history: History, fresh: DataFrame, scratch: Scratch, links:
     """History with the accepted rows of a batch (``fresh``: incoming_id, url, canonical_url, content_hash, simhash).
 
     The batch's ``links`` give the clusters it merged; their nodes get the new representative.
+    Only the batch's own keys and those nodes are written, as further files of each table.
     """
     r = fresh.withColumn("node", new_node())
-    urls = r.select(F.explode(F.array("url", "canonical_url")).alias("key"), "node").where("key is not null")
-    new = r.where("simhash is not null").groupBy("simhash").agg(F.min("node").alias("node"))
+    urls = r.select(F.explode(F.array_distinct(F.array("url", "canonical_url"))).alias("key"), "node").where("key is not null")
+    hashes = r.where("content_hash is not null").select(F.col("content_hash").alias("key"), "node")
+    values = scratch.put(r.where("simhash is not null").groupBy("simhash").agg(F.min("node").alias("node")), "values")
+    blocks = values.select(F.explode(block_pairs(F.col("simhash"))).alias("key"), "simhash")
     return History(
-        scratch.put(history.urls.unionByName(urls), "urls"),
-        scratch.put(history.hashes.unionByName(r.where("content_hash is not null").select(F.col("content_hash").alias("key"), "node")), "hashes"),
-        scratch.put(history.values.unionByName(new), "values"),
-        scratch.put(history.blocks.unionByName(new.select(F.explode(block_pairs(F.col("simhash"))).alias("key"), "simhash")), "blocks"),
-        history.reps if links is None else scratch.put(moved(history.reps, links), "reps"),
+        history.urls.unionByName(scratch.put(urls, "urls")),
+        history.hashes.unionByName(scratch.put(hashes, "hashes")),
+        history.values.unionByName(values),
+        history.blocks.unionByName(scratch.put(blocks, "blocks")),
+        history.reps if links is None else history.reps.unionByName(scratch.put(moved(history, links), "reps")),
+        history.gen + 1,
     )
 
 
-def moved(reps: DataFrame, links: Links) -> DataFrame:
-    """The union-find table after a batch: nodes of the clusters it merged go to the smallest node."""
+def moved(history: History, links: Links) -> DataFrame:
+    """Rows that a batch adds to the union-find table: the nodes of the clusters it merged, at their smallest node."""
     roots = cut(components(best_links(links)[1]).where("node <> root"))
-    old = reps.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("node", F.coalesce("root", "rep").alias("rep"))
-    alone = roots.join(reps.select("node"), "node", "left_anti").select("node", F.col("root").alias("rep"))
-    return old.unionByName(alone)
+    was = history.reps.join(roots.select(F.col("node").alias("rep")), "rep", "left_semi").select("node").distinct()
+    now = history.reps.join(was, "node", "left_semi").groupBy("node").agg(F.max(F.struct("gen", "rep")).alias("m"))
+    old = now.select("node", F.col("m.rep").alias("rep")).join(roots.withColumnRenamed("node", "rep"), "rep").select("node", F.col("root").alias("rep"))
+    return old.unionByName(roots.select("node", F.col("root").alias("rep"))).distinct().withColumn("gen", F.lit(history.gen + 1))
 
 
 def prepare(incoming: DataFrame) -> DataFrame:
-    """(incoming_id, url, canonical_url, content_hash, simhash): canonical address and derived hashes."""
+    """(incoming_id, url, canonical_url, content_hash, simhash): both addresses in canonical form, derived hashes."""
     rows = one_row_per_id(
         incoming.select("incoming_id", "url", "canonical_url", "content_hash", "simhash", "title", "body"), "incoming_id"
     )
-    return with_hashes(rows.withColumn("url", canonical_url(F.col("url"))), "title", "body")
+    return with_hashes(rows.withColumns({c: canonical_url(F.col(c)) for c in ("url", "canonical_url")}), "title", "body")
 
 
 def near_values(left: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -270,7 +277,8 @@ def best_links(links: Links) -> tuple[DataFrame, DataFrame]:
     score = F.lit(0.0)
     for (a, b, k), w in weights.items():
         score = F.when((F.col("by_url") == a) & (F.col("by_hash") == b) & (klass == k), F.lit(w)).otherwise(score)
-    scored = met.join(links.reps, "node", "left").select("incoming_id", "node", F.coalesce("rep", "node").alias("rep"), score.alias("score"))
+    latest = met.join(links.reps, "node", "left").groupBy("incoming_id", "node", "by_url", "by_hash", "d").agg(F.max(F.struct("gen", "rep")).alias("m"))
+    scored = latest.select("incoming_id", "node", F.coalesce("m.rep", "node").alias("rep"), score.alias("score"))
     each = scored.groupBy("incoming_id", "rep").agg(F.max(F.struct("score", (-F.col("node")).alias("minus"))).alias("m"))
     best = each.groupBy("incoming_id").agg(F.max(F.struct("m", "rep")).alias("o"), F.count("*").alias("n_clusters"))
     best = best.select("incoming_id", F.col("o.rep").alias("rep"), F.col("o.m.score").alias("score"), "n_clusters")
