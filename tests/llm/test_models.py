@@ -31,18 +31,22 @@ def test_minimum_cut_is_minimal():
         assert cost(p3_boilerplate.min_cut(u, a, b, cap)) == pytest.approx(best)
 
 
-STORY = ["The captain of team {0} said that the bowlers had done well enough on day {1} of the match.", "After lunch player {0} made {1} runs before the rain came over the hills to the east.", "Q: What did you make of the pitch, number {0}?", "End of over {1}: team {0} 40/2"]
-FURNITURE = ["Share this story", "By Ann Number{0}", "Published 0{1} Jan 2026", "Read more: why team {0} lost", "Home | Tables | Video | Shop", "We value your privacy. Accept all or manage settings.", "© 2026 Site {0}. All rights reserved."]
-
-
-def page(rng, truth, i):
-    lines = []
-    for _ in range(rng.randrange(2, 5)):
-        lines.append((rng.choice(FURNITURE).format(rng.randrange(99), rng.randrange(1, 9)), True))
-    for _ in range(rng.randrange(3, 9)):
-        lines.append((rng.choice(STORY).format(rng.randrange(99), rng.randrange(1, 9)), False))
-    for _ in range(rng.randrange(2, 6)):
-        lines.append((rng.choice(FURNITURE).format(rng.randrange(99), rng.randrange(1, 9)), True))
+STORY = ["{2} of {3} said that the bowlers had done well enough on day {1} of the match.", "After lunch {3} made {1} runs before {2} came over the hills to the east.", "Q: What did you make of the pitch, {2} {3}?", "End of over {1}: {3} 40/2, {2} 12*"]
+FURNITURE = ["Share this story", "By {4}", "Published 0{1} Jan 2026 10:0{1}", "Read more: why {3} {5} lost to {2}", "Home | Tables | Video | Shop", "We value your privacy. Accept all or manage settings.", "© 2026 Site {0}. All rights reserved."]
+# another language and other words, in the same kinds of line
+OTHER_STORY = ["{2} sagte nach dem Spiel, dass {3} am Tag {1} gut genug gewesen sei.", "Nach der Pause holte {3} noch {1} Punkte, bevor {2} den Ball verlor.", "F: Was dachten Sie, {2} {3}?", "Stand {1}: {3} 40/2, {2} 12*"]
+OTHER_FURNITURE = ["Artikel teilen", "Von {4}", "Stand: 0{1}.01.2026 10:0{1}", "Mehr dazu: warum {3} {5} gegen {2} verlor", "Start | Tabellen | Filme | Laden", "Wir verwenden Cookies. Alle annehmen oder einstellen.", "© 2026 Haus {0}. Alle Rechte vorbehalten."]
+
+
+def name(rng):
+    return "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(3)).capitalize()
+
+
+def page(rng, truth, i, story=STORY, furniture=FURNITURE):
+    def line(kinds):
+        return rng.choice(kinds).format(rng.randrange(9), rng.randrange(1, 9), name(rng), name(rng), rng.choice(["Ann Number", "Bo Figure", "Cy Digit"]), name(rng))
+
+    lines = [(line(furniture), True) for _ in range(rng.randrange(2, 5))] + [(line(story), False) for _ in range(rng.randrange(3, 9))] + [(line(furniture), True) for _ in range(rng.randrange(2, 6))]
     out = []
     for text, bad in lines:
         out.append(text)
@@ -53,10 +57,12 @@ def page(rng, truth, i):
     return "\n".join(out)
 
 
-def test_furniture_of_held_out_pages(spark):
+@pytest.mark.parametrize("story,furniture,title", [(STORY, FURNITURE, "Why {} {} lost to {}"), (OTHER_STORY, OTHER_FURNITURE, "Warum {} {} gegen {} verlor")])
+def test_furniture_of_held_out_pages(spark, story, furniture, title):
+    """The fit sees a third of the pages; no list of phrases is anywhere, so any language will do."""
     rng = random.Random(6)
     truth: set = set()
-    rows = [(i, f"Why team {i} won", page(rng, truth, i), "x") for i in range(500)]
+    rows = [(i, title.format(name(rng), name(rng), name(rng)), page(rng, truth, i, story, furniture), "x") for i in range(500)]
     rows += [(900, None, None, None), (901, "t", "", None), (902, "t", "\n \n", None), (None, "t", "Share this story", None), rows[0], (903, "long", "word " * 40_000, None)]
     df = spark.createDataFrame(rows, "id long, title string, body string, line_no string")
     found = p3_boilerplate.furniture_lines(df, "id", "title", "body", fit_pages=150)
@@ -69,6 +75,22 @@ def test_furniture_of_held_out_pages(spark):
         assert text[i] == "\n".join(p for n, p in enumerate(rows[i][2].split("\n"), 1) if n not in gone)
 
 
+def test_a_fit_holds_for_pages_that_share_no_line_with_it(spark):
+    rng = random.Random(8)
+    w = p3_boilerplate.train(spark.createDataFrame([(i, f"Why {name(rng)} {name(rng)} lost to {name(rng)}", page(rng, set(), i)) for i in range(400)], "id long, title string, body string"))
+    truth: set = set()
+    # numbers, names and authors that the fit never saw, in lines of the same making
+    bodies = [page(rng, truth, i, furniture=["Share this {3}", "By {2} {3}", "Published 1{1} Feb 2027 23:5{1}", "Read more: why {3} {5} lost to {2}", "Home | {3} | {2} | Shop", "© 2027 Site {2}. All rights reserved."]) for i in range(100)]
+    pages, at, on = p3_boilerplate.page_labels(bodies, p3_boilerplate._Odds(w))
+    got = {(i, k + 1) for i, (numbers, bad) in enumerate(zip(at, on)) for k in numbers[bad].tolist()}
+    assert len(got & truth) / len(truth) > 0.9 and len(got & truth) / len(got) > 0.95
+
+
+def test_forms_of_lines():
+    assert p3_boilerplate.form("Published 03 Jan 2026  10:01") == p3_boilerplate.form("published 14 JAN 2027 23:59")
+    assert p3_boilerplate.form("Anna made 40 runs before lunch") != p3_boilerplate.form("Anna made 41 runs before lunch")
+
+
 def test_furniture_of_nothing(spark):
     assert p3_boilerplate.furniture_lines(spark.createDataFrame([], "id long, title string, body string"), "id", "title", "body").count() == 0
 

@@ -1,13 +1,16 @@
 """Problem 3: page furniture mixed with the main text.
 
-Minimum-cut labelling. A linear classifier, fitted on a bounded sample of lines that seed
-phrases label, gives every line a cost of being furniture or story; these are the terminal
-capacities of the page's graph. Neighbouring lines and lines of one block and kind are joined
-by smoothness edges, and the minimum cut separates furniture from story.
+Minimum-cut labelling. A linear classifier gives every line a cost of being furniture or
+story; these are the terminal capacities of the page's graph. Neighbouring lines and lines of
+one block and kind are joined by smoothness edges, and the minimum cut separates furniture
+from story. Nothing but the corpus labels the classifier's sample: lines that stand on many
+different pages are furniture, titles are what links to other stories look like, and lines
+that stand on hardly any other page and don't end like a title are story.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import deque
 from collections.abc import Iterator
@@ -21,67 +24,32 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import one_row_per_id
 
-#: Pages that the classifier's sample may have at most (about), chosen by a hash of their id.
-FIT_PAGES = 4_000
+#: Pages that the classifier's sample may have at most (about), chosen by a hash of their id, and
+#: lines of one page in it (about), chosen by a hash of the line.
+FIT_PAGES = 2_000
+PAGE_LINES = 200
+#: A line repeats if it stands on this share of all pages, and on so many at least.
+SHARE, LEAST_PAGES = 1 / 2_000, 5
 SLOTS = 1 << 17
-#: Characters from which a line is story for the sample's labels.
-LONG = 3_000
 #: Smoothness: next line without and with a blank between; a line of like kind two further on.
 NEXT, APART, LIKE = 0.9, 0.6, 0.3
 
-# Openings of furniture lines in the languages of the pages.
-SEEDS = (
-    r"share\b|copy link|tell your|send to a friend|post it to|like what you read|pass it on|"
-    r"follow us|turn on alerts|download our app|sign up|subscribe|get .{3,60} in your inbox|join the conversation|"
-    r"by \w[\w’'-]* \w[\w’'-]*( at .+)?$|written by|words: |photo: |picture by|image credit|\([^()]+/[^()]+\)$|"
-    r"published |updated |first posted|last updated|posted on|"
-    r"advert|advertisement|- ?sponsored|sponsored|promoted content|(article|story) continues|"
-    r"support independent|enjoying this|seats from|vote now|[\d,.]+ (people are reading|replies to)|"
-    r"read more|don.t miss|related\b|also see|also read|you may also like|more (from|on this)|most read|trending now|"
-    r"editor.s picks|in case you missed|elsewhere on this site|you are here|home (>|»|›)|t20 ›|news »|> |"
-    r"be the first to reply|comments are closed|have your say|log in to|"
-    r"terms of use|privacy|copyright|©|all rights reserved|no part of this page|this (report|page|story|article) may contain|"
-    r"views expressed|errors\? |contact the newsroom|about us|back to top|site map|change edition|"
-    r"we value your privacy|your data, your choice|before you read on|a note on storage|this page remembers you|"
-    r"enviar|comparte|deja tu|suscríbete|todos los derechos|aviso legal|lo más leído|quiénes somos|política de|"
-    r"volver arriba|edición digital|únete a|contacto|usamos cookies|clasificación$|tienda$|resultados$|calendario$|"
-    r"partager|envoyer|reproduction interdite|tous droits|édit|les plus lus|réagir|recevez|nous (utilisons|contacter)|"
-    r"plan du site|politique de|abonnez|mentions légales|qui sommes|haut de page|retour en haut|"
-    r"link kopieren|per mail|kommentar|mitteilungen|jetzt newsletter|alle rechte|impressum|kontakt|digitale ausgabe|"
-    r"wir verwenden|meistgelesen|über uns|nach oben|artikel teilen|werben|"
-    r"copiar ligação|deixe um|partilhe|termos e|torne-se|ficha técnica|edição digital|todos os direitos|"
-    r"política de privacidade|voltar ao topo|ative as|mais lidas|receba|quem somos|utilizamos|"
-    r"\d{1,2} \w{3} \d{4} \d\d:\d\d"
-)
-# Openings and endings of lines that belong to a story.
-STORY = r"q: |a: |• |what .+ said to |[^,.]+, \d{1,2} \w+: [^.]+ and the |- [A-Z\w].*: \d|end of over|fall of wickets|\d+\.\d[:. ]|[\"“«]|.* \d+/\d+ \(\d|.* econ \d|.*won by \d+ (runs|wickets)|.* v .*: \d+ from \d+|for .{5,80} are expected"
-_SEED = re.compile(rf"(?i)^\s*(?:{SEEDS})")
-_SITE_SEED = re.compile(r"(?i)published by .* registered in|follows an editors. code|editors. code; complaints")
-_STORY = re.compile(rf"(?i)^\s*(?:{STORY})")
 _BAR = re.compile(r"\s(?:[|·»›/–-])\s| {2,}")
+_OPENING = re.compile(r"[:|·•>»›/–—-]\s+")
 _END = re.compile(r"[.!?…][\"”’»)]*$")
 _TOKEN = re.compile(r"\w+|[^\w\s]")
+_NUMBER = re.compile(r"\d+")
 
 
-def weak_label(line: str) -> int | None:
-    """1 furniture, 0 story, None unknown: what the seed phrases say of a line.
+def form(line: str) -> str:
+    """What lines are compared by: lower case, single blanks, and no figures if a third of the line is figures, as in dates and counters."""
+    t = " ".join(line.lower().split())
+    masked = _NUMBER.sub("", t)
+    return masked if 3 * (len(t) - len(masked)) >= len(t) - t.count(" ") else t
 
-    A line of more than LONG characters is story: furniture isn't that long, and patterns are
-    slow on it.
-    """
-    if len(line) > LONG:
-        return 0
-    bars = len(parts := _BAR.split(line.strip()))
-    t = " ".join(line.split())
-    if _SEED.match(t) or _SITE_SEED.search(t):
-        return 1
-    if _STORY.match(t):
-        return 0
-    if bars >= 4 and max(len(p) for p in parts) <= 24:
-        return 1
-    if len(t) >= 60 and _END.search(t):
-        return 0
-    return None
+
+def form_hash(line: str) -> int:
+    return xxhash.xxh64_intdigest(form(line).encode("utf-8", "surrogatepass"))
 
 
 class _Ids(dict):
@@ -98,20 +66,18 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def features(lines: list[str], ids: _Ids) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features of lines: (slots, row of each): words, word pairs, first and last words, and shape."""
+    """Hashed features of lines: (slots, row of each): words, word pairs and triples, first and last words, and shape."""
     toks, shape = [], []
     for line in lines:
         t = line.strip()
-        low = _TOKEN.findall(re.sub(r"\d+", "0", t.lower()))
+        low = _TOKEN.findall(_NUMBER.sub("0", t.lower()))
         toks.append(["^", *low, "$"])
-        n = len(low)
-        letters = sum(map(str.isalpha, t)) or 1
-        caps = sum(map(str.isupper, t)) / letters
-        starts = sum(w[:1].isupper() for w in t.split()) / max(1, len(t.split()))
+        words = t.split()
+        starts = int(5 * sum(w[0].isupper() for w in words) / max(1, len(words)))
+        end, size = bool(_END.search(t)), min(12, int(2 * math.log2(len(low) + 1)))
         shape.append([
-            f"#n{min(12, int(np.log2(n + 1) * 2))}", f"#end{bool(_END.search(t))}", f"#bars{min(4, len(_BAR.split(t)))}",
-            f"#caps{int(caps * 4)}", f"#starts{int(starts * 5)}", f"#n{min(12, int(np.log2(n + 1) * 2))}end{bool(_END.search(t))}",
-            f"#starts{int(starts * 5)}end{bool(_END.search(t))}", f"#open{t[:1].isalnum()}{t[:1].islower()}",
+            f"#n{size}", f"#end{end}", f"#bars{min(4, len(_BAR.split(t)))}", f"#case{t.isupper()}{t.islower()}", f"#starts{starts}",
+            f"#n{size}end{end}", f"#starts{starts}end{end}", f"#open{t[:1].isalnum()}{t[:1].islower()}",
         ])
     n = np.array([len(x) for x in toks], int)
     flat = np.fromiter(map(ids.__getitem__, chain.from_iterable(toks)), np.uint64, n.sum())
@@ -127,25 +93,64 @@ def features(lines: list[str], ids: _Ids) -> tuple[np.ndarray, np.ndarray]:
     return slots.astype(np.int64), rows
 
 
-def fit(lines: list[str], labels: np.ndarray, rounds: int = 40) -> np.ndarray:
-    """Weights of a logistic regression on hashed features (Adagrad, both classes weighted alike)."""
-    slots, rows = features(lines, _Ids())
+def fit(slots: np.ndarray, rows: np.ndarray, labels: np.ndarray, rounds: int = 15, least: int = 20) -> np.ndarray:
+    """Weights of a logistic regression on hashed features (Adagrad, both classes weighted alike).
+
+    Labels are 1, 0, or negative for rows to be left out. Features of fewer than ``least`` rows,
+    such as rare names, have no weight, so that lines aren't learnt by heart.
+    """
+    n = len(labels)
     w = np.zeros(SLOTS)
-    if not len(lines):
-        return w.astype(np.float32)
-    norm = 1 / np.sqrt(np.bincount(rows, minlength=len(lines)))
+    norm = 1 / np.sqrt(np.maximum(1, np.bincount(rows, minlength=n)))
+    use = labels[rows] >= 0
+    slots, rows = slots[use], rows[use]
+    use = np.bincount(slots, minlength=SLOTS)[slots] >= least
+    slots, rows = slots[use], rows[use]
     past = np.full(SLOTS, 1e-6)
-    y = labels.astype(float)
-    weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+    y = (labels == 1).astype(float)
+    ones, zeros = (labels == 1).sum(), (labels == 0).sum()
+    weight = np.where(labels == 1, 0.5 / max(1, ones), 0.5 / max(1, zeros)) * (ones + zeros)
     for _ in range(rounds):
-        z = np.bincount(rows, w[slots], len(lines)) * norm
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight * norm * len(lines)
+        z = np.bincount(rows, w[slots], n) * norm
+        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight * norm
         grad = np.bincount(slots, g[rows], SLOTS) + 1e-3 * w
         past += grad * grad
         w -= 0.7 * grad / np.sqrt(past)
     return w.astype(np.float32)
 
 
+def learn(lines: list[str], repeats: np.ndarray, titles: list[str], rounds: int = 15) -> np.ndarray:
+    """The classifier's weights, from a sample of lines and titles.
+
+    ``repeats`` is 1 for lines that stand on many pages, 0 for those on hardly any other, and
+    negative for the rest. Among the second are links to other stories, which have a title in
+    them, often behind an opening: a first classifier, of titles against these lines, finds
+    those that end like a title, in two turns, and they count as furniture for the second one.
+    """
+    alone = np.flatnonzero(repeats == 0)
+    ends = [[t[m.end() :] for m in _OPENING.finditer(t) if t[m.end() :]] for t in (lines[i].strip() for i in alone)]
+    heads = [v for t in titles for v in (t, t.upper(), t.lower())]
+    texts = [*lines, *heads, *chain.from_iterable(ends)]
+    if not texts:
+        return np.zeros(SLOTS, np.float32)
+    slots, rows = features(texts, _Ids())
+    least = max(2, min(20, len(texts) // 1_000))
+    norm = np.sqrt(np.maximum(1, np.bincount(rows, minlength=len(texts))))
+    at, label = len(lines), np.full(len(texts), -1)
+    label[at : at + len(heads)] = 1
+    label[alone] = 0
+    whole = np.r_[alone, np.repeat(alone, [len(e) for e in ends])].astype(int)
+    piece = np.r_[alone, np.arange(at + len(heads), len(texts))].astype(int)
+    if heads and len(alone):
+        for _ in range(2):
+            z = np.bincount(rows, fit(slots, rows, label, rounds, least)[slots], len(texts)) / norm
+            best = np.full(len(lines), -np.inf)
+            np.maximum.at(best, whole, z[piece])
+            label[alone] = best[alone] > 0
+    label[:at] = np.where(repeats == 0, label[:at], repeats)
+    return fit(slots, rows, label, rounds, least)
+
+
 def odds(lines: list[str], w: np.ndarray, ids: _Ids) -> np.ndarray:
     """Log-odds of each line being furniture."""
     if not lines:
@@ -155,6 +160,23 @@ def odds(lines: list[str], w: np.ndarray, ids: _Ids) -> np.ndarray:
     return np.bincount(rows, w[slots], len(lines)) / np.sqrt(n)
 
 
+class _Odds:
+    """Log-odds of lines; those of short lines, which come again and again, are kept for a while."""
+
+    def __init__(self, w: np.ndarray):
+        self.w, self.ids, self.known = w, _Ids(), {}
+
+    def __call__(self, lines: list[str]) -> np.ndarray:
+        if len(self.known) > 50_000:
+            self.known.clear()
+        known = self.known
+        new = [t for t in dict.fromkeys(lines) if t not in known]
+        now = dict(zip(new, odds(new, self.w, self.ids).tolist()))
+        out = np.fromiter((now[t] if t in now else known[t] for t in lines), float, len(lines))
+        known.update((t, z) for t, z in now.items() if len(t) < 160)
+        return out
+
+
 def min_cut(u: np.ndarray, a: np.ndarray, b: np.ndarray, cap: np.ndarray) -> np.ndarray:
     """Labels (True furniture) of least cost: a node differs from the sign of u at cost |u|, ends of an edge differ at cap.
 
@@ -233,7 +255,7 @@ def _kind(line: str) -> int:
     return 0 if len(line) < 45 else 1 if len(line) < 110 else 2
 
 
-def page_labels(bodies: list, w: np.ndarray, ids: _Ids) -> tuple[list[list[str]], list[np.ndarray], list[np.ndarray]]:
+def page_labels(bodies: list, odds_of: _Odds) -> tuple[list[list[str]], list[np.ndarray], list[np.ndarray]]:
     """For each page its pieces, the numbers (from 0) of its non-blank ones, and which of these are furniture."""
     pages, at, lines, a, b, cap = [], [], [], [], [], []
     for body in bodies:
@@ -252,30 +274,58 @@ def page_labels(bodies: list, w: np.ndarray, ids: _Ids) -> tuple[list[list[str]]
                 cap.append(LIKE)
         pages.append(pieces)
         at.append(np.array(keep, int))
-    label = min_cut(odds(lines, w, ids), np.array(a, int), np.array(b, int), np.array(cap, float)) if lines else np.zeros(0, bool)
+    label = min_cut(odds_of(lines), np.array(a, int), np.array(b, int), np.array(cap, float)) if lines else np.zeros(0, bool)
     ends = np.cumsum([0, *map(len, at)])
     return pages, at, [label[ends[k] : ends[k + 1]] for k in range(len(at))]
 
 
 def train(docs: DataFrame, fit_pages: int = FIT_PAGES) -> np.ndarray:
-    """The classifier's weights, from about ``fit_pages`` pages at most and their titles.
+    """The classifier's weights, from lines and titles of about ``fit_pages`` pages at most.
 
-    Lines are labelled by seed phrases; titles are examples of headlines that link to stories.
+    On how many pages these lines stand is counted over all pages. Pages with the same longest
+    line are copies of one story and count once.
     """
     n = docs.count()
     grain = 1_000_000
     share = grain if n <= fit_pages else max(1, grain * fit_pages // n)
-    rows = docs.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(grain)) < share).select("title", "body").toArrow()
-    lines, labels = [], []
-    for title, body in zip(rows.column("title").to_pylist(), rows.column("body").to_pylist()):
-        for line in (body or "").split("\n"):
-            if line.strip() and (label := weak_label(line)) is not None:
-                lines.append(line)
-                labels.append(label)
-        if title and title.strip():
-            lines += [title, title.upper()]
-            labels += [1, 1]
-    return fit(lines, np.array(labels, int))
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kind, text = [], []
+            for title, body in zip(b.column("title").to_pylist(), b.column("body").to_pylist()):
+                lines = [p for p in (body or "").split("\n") if p.strip()]
+                step = -(-len(lines) // PAGE_LINES)
+                lines = [p for p in lines if step < 2 or form_hash(p) % step == 0]
+                title = [title] if title and title.strip() else []
+                kind += [0] * len(lines) + [1] * len(title)
+                text += lines + title
+            yield pa.RecordBatch.from_pydict({"kind": pa.array(kind, pa.int32()), "text": pa.array(text, pa.string())})
+
+    chosen = docs.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(grain)) < share)
+    rows = chosen.select("title", "body").mapInArrow(sample, "kind int, text string").toArrow()
+    kind, text = rows.column("kind").to_pylist(), rows.column("text").to_pylist()
+    lines, titles = ([t for k, t in zip(kind, text) if k == x] for x in (0, 1))
+    hashes = np.array([form_hash(t) for t in lines], np.uint64).view(np.int64)
+    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(hashes.tolist()))
+
+    def stands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(line, page) of the sample's lines, once for each."""
+        for b in batches:
+            line, page = [], []
+            for body in b.column("body").to_pylist():
+                if body:
+                    pieces = body.split("\n")
+                    there = np.fromiter(map(form_hash, set(pieces)), np.uint64).view(np.int64).tolist()
+                    there = wanted.value.intersection(there)
+                    line += there
+                    page += [xxhash.xxh64_intdigest(max(pieces, key=len).encode("utf-8", "surrogatepass")) >> 1] * len(there)
+            yield pa.RecordBatch.from_pydict({"line": pa.array(line, pa.int64()), "page": pa.array(page, pa.int64())})
+
+    counts = docs.select("body").mapInArrow(stands, "line long, page long").distinct().groupBy("line").agg(F.count("*").alias("n")).toArrow()
+    pages = dict(zip(counts.column("line").to_pylist(), counts.column("n").to_pylist()))
+    many = max(LEAST_PAGES, math.ceil(n * SHARE))
+    on = np.array([pages.get(h, 1) for h in hashes.tolist()], int)
+    return learn(lines, np.where(on >= many, 1, np.where(4 * on <= many, 0, -1)), titles)
 
 
 def _prepared(df: DataFrame, key: str, title: str, body: str) -> DataFrame:
@@ -292,12 +342,12 @@ def furniture_lines(df: DataFrame, key: str, title: str, body: str, fit_pages: i
     weights = df.sparkSession.sparkContext.broadcast(train(docs, fit_pages))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, w = _Ids(), weights.value
+        odds_of = _Odds(weights.value)
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
                 key_of = part.column("id").to_pylist()
-                _, at, on = page_labels(part.column("body").to_pylist(), w, ids)
+                _, at, on = page_labels(part.column("body").to_pylist(), odds_of)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "id": pa.array(np.repeat(np.array(key_of, np.int64), [int(o.sum()) for o in on])),
@@ -314,12 +364,12 @@ def main_text(df: DataFrame, key: str, title: str, body: str, fit_pages: int = F
     weights = df.sparkSession.sparkContext.broadcast(train(docs, fit_pages))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, w = _Ids(), weights.value
+        odds_of = _Odds(weights.value)
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
                 bodies = part.column("body").to_pylist()
-                pages, at, on = page_labels(bodies, w, ids)
+                pages, at, on = page_labels(bodies, odds_of)
                 out = []
                 for raw, pieces, k, o in zip(bodies, pages, at, on):
                     gone = set(k[o].tolist())
