@@ -208,6 +208,34 @@ def test_no_vectors(spark):
         assert c.groups.count() == 0 and p4_clusters.described(c).count() == 0
 
 
+def test_pivots_are_those_of_the_greedy_order():
+    rng = np.random.default_rng(4)
+    for n in (1, 7, 40, 700):
+        a = rng.random((n, n)) < 3 / n
+        a = (a | a.T) & ~np.eye(n, dtype=bool)
+        rank = rng.permutation(n)
+        want = np.full(n, -1)
+        for i in np.argsort(rank):
+            if want[i] < 0:
+                want[a[i] & (want < 0)] = i
+                want[i] = i
+        got = p4_clusters.pivot_rounds(np.packbits(a, axis=1), rank)
+        assert set(got) == set(want) and all(a[i, p] if p != i else True for i, p in enumerate(got))
+
+
+def test_typical_members_count_copies(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=24)
+    far, near = base + rng.normal(scale=0.4, size=24), base + rng.normal(scale=0.1, size=(6, 24))
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate([*near, *[far] * 9])]
+    c = p4_clusters.groups_of(spark.createDataFrame([(i, v, None, None) for i, v in rows], "art long, emb array<float>, ts timestamp, id string"), "art", "emb", "ts", dim=24)
+    x = np.array([v for _, v in rows], float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    order = sorted(range(len(x)), key=lambda i: (-round(float((x @ x[i]).mean()), 9), i))
+    got = p4_clusters.described(c).collect()
+    assert len(got) == 1 and got[0].size == len(x) and got[0].typical == order[:3]
+
+
 # ------------------------------------------------------------------ problems 8 and 9
 
 
@@ -307,6 +335,43 @@ def test_mixture(spark):
     assert any(got[s].most_repeats == cap[s] for s in cap)
 
 
+@pytest.mark.parametrize("most", [1 << 17, 20])
+def test_rows_of_a_mixture_keep_to_their_weights(spark, monkeypatch, most):
+    monkeypatch.setattr(p9_mixing, "BLOCK", 300)
+    monkeypatch.setattr(p9_mixing, "MOST_BLOCKS", most)
+    targets = spark.createDataFrame([("s0", 0.5, 2), ("s1", 0.3, 3), ("s2", 0.2, 3)], "source string, target_share double, max_repeats int")
+    rows = sorted(p9_mixing.mix(documents(spark, 900), targets, "doc_id", "source", "text").rows.collect(), key=lambda r: (r.slot, r.place))
+    assert len({(r.slot, r.place) for r in rows}) == len(rows)
+    seen, total = Counter(), 0
+    largest = max(r.tokens for r in rows)
+    for r in rows:
+        seen[r.source] += r.tokens
+        total += r.tokens
+        # a block, or two where the schedule is repeated; and what documents stick out of blocks
+        assert all(abs(seen[x] - w * total) < (1 if most > 20 else 2) * 300 + 2.5 * largest for x, w in (("s0", 0.5), ("s1", 0.3), ("s2", 0.2)))
+
+
+def test_sums_before_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(p8_packing, "RANGE", 4)
+    rng = random.Random(5)
+    rows = [(s, b, rng.randrange(100)) for s in "abc" for b in range(30) if rng.random() < 0.7]
+    got = p8_packing.before(spark.createDataFrame(rows, "source string, bucket long, tokens long"), ["source"], "tokens", "past").collect()
+    assert {(r.source, r.bucket): r.past for r in got} == {(s, b): sum(n for t, c, n in rows if t == s and c < b) for s, b, _ in rows}
+
+
+def test_packing_to_given_targets(spark):
+    df = documents(spark, 800).where("source in ('s0', 's1', 's2')")
+    targets = {"s0": 0.2, "s1": 0.5, "s2": 0.3}
+    source = {r.doc_id: r.source for r in df.collect()}
+    rows = p8_packing.pack(df, "doc_id", "source", "text", 2048, targets).collect()
+    last = max(r.container for r in rows)
+    early = Counter()
+    for r in rows:
+        if r.container < last // 6:
+            early[source[r.doc_id]] += r.tokens
+    assert all(abs(early[s] / sum(early.values()) - w) < 0.1 for s, w in targets.items()) and {r.doc_id for r in rows} == set(source)
+
+
 def test_mixture_of_nothing(spark):
     targets = spark.createDataFrame([("a", 1.0, 2)], "source string, target_share double, max_repeats int")
     for t in (targets, targets.limit(0)):

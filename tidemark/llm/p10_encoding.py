@@ -236,14 +236,15 @@ def find_damage(df: DataFrame, key: str, text: str, scratch: Scratch | None = No
         .agg(F.max("sure").alias("sure"), F.max(F.struct("sure", (~F.col("lossy")).alias("whole"), "m", "original", "chain")).alias("o"))
         .select("piece", F.col("o.original").alias("original"), F.col("o.chain").alias("chain"), (~F.col("o.whole")).alias("lossy"), "sure", F.col("o.m").alias("m"))
     )
-    return Damage(found, scratch.put(best, "table"), docs)
+    # pieces that hold the replacement character and are no form of a known original
+    lost = counts.where(F.col("piece").contains(LOST)).select("piece", F.lit(None).cast("string").alias("original"), F.lit("lost").alias("chain"), F.lit(True).alias("lossy"), F.lit(True).alias("sure"), F.lit(0).cast("long").alias("m"))
+    best = scratch.put(best, "forms")
+    return Damage(found, scratch.put(best.unionByName(lost.join(best.select("piece"), "piece", "left_anti")), "table"), docs)
 
 
 def damaged_documents(d: Damage) -> DataFrame:
     """(doc_id): documents that hold a garbled piece, restorable or not."""
-    sure = d.table.where("sure").select("piece")
-    lost = d.pieces.where(F.col("piece").contains(LOST)).select("doc_id")
-    return d.pieces.join(sure, "piece", "left_semi").select("doc_id").unionByName(lost).distinct()
+    return d.pieces.join(d.table.where("sure").select("piece"), "piece", "left_semi").select("doc_id").distinct()
 
 
 def restored(d: Damage) -> DataFrame:
@@ -255,7 +256,7 @@ def restored(d: Damage) -> DataFrame:
     bad = damaged_documents(d)
     fixes = (
         d.pieces.join(d.table, "piece")
-        .where("sure or not lossy")
+        .where("(sure or not lossy) and original is not null")
         .join(bad, "doc_id", "left_semi")
         .groupBy("doc_id")
         .agg(F.collect_list(F.struct("piece", "original", "lossy", "sure", F.col("word").alias("word"), "m")).alias("fixes"))

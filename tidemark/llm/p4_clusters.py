@@ -26,6 +26,35 @@ def _order(ids: np.ndarray) -> np.ndarray:
     return h * np.uint64(0xD6E8FEB86659FD93)
 
 
+def pivot_rounds(linked: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The pivot of every row of a packed adjacency matrix.
+
+    In each round the undecided rows whose rank is smallest among their undecided neighbours
+    become pivots, and take those neighbours; a neighbour of several goes to the smallest rank.
+    The pivots are those of taking the rows one by one in the order of their rank; the rounds
+    are few (their number grows with the logarithm of the rows).
+    """
+    n = len(rank)
+    by_rank = np.argsort(rank)
+    pivot, undecided = np.full(n, -1), np.ones(n, bool)
+    while undecided.any():
+        rows = np.flatnonzero(undecided)
+        low = np.empty(len(rows), int)
+        for at in range(0, len(rows), 512):
+            near = np.unpackbits(linked[rows[at : at + 512]], axis=1, count=n).astype(bool) & undecided
+            low[at : at + 512] = np.where(near, rank, n).min(axis=1)
+        new = rows[rank[rows] < low]
+        pivot[new], undecided[new] = new, False
+        best = np.full(n, n)
+        for at in range(0, len(new), 512):
+            mine = new[at : at + 512]
+            near = np.unpackbits(linked[mine], axis=1, count=n).astype(bool) & undecided
+            best = np.minimum(best, np.where(near, rank[mine, None], n).min(axis=0))
+        taken = np.flatnonzero(best < n)
+        pivot[taken], undecided[taken] = by_rank[best[taken]], False
+    return pivot
+
+
 def _pivots(least: float):
     def work(ids: np.ndarray, x: np.ndarray, side: np.ndarray) -> pa.Table:
         n = len(ids)
@@ -42,12 +71,7 @@ def _pivots(least: float):
         def row(i: int) -> np.ndarray:
             return np.unpackbits(linked[i], count=n).astype(bool)
 
-        pivot = np.full(n, -1)
-        for i in np.argsort(_order(ids)):
-            if pivot[i] < 0:
-                mine = row(i) & (pivot < 0)
-                pivot[mine] = i
-                pivot[i] = i
+        pivot = pivot_rounds(linked, np.argsort(np.argsort(_order(ids))))
         # members go to the closest pivot they are linked to
         heads = np.flatnonzero(pivot == np.arange(n))
         best = np.where(pivot == np.arange(n), 2.0, -2.0)
@@ -108,19 +132,22 @@ def pivot_clusters(v: Vectors, scratch: Scratch, least: float = 0.55, smallest:
 def described(c: Clusters, typical: int = 3) -> DataFrame:
     """(group_id, size, medoid, typical): each group's size and most typical members.
 
-    Typical members have the highest cosine to the group's mean direction, ties to the smaller
-    id; the first one is the medoid. Means are summed per batch before they are shuffled, and
-    members are ranked with a limit per partition, so a large group is never gathered.
+    Typical members have the highest mean cosine to all members, ties to the smaller id; the
+    first one is the medoid. Of unit vectors that is the order of the cosine to their sum, so
+    no pairs are compared. Copies of a vector count as many times as there are, and are
+    members of their own. Sums are made per batch before they are shuffled, and members are
+    ranked with a limit per partition, so a large group is never gathered.
     """
     dim = c.vectors.dim
-    points = c.vectors.distinct.join(c.groups, "id")
+    twins = c.vectors.copies.groupBy(F.col("rep").alias("id")).agg(F.count("*").alias("times"))
+    points = c.vectors.distinct.join(c.groups, "id").join(twins, "id", "left").withColumn("times", F.coalesce("times", F.lit(1)))
 
     def sums(batches):
         for b in batches:
             x, at = unit_rows(b.column("v"), dim)
             g, inv = np.unique(np.asarray(b.column("group_id"))[at], return_inverse=True)
             total = np.zeros((len(g), dim))
-            np.add.at(total, inv, x)
+            np.add.at(total, inv, x * np.asarray(b.column("times"))[at, None])
             yield pa.RecordBatch.from_pydict({"group_id": pa.array(g), "total": pa.array([t.tobytes() for t in total], pa.binary())})
 
     def add(t: pa.Table) -> pa.Table:
@@ -130,7 +157,7 @@ def described(c: Clusters, typical: int = 3) -> DataFrame:
         return pa.table({"group_id": t.column("group_id").slice(0, 1), "total": pa.array([total.tobytes()], pa.binary())})
 
     schema = "group_id long, total binary"
-    mean = points.select("group_id", "v").mapInArrow(sums, schema).groupBy("group_id").applyInArrow(add, schema)
+    mean = points.select("group_id", "v", "times").mapInArrow(sums, schema).groupBy("group_id").applyInArrow(add, schema)
 
     def score(batches):
         for b in batches:
@@ -140,8 +167,11 @@ def described(c: Clusters, typical: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"group_id": b.column("group_id").take(pa.array(at)), "id": b.column("id").take(pa.array(at)), "s": pa.array(s)})
 
     scored = points.join(mean, "group_id").select("group_id", "id", "v", "total").mapInArrow(score, "group_id long, id long, s double")
+    # of the copies of one vector only the smallest ids can be among the most typical
+    few = c.vectors.copies.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("n") <= typical)
+    every = scored.join(few.select(F.col("rep").alias("id"), F.col("id").alias("own")), "id", "left").select("group_id", F.coalesce("own", "id").alias("id"), "s")
     w = Window.partitionBy("group_id").orderBy(F.desc(F.round("s", 9)), "id")
-    top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= typical)
+    top = every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= typical)
     listed = top.groupBy("group_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda s: s["id"]).alias("typical"))
     size = c.groups.groupBy("group_id").agg(F.count("*").alias("size"))
     return size.join(listed, "group_id").select("group_id", "size", F.col("typical")[0].alias("medoid"), "typical")

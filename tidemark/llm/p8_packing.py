@@ -21,6 +21,8 @@ from tidemark.session import Scratch
 CAPACITY = 2_048
 #: Containers of one bucket, about: a bucket is one task's work, and can waste one container.
 BUCKET = 1_500
+#: Buckets that one window sums.
+RANGE = 4_096
 
 
 def fill(items: list[tuple[int, str, int]], share: dict[str, float], deficit: dict[str, float], capacity: int) -> list[tuple[int, int, int, int]]:
@@ -73,6 +75,20 @@ def fill(items: list[tuple[int, str, int]], share: dict[str, float], deficit: di
     return out
 
 
+def before(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over the smaller buckets, per key.
+
+    Buckets are summed in ranges of RANGE first, so that a window holds one range's buckets, or
+    the few ranges, and never all buckets.
+    """
+    rows = df.withColumn("_range", F.floor(F.col("bucket") / RANGE))
+    past = lambda w: F.coalesce(F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = rows.groupBy(*keys, "_range").agg(F.sum(value).alias(value))
+    ranges = ranges.select(*keys, "_range", past(Window.partitionBy(*keys).orderBy("_range")).alias("_past"))
+    inside = rows.withColumn("_own", past(Window.partitionBy(*keys, "_range").orderBy("bucket")))
+    return inside.join(ranges, [*keys, "_range"]).withColumn(name, F.col("_past") + F.col("_own")).drop("_range", "_past", "_own")
+
+
 def pack(df: DataFrame, key: str, source: str, text: str, capacity: int = CAPACITY, targets: dict[str, float] | None = None, ranks: str = RANKS, pattern: str = PATTERN) -> DataFrame:
     """(doc_id, part_no, container, tokens): where every document goes.
 
@@ -97,12 +113,9 @@ def pack(df: DataFrame, key: str, source: str, text: str, capacity: int = CAPACI
     else:
         share = df.sparkSession.createDataFrame(list(targets.items()), "source string, share double")
     # what each bucket inherits: target minus actual tokens of the buckets before it
-    size = per.groupBy("bucket").agg(F.sum("tokens").alias("all"))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    size = size.withColumn("all_before", F.coalesce(F.sum("all").over(before), F.lit(0)))
-    mine = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    size = before(per.groupBy("bucket").agg(F.sum("tokens").alias("all")), [], "all", "all_before")
     carry = scratch.put(
-        per.withColumn("own_before", F.coalesce(F.sum("tokens").over(mine), F.lit(0)))
+        before(per, ["source"], "tokens", "own_before")
         .join(size, "bucket")
         .join(share, "source", "left")
         .select("bucket", "source", F.coalesce("share", F.lit(0.0)).alias("share"), (F.coalesce("share", F.lit(0.0)) * F.col("all_before") - F.col("own_before")).alias("deficit")),

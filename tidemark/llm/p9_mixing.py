@@ -19,7 +19,7 @@ from tidemark.llm.common import one_row_per_id
 from tidemark.llm.tokens import PATTERN, RANKS, token_counts
 from tidemark.session import Scratch
 
-#: Tokens of a block at least, and blocks at most: the schedule's size is bounded whatever the data's.
+#: Tokens of a block, and slots of the schedule at most (about): beyond them the schedule is repeated.
 BLOCK = 8_192
 MOST_BLOCKS = 1 << 17
 #: Ranges of the hash order in which a source's positions are summed.
@@ -53,7 +53,7 @@ def schedule(blocks: dict[str, int]) -> list[tuple[str, int]]:
 
 @dataclass
 class Mixture:
-    """rows: (slot, source, doc_id, repeat_no, tokens); plan: one row per target source, on the driver."""
+    """rows: (slot, place, source, doc_id, repeat_no, tokens), in order of slot and place; plan: one row per target source, on the driver."""
 
     rows: DataFrame
     plan: pd.DataFrame
@@ -69,7 +69,8 @@ def mix(df: DataFrame, targets: DataFrame, key: str, source: str, text: str, ran
     row and is reported with 0. Documents of other or null sources, with a null id, or
     without tokens don't take part; repeated rows of an id count once. Each pass over a source
     goes through its documents in the same hashed order, and a document is used if at least
-    half of it lies within its source's share.
+    half of it lies within its source's share. Up to MOST_BLOCKS blocks a source is never a
+    whole block ahead of or behind its weight; beyond, two at most, however much data there is.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "mix")
@@ -85,12 +86,13 @@ def mix(df: DataFrame, targets: DataFrame, key: str, source: str, text: str, ran
     share = live["share"] / live["share"].sum() if len(live) else live["share"]
     size = float((live["cap"] * live["own"] / share).min()) if len(live) else 0.0
     need = {s: min(int(w * size + 1e-6), int(c * n)) for s, w, c, n in zip(live["source"], share, live["cap"], live["own"])}
-    block = max(BLOCK, -(-int(size) // MOST_BLOCKS) + 1)
-    blocks = {s: -(-n // block) for s, n in need.items()}
-    order = pd.DataFrame(schedule(blocks), columns=["source", "block"])
-    order["slot"] = range(len(order))
-    slots = spark.createDataFrame(order, "source string, block long, slot long") if len(order) else spark.createDataFrame([], "source string, block long, slot long")
-    facts = spark.createDataFrame([(s, int(own[s]), int(n)) for s, n in need.items()], "source string, own long, need long")
+    blocks = {s: -(-n // BLOCK) for s, n in need.items()}
+    # a schedule for so many periods alike: a source has its share of blocks in each, but for one
+    periods = max(1, -(-sum(blocks.values()) // MOST_BLOCKS))
+    order = pd.DataFrame(schedule({s: -(-n // periods) for s, n in blocks.items()}), columns=["source", "nth"])
+    order["at_slot"] = range(len(order))
+    slots = spark.createDataFrame(order, "source string, nth long, at_slot long") if len(order) else spark.createDataFrame([], "source string, nth long, at_slot long")
+    facts = spark.createDataFrame([(s, int(own[s]), int(n), blocks[s]) for s, n in need.items()], "source string, own long, need long, blocks long")
 
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranges.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).select("source", "range", "offset")
@@ -101,13 +103,16 @@ def mix(df: DataFrame, targets: DataFrame, key: str, source: str, text: str, ran
         .join(F.broadcast(facts), "source")
         .withColumn("last", F.floor((F.col("need") - F.col("at") - F.col("tokens") / 2) / F.col("own")).cast("long"))
         .where("last >= 0")
-        .select("source", "doc_id", "tokens", "at", "own", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("pass"))
+        .select("source", "doc_id", "tokens", "at", "own", "blocks", "h", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("pass"))
         .withColumn("start", F.col("at") + F.col("pass") * F.col("own"))
-        .withColumn("block", F.floor(F.col("start") / block).cast("long"))
+        .withColumn("block", F.floor(F.col("start") / BLOCK).cast("long"))
+        .withColumn("period", F.expr(f"block * {periods} div blocks"))
+        .withColumn("nth", F.expr(f"block - (period * blocks + {periods - 1}) div {periods}"))
     )
-    # the schedule has at most MOST_BLOCKS rows and one per source
-    rows = placed.join(F.broadcast(slots), ["source", "block"]).select("slot", "source", "doc_id", (F.col("pass") + 1).alias("repeat_no"), "tokens")
-    return Mixture(rows, plan)
+    # the schedule has about MOST_BLOCKS rows at most, and one per source
+    rows = placed.join(F.broadcast(slots), ["source", "nth"]).withColumn("slot", F.col("period") * len(order) + F.col("at_slot"))
+    place = F.row_number().over(Window.partitionBy("slot").orderBy("start", "doc_id")).cast("long")
+    return Mixture(rows.select("slot", place.alias("place"), "source", "doc_id", (F.col("pass") + 1).alias("repeat_no"), "tokens"), plan)
 
 
 def shares(m: Mixture) -> DataFrame:
