@@ -149,3 +149,145 @@ def test_key_phrases_share_no_word(spark):
     assert set(got) == {1} and got[1][0] == "slow left arm" and "rain" in got[1] and "spin" in got[1]
     words = " ".join(got[1]).split()
     assert len(words) == len(set(words)) and len(got[1]) <= 10
+
+
+def test_exact_duplicates_of_a_hot_hash(spark):
+    rows = [(i, "same" if i % 3 else f"h{i}") for i in range(300)] + [(900, None), (901, None), (300, "h0")]
+    got = {(r.k, r.first_key) for r in dedup.exact_duplicates(spark.createDataFrame(rows, "k long, h string"), "k", "h").collect()}
+    assert got == {(i, 1) for i in range(2, 300) if i % 3} | {(300, 0)}
+
+
+def test_highest_rows_by_counts(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, int(v)) for i, v in enumerate(rng.choice([1, 5, 5, 7, 10**12, -3], 300))] + [(400 + i, None) for i in range(5)]
+    df = spark.createDataFrame(rows, "id long, v long")
+    order = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    for cap in (0, 1, 40, 150, 299, 300, 303, 400):
+        got = merge.highest(df, cap, F.col("v"), [F.col("id")], most=10).collect()
+        assert {tuple(r) for r in got} == set(order[:cap])
+    assert merge.highest(df.limit(0), 3, F.col("v"), []).count() == 0
+
+
+def test_quantiles(spark):
+    rng = np.random.default_rng(3)
+    x = [float(v) for v in rng.normal(size=501)] + [0.25] * 40
+    df = spark.createDataFrame([(v,) for v in x] + [(None,), (float("nan"),)], "x double")
+    for q in (0.0, 0.1, 0.5, 0.73, 1.0):
+        assert abs(topics.quantile(df, "x", q, grid=8 if q == 0.73 else 4_096) - np.quantile(x, q)) < (0.02 if q == 0.73 else 1e-9)
+    assert topics.quantile(df.where("x > 99"), "x", 0.5) is None
+    assert topics.assign_threshold(df.where("x > 99").withColumnRenamed("x", "sim")).first().threshold == 0.3
+
+
+def test_topic_metrics_in_blocks(spark):
+    x, t = blobs(6, 9, 4, spread=0.02, dim=16)
+    df = spark.createDataFrame([(i, int(k), v.tolist()) for i, (k, v) in enumerate(zip(t, x))] + [(900, 77, x[0].tolist()), (901, -1, x[1].tolist())], "id long, topic long, v array<double>")
+    one, more = ({r.id: r.s for r in topics.silhouette(df, most=n).collect()} for n in (100, 2))
+    assert one.keys() == more.keys() and 901 not in one and one[900] == 0.0 and all(abs(one[i] - more[i]) < 1e-12 for i in one)
+    sums = {k: x[t == k].sum(0) for k in range(6)} | {77: x[0]}
+    n = {k: 9 for k in range(6)} | {77: 1}
+    a = (9 - x[5] @ sums[0]) / 8
+    b = min(1 - x[5] @ sums[k] / n[k] for k in sums if k != 0)
+    assert abs(one[5] - (b - a) / max(a, b)) < 1e-12
+    d1, d2 = (topics.davies_bouldin(df, most=n).first()[0] for n in (100, 2))
+    assert d1 is not None and abs(d1 - d2) < 1e-12
+    assert topics.silhouette(df.limit(0)).count() == 0 and topics.davies_bouldin(df.limit(0)).first()[0] is None
+
+
+def test_arrivals_are_judged_in_order(spark):
+    """Row by row, as a crawl goes through them."""
+    import datetime as dt
+    import random
+    from types import SimpleNamespace
+
+    from tidemark.functions.simhash import plain_words, simhash_of
+    from tidemark.functions.urls import canonical
+    from tidemark.plans import texts
+
+    rng = random.Random(2)
+    words = lambda n: "t20 ipl psl " + " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    when = lambda d: dt.datetime(2026, 3, 1, 12, tzinfo=dt.timezone.utc) + dt.timedelta(days=d)
+    hashed = lambda t, b: __import__("hashlib").sha256(" ".join(plain_words(f"{t or ''} {b or ''}")).encode()).hexdigest()
+    flip = lambda v, n: int(np.int64(np.uint64(v & (2**64 - 1)) ^ np.uint64(sum(1 << b for b in rng.sample(range(64), n)))))
+    bodies = [words(150) for _ in range(12)]
+    stored = [(i, hashed(f"t{i}", bodies[i]), simhash_of(bodies[i]), when(-i)) for i in range(10)]
+    seen = [("https://a.example/1",), ("https://a.example/2",), (None,)]
+    arrive = []
+    for k in range(60):
+        body, title, url, alias, published, sim = words(150), f"title {k}", f"https://n.example/{k}", None, when(k / 10).isoformat(), None
+        kind = k % 12
+        if kind == 1:
+            url = "https://A.example/1/?utm_source=x"
+        elif kind == 2:
+            alias = "https://a.example/2#x"
+        elif kind == 3:
+            title = " "
+        elif kind == 4:
+            published = "soon"
+        elif kind == 5:
+            body = "t20 t20 t20 short"
+        elif kind == 6:
+            body = " ".join(f"w{rng.randrange(900)}" for _ in range(150))
+        elif kind == 7:
+            published = when(-30).isoformat()
+        elif kind == 8:
+            title, body = f"t{k % 10}", bodies[k % 10]
+        elif kind == 9:
+            sim = flip(stored[k % 10][2], 1 + k % 5)
+        elif kind == 10 and arrive:
+            sim = flip(arrive[-10 if k > 12 else 0][6] or simhash_of(arrive[0][5]), 2)
+        elif kind == 11 and arrive:
+            url, title, body = (arrive[0][1], title, body) if k % 2 else (url, arrive[0][3], arrive[0][5])
+        arrive.append((k, url, alias, title, published, body, sim if sim is not None else simhash_of(body), when(k / 10).isoformat()))
+    t = SimpleNamespace(
+        incoming_articles=spark.createDataFrame([(k, u, a, t, p, b, v, s, None) for k, u, a, t, p, b, v, s in arrive], "incoming_id long, url string, canonical_url string, title string, published_at string, body string, simhash long, scraped_at string, content_hash string"),
+        seen_articles=spark.createDataFrame(seen, "url string"), articles=spark.createDataFrame(stored, "id long, content_hash string, simhash long, scraped_at timestamp"),
+    )
+    got = {r.incoming_id: r.outcome for r in dedup.outcomes(texts.arrivals(t)).collect()}
+    known, contents, sims, want = {u for (u,) in seen if u}, {h for _, h, _, _ in stored}, [(v, s) for _, _, v, s in stored], {}
+    for k, url, alias, title, published, body, v, scraped in arrive:
+        now, link = dt.datetime.fromisoformat(scraped), canonical(url)
+        date = None if published == "soon" else dt.datetime.fromisoformat(published)
+        near = any(bin((v ^ x) & (2**64 - 1)).count("1") <= 3 and dt.timedelta(0) <= now - s <= dt.timedelta(days=7) for x, s in sims)
+        if date and date < now - dt.timedelta(days=7):
+            want[k] = "too_old"
+        elif link in known:
+            want[k] = "already_seen"
+        elif not title.strip():
+            want[k] = "rejected_missing_title"
+        elif date is None:
+            want[k] = "rejected_missing_date"
+        elif len(body.split()) < 100:
+            want[k] = "rejected_too_short"
+        elif body.count("t20") + body.count("ipl") + body.count("psl") < 3:
+            want[k] = "rejected_off_topic"
+        elif alias and canonical(alias) in known:
+            want[k] = "already_seen"
+        elif hashed(title, body) in contents:
+            want[k] = "duplicate_exact"
+        elif near:
+            want[k] = "duplicate_near"
+        else:
+            want[k] = "new"
+            sims.append((v, now))
+        known.add(link)
+        if want[k] in ("new", "duplicate_near"):
+            contents.add(hashed(title, body))
+    assert got == want and len(set(want.values())) >= 9
+
+
+def test_near_duplicates_resolve_in_order_of_arrival(spark):
+    import datetime as dt
+
+    at = lambda d: dt.datetime(2026, 1, 1) + dt.timedelta(days=d)
+    rows = [(5, 0b0, at(0)), (1, 0b1, at(2)), (2, 0b11, at(8)), (3, 0b1, at(8.5)), (9, 0b11111 << 30, at(1)), (8, 0b1111 << 30, at(1)), (7, 0b1, None)]
+    edges = dedup.arrival_edges(spark.createDataFrame(rows, "k long, v long, t timestamp"))
+    got = {(r.k, r.duplicate_of) for r in dedup.keep_first(spark.createDataFrame([(r[0],) for r in rows], "k long"), edges).collect()}
+    # 1 repeats 5; 2 comes more than seven days after 5, and 1 was not kept; 3 repeats 2; of equal times the smaller key is first
+    assert got == {(1, 5), (3, 2), (9, 8)}
+
+
+def test_mentions_take_the_longest_alias(spark):
+    gaz = spark.createDataFrame([("Green Park", "VENUE", "Green Park"), ("The Old Green Park East End", "VENUE", "East End"), ("India", "TEAM", "India")], "alias string, label string, name string")
+    df = spark.createDataFrame([(1, "At The Old Green Park East End and Green Park, India won. India!"), (2, None), (3, "x " * 20_000 + "India")], "id long, body string")
+    assert {tuple(r) for r in language.mentions(df, "id", "body", gaz, most_chars=None).collect()} == {(1, "VENUE", "East End", 1), (1, "VENUE", "Green Park", 1), (1, "TEAM", "India", 2), (3, "TEAM", "India", 1)}
+    assert language.mentions(df, "id", "body", gaz).where("id = 3").count() == 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from hashlib import md5
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -49,3 +50,16 @@ def bands(c: Column, n: int = 4) -> Column:
     width = 64 // n
     mask = (1 << width) - 1
     return F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(c, i * width).bitwiseAND(F.lit(mask)).alias("key")) for i in range(n)])
+
+
+#: 64 bits in five blocks; values that differ in at most three bits agree in two of them.
+BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+
+
+def block_pairs(c: Column) -> Column:
+    """Ten keys of 25 or 26 bits, numbered in their upper bits: one at least is the same for any three-bit neighbours."""
+    keys = []
+    for n, (i, j) in enumerate(combinations(range(5), 2)):
+        parts = [F.shiftrightunsigned(c, BLOCKS[k][0]).bitwiseAND(F.lit((1 << BLOCKS[k][1]) - 1)) for k in (i, j)]
+        keys.append(F.lit(n << 32) + F.shiftleft(parts[0], 13) + parts[1])
+    return F.array(*keys)

@@ -36,6 +36,7 @@ def kmeans_sweep(points: DataFrame, ks: list[int], key: str = "id", vec: str = "
         score = judge.evaluate(out)
         if best is None or score > best[2] + 1e-12:
             best = (out.select(key, F.col("topic").cast("long").alias("topic")), k, score)
+    data.unpersist()
     if best is None:
         return data.select(key, F.lit(0).cast("long").alias("topic")), 1, 0.0
     return best

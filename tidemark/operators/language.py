@@ -39,17 +39,19 @@ def fold_entities(text: Column, names: list[str]) -> Column:
     return text
 
 
-def mentions(df: DataFrame, key: str, text: str, gazetteer: DataFrame) -> DataFrame:
+def mentions(df: DataFrame, key: str, text: str, gazetteer: DataFrame, most_chars: int | None = MAX_CHARS) -> DataFrame:
     """(id, label, name, n): how often each document names an entry of the name list (alias, label, name).
 
-    Texts are cut into runs of one to four capitalised words, and these are joined with the
-    aliases, so a long list costs a join and not a search per name; the longest alias at a
-    place counts.
+    Texts are cut into runs of capitalised words, as many as the longest alias has, and these
+    are joined with the aliases, so a long list costs a join and not a search per name; the
+    longest alias at a place counts. ``most_chars`` is as far as texts are read; None is whole.
     """
+    longest_alias = gazetteer.agg(F.max(F.size(F.split("alias", " "))).alias("k")).first()["k"] or 1
+    whole = F.col(text) if most_chars is None else F.left(F.col(text), F.lit(most_chars))
     word = r"[\p{Lu}][\p{L}\p{N}'’-]*"
-    spans = df.select(F.col(key).alias("id"), F.explode(F.regexp_extract_all(F.left(F.col(text), F.lit(MAX_CHARS)), F.lit(f"({word}(?: {word})*)"), F.lit(1))).alias("span"))
+    spans = df.select(F.col(key).alias("id"), F.explode(F.regexp_extract_all(whole, F.lit(f"({word}(?: {word})*)"), F.lit(1))).alias("span"))
     grams = spans.select("id", "span", F.posexplode(F.split("span", " ")).alias("i", "_"), F.size(F.split("span", " ")).alias("len"))
-    grams = grams.select("id", "span", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(4), F.col("len") - F.col("i")))).alias("k"))
+    grams = grams.select("id", "span", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest_alias), F.col("len") - F.col("i")))).alias("k"))
     named = grams.select("id", "i", "k", F.xxhash64("span").alias("s"), F.array_join(F.slice(F.split("span", " "), F.col("i") + 1, F.col("k")), " ").alias("alias"))
     hit = named.join(gazetteer, "alias")
     # a span repeated in a document is counted through its multiplicity

@@ -56,14 +56,43 @@ def merge_daily(history: DataFrame, live: DataFrame) -> DataFrame:
     )
 
 
+def highest(table: DataFrame, cap: int, value: Column, order: list[Column], most: int = 50_000) -> DataFrame:
+    """The ``cap`` rows of highest ``value`` (a whole number; null is lowest), ties in the given order.
+
+    Counts by ranges of the value, narrowed around the cap, give the bound above which all rows
+    stay; only the rows of the last range, as a rule ``most`` at most, are sorted and cut.
+    """
+    if cap <= 0:
+        return table.limit(0)
+    rows = table.withColumn("_value", value.cast("long"))
+    there = rows.agg(F.min("_value").alias("lo"), F.max("_value").alias("hi"), F.count("_value").alias("n")).first()
+    if there["n"] <= cap:
+        rest = cap - there["n"]
+        none = rows.where("_value is null")
+        none = (none.orderBy(*order) if order else none).limit(rest) if rest else rows.limit(0)
+        return rows.where("_value is not null").unionByName(none).drop("_value")
+    lo, hi, need, inside = there["lo"], there["hi"], cap, there["n"]
+    while inside > most and hi > lo:
+        width = (hi - lo) // 1_024 + 1
+        part = F.expr(f"(_value - {lo}) div {width}")
+        counts = {r["p"]: r["n"] for r in rows.where(F.col("_value").between(lo, hi)).groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+        for p in sorted(counts, reverse=True):
+            if counts[p] >= need:
+                lo, hi, inside = lo + p * width, min(hi, lo + (p + 1) * width - 1), counts[p]
+                break
+            need -= counts[p]
+    last = rows.where(F.col("_value").between(lo, hi)).orderBy(F.desc("_value"), *order).limit(need)
+    return rows.where(F.col("_value") > hi).unionByName(last).drop("_value")
+
+
 def newest(table: DataFrame, cap: int, by: str = "id") -> DataFrame:
-    """The ``cap`` rows of highest ``by``: survivors of a rolling cap. Sorted and cut, without a single-task window."""
-    return table.orderBy(F.desc_nulls_last(by)).limit(cap)
+    """The ``cap`` rows of highest ``by``: survivors of a rolling cap."""
+    return highest(table, cap, F.col(by), [])
 
 
 def most_recent(table: DataFrame, cap: int, time: str = "seen_at", tie: str = "url") -> DataFrame:
     """The ``cap`` rows seen last; ties by the smaller key."""
-    return table.orderBy(F.desc_nulls_last(time), tie).limit(cap)
+    return highest(table, cap, F.unix_micros(F.col(time).cast("timestamp")), [F.col(tie)])
 
 
 def cascade(child: DataFrame, parents: DataFrame, key: str, parent_key: str = "id") -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import pretty
-from tidemark.functions.vectors import dot, normalised, sum_vectors
-from tidemark.session import cut
+from tidemark.functions.vectors import as_double, dot, normalised, sum_vectors
+from tidemark.session import checked, cut
 
 ASSIGN_PERCENTILE, ASSIGN_FLOOR, MATCH_LEAST = 0.10, 0.30, 0.75
 TOP_TERMS = 10
@@ -35,28 +35,66 @@ def leave_one_out(members: DataFrame, key: str = "id", topic: str = "topic", vec
     return j.select(key, topic, (dot(x, F.col("rest")) / F.greatest(F.sqrt(dot(F.col("rest"), F.col("rest"))), F.lit(1e-12))).alias("sim"))
 
 
+def quantile(df: DataFrame, value: str, share: float, grid: int = 4_096) -> float | None:
+    """The interpolated quantile of a column, to 1e-9 of its range; None if it has no value.
+
+    Counts on a grid find the cell of each of the two values around the rank, which is then cut
+    into a grid itself: a few passes of counts that combine before they are shuffled, where an
+    exact percentile would hold every distinct value in one task.
+    """
+    rows = df.select(F.col(value).cast("double").alias("x")).where("x is not null and not isnan(x)")
+    whole = rows.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")).first()
+    if not whole["n"]:
+        return None
+    at = share * (whole["n"] - 1)
+
+    def ranked(rank: int) -> float:
+        lo, hi = whole["lo"], whole["hi"]
+        for _ in range(3):
+            if hi <= lo:
+                return lo
+            cell = F.least(F.floor((F.col("x") - lo) / (hi - lo) * grid), F.lit(grid - 1))
+            counts = rows.where(F.col("x").between(lo, hi)).groupBy(cell.alias("c")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+            for r in sorted(counts, key=lambda r: r["c"]):
+                if rank < r["n"]:
+                    lo, hi = r["lo"], r["hi"]
+                    break
+                rank -= r["n"]
+        return lo
+
+    low = ranked(int(at))
+    return low if at == int(at) else low + (ranked(int(at) + 1) - low) * (at - int(at))
+
+
 def assign_threshold(sims: DataFrame, percentile: float = ASSIGN_PERCENTILE, floor: float = ASSIGN_FLOOR) -> DataFrame:
-    """One row: the similarity a new record needs to join a topic."""
-    return sims.agg(F.round(F.greatest(F.coalesce(F.percentile("sim", F.lit(percentile)), F.lit(floor)), F.lit(floor)), 4).alias("threshold"))
+    """One row: the similarity a new record needs to join a topic; the floor if there are no similarities."""
+    found = quantile(cut(sims.select("sim")), "sim", percentile)
+    return sims.sparkSession.createDataFrame([(round(max(floor if found is None else found, floor), 4),)], "threshold double")
+
+
+def _blocks(cents: DataFrame, columns: list[str], most: int) -> list[list]:
+    """The rows of a table of topics, computed once, in lists of at most about ``most``."""
+    cents = cut(cents.select(*columns))
+    n = -(-cents.count() // most)
+    parts = (cents.where(F.pmod(F.xxhash64(columns[0]), F.lit(n)) == i).orderBy(columns[0]).collect() for i in range(n))
+    return [p for p in parts if p]
 
 
 def nearest(rows: DataFrame, cents: DataFrame, key: str = "id", vec: str = "v", most: int = 20_000) -> DataFrame:
     """(id, topic, sim): the closest centroid of every row, the smaller topic among equals.
 
-    Centroids are counted first and go to the tasks in blocks of about ``most``, as a matrix
-    that whole Arrow batches are multiplied with; rows don't move. Rows whose vector is null or
-    of another length have no result.
+    Centroids are computed once, counted, and go to the tasks in blocks of about ``most``, as a
+    matrix that whole Arrow batches are multiplied with; rows don't move. Rows whose vector is
+    null or of another length have no result.
     """
     kind = dict(rows.dtypes)[key]
     out = f"{key} {kind}, topic long, sim double"
-    n = cents.count()
-    blocks = -(-n // most)
+    parts = _blocks(cents, ["topic", "centroid"], most)
     met = rows.sparkSession.createDataFrame([], out)
-    for i in range(blocks):
-        part = cents.where(F.pmod(F.xxhash64("topic"), F.lit(blocks)) == i).select("topic", "centroid").orderBy("topic").collect()
-        if part:
-            met = met.unionByName(rows.select(key, vec).mapInArrow(_closest(part, key, vec), out))
-    if blocks <= 1:
+    for part in parts:
+        now = rows.select(key, vec).mapInArrow(_closest(part, key, vec), out)
+        met = now if len(parts) == 1 else met.unionByName(now)
+    if len(parts) <= 1:
         return met
     best = met.groupBy(key).agg(F.max(F.struct("sim", (-F.col("topic")).alias("minus"))).alias("m"))
     return best.select(key, (-F.col("m.minus")).alias("topic"), F.col("m.sim").alias("sim"))
@@ -99,33 +137,85 @@ def nearest_column(cents: DataFrame, most: int = 500):
     return of
 
 
-def silhouette(members: DataFrame, key: str = "id", topic: str = "topic", vec: str = "v") -> DataFrame:
-    """(id, topic, s): cosine silhouette of unit vectors in closed form, from topic sums; a topic of one has 0."""
-    m = members.where(F.col(topic) >= 0)
-    sums = sum_vectors(m, [topic], vec, "s").join(m.groupBy(topic).agg(F.count("*").alias("n")), topic)
-    packed = sums.agg(F.collect_list(F.struct(F.col(topic).alias("t"), "n", "s")).alias("all"))
-    j = m.join(F.broadcast(packed))
-    d = F.transform("all", lambda o: F.struct((o["t"] == F.col(topic)).alias("own"), o["n"].alias("n"), dot(F.col(vec), o["s"]).alias("x")))
-    own = F.filter(d, lambda o: o["own"])[0]
-    a = (own["n"] - own["x"]) / (own["n"] - 1)
-    b = F.array_min(F.transform(F.filter(d, lambda o: ~o["own"]), lambda o: 1 - o["x"] / o["n"]))
-    return j.select(key, topic, F.when(own["n"] == 1, 0.0).otherwise((b - a) / F.greatest(a, b)).alias("s"))
+def silhouette(members: DataFrame, key: str = "id", topic: str = "topic", vec: str = "v", most: int = 20_000) -> DataFrame:
+    """(id, topic, s): cosine silhouette of unit vectors in closed form, from topic sums; a topic of one has 0.
+
+    Sums go to the tasks in blocks of about ``most`` topics, as matrices; members don't move.
+    """
+    import numpy as np
+    import pyarrow as pa
 
+    m = members.where(F.col(topic) >= 0).select(key, F.col(topic).cast("long").alias(topic), vec)
+    sums = sum_vectors(m, [topic], vec, "s").join(m.groupBy(topic).agg(F.count("*").alias("n")), topic)
+    kind = dict(m.dtypes)[key]
+
+    def against(part: list):
+        ids, n = np.array([r[topic] for r in part], np.int64), np.array([r["n"] for r in part], float)
+        matrix = np.array([r["s"] for r in part], float).T
+
+        def work(batches):
+            for b in batches:
+                t = np.asarray(b.column(topic))
+                x = np.asarray(b.column(vec).flatten().to_numpy(zero_copy_only=False), float).reshape(len(t), len(matrix))
+                d = x @ matrix
+                at = np.searchsorted(ids, t).clip(0, len(ids) - 1)
+                own = ids[at] == t
+                rows = np.arange(len(t))
+                a = np.where(own, (n[at] - d[rows, at]) / np.maximum(n[at] - 1, 1), np.nan)
+                far = 1 - d / n
+                far[rows[own], at[own]] = np.inf
+                least = far.min(axis=1) if len(ids) and len(t) else np.full(len(t), np.inf)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(key), b.column(topic), pa.array(a, mask=~own), pa.array(least, mask=np.isinf(least)), pa.array(np.where(own, n[at], 0).astype(np.int64))],
+                    names=[key, topic, "a", "b", "n"],
+                )
+
+        return work
+
+    schema = f"`{key}` {kind}, `{topic}` long, a double, b double, n long"
+    parts = [m.withColumn(vec, as_double(F.col(vec))).mapInArrow(against(p), schema) for p in _blocks(sums, [topic, "n", "s"], most)]
+    if not parts:
+        return m.select(key, topic, F.lit(None).cast("double").alias("s")).limit(0)
+    met = parts[0]
+    if len(parts) > 1:
+        for p in parts[1:]:
+            met = met.unionByName(p)
+        met = met.groupBy(key, topic).agg(F.max("a").alias("a"), F.min("b").alias("b"), F.max("n").alias("n"))
+    return met.select(key, topic, F.when(F.col("n") == 1, 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("s"))
+
+
+def davies_bouldin(members: DataFrame, topic: str = "topic", vec: str = "v", most: int = 20_000) -> DataFrame:
+    """One row: mean over topics of the worst ratio of spread to distance; NULL for fewer than two topics."""
+    import numpy as np
+    import pyarrow as pa
 
-def davies_bouldin(members: DataFrame, topic: str = "topic", vec: str = "v") -> DataFrame:
-    """One row: mean over topics of the worst ratio of spread to distance."""
-    m = members.where(F.col(topic) >= 0)
+    m = members.where(F.col(topic) >= 0).withColumn(topic, F.col(topic).cast("long"))
     cent = sum_vectors(m, [topic], vec, "s").join(m.groupBy(topic).agg(F.count("*").alias("n")), topic).select(topic, F.transform("s", lambda x: x / F.col("n")).alias("c"))
+    gap = F.zip_with(as_double(F.col(vec)), "c", lambda x, y: (x - y) * (x - y))
+    spread = m.join(cent, topic).groupBy(topic).agg(F.avg(F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x))).alias("spread"))
+    t = cut(cent.join(spread, topic))
+
+    def against(part: list):
+        ids, width = np.array([r[topic] for r in part]), np.array([r["spread"] for r in part])
+        centres = np.array([r["c"] for r in part], float)
+
+        def work(batches):
+            for b in batches:
+                worst = []
+                for k, c, w in zip(b.column(topic).to_pylist(), b.column("c").to_pylist(), b.column("spread").to_pylist()):
+                    others = ids != k
+                    far = np.linalg.norm(centres[others] - np.array(c), axis=1)
+                    with np.errstate(divide="ignore"):
+                        worst.append(float(((width[others] + w) / far).max()) if others.any() else None)
+                yield pa.RecordBatch.from_arrays([b.column(topic), pa.array(worst, pa.float64())], names=[topic, "w"])
 
-    def far(u: Column, v: Column) -> Column:
-        return F.sqrt(F.aggregate(F.zip_with(u.cast("array<double>"), v, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+        return work
 
-    spread = m.join(cent, topic).groupBy(topic).agg(F.avg(far(F.col(vec), F.col("c"))).alias("spread"))
-    t = cent.join(spread, topic)
-    other = t.select(F.col(topic).alias("o"), F.col("c").alias("oc"), F.col("spread").alias("os"))
-    pairs = t.join(F.broadcast(other), F.col(topic) != F.col("o"))
-    worst = pairs.groupBy(topic).agg(F.max((F.col("spread") + F.col("os")) / far(F.col("c"), F.col("oc"))).alias("w"))
-    return worst.agg(F.avg("w").alias("davies_bouldin"))
+    parts = [t.mapInArrow(against(p), f"`{topic}` long, w double") for p in _blocks(t, [topic, "c", "spread"], most)]
+    every = parts[0] if parts else t.select(topic, F.lit(None).cast("double").alias("w"))
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.groupBy(topic).agg(F.max("w").alias("w")).agg(F.avg("w").alias("davies_bouldin"))
 
 
 def ctfidf(doc_terms: DataFrame, topic: str = "topic", k: int = TOP_TERMS) -> DataFrame:
@@ -153,8 +243,8 @@ def npmi(doc_terms: DataFrame, topic_terms: DataFrame, n_docs: int, topic: str =
 
     Only the topics' own terms are counted, so the pairs are few per document.
     """
-    terms = topic_terms.select("term").distinct()
-    # rows of the topics' own terms only; read three times
+    # a few terms per topic; their rows are read three times
+    terms = checked(topic_terms.select("term").distinct())
     has = cut(doc_terms.select("id", "term").join(terms, "term", "left_semi").distinct())
     df = has.groupBy("term").agg(F.count("*").alias("df"))
     t = topic_terms.select(topic, "term")

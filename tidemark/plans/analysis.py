@@ -9,7 +9,7 @@ from tidemark.functions.text import entity_token, normalise_name
 from tidemark.functions.vectors import normalised
 from tidemark.operators import clustering, embedding, language, model, topics
 from tidemark.plans.base import KEYWORDS, MODEL, STOPS, Tables, query
-from tidemark.session import cut
+from tidemark.session import Scratch, cut
 from tidemark.streaming import jobs
 
 #: What ends a team's and a tournament's name in the test data.
@@ -33,13 +33,11 @@ def entity_top(t: Tables) -> DataFrame:
     return g.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("mentions"), "name"))).where("r <= 10").drop("r")
 
 
-@query(f"WITH {_ENTS} SELECT e.id, e.label, e.name, e.n FROM ents e WHERE e.label = 'TEAM' AND e.name IN (SELECT name FROM ents WHERE label = 'TEAM' GROUP BY 1 ORDER BY sum(n) DESC, name LIMIT 20)")
+@query(f"WITH {_ENTS} SELECT id, label, name, n FROM ents WHERE label = 'TEAM'")
 def gazetteer_mentions(t: Tables) -> DataFrame:
-    """Mentions of a list of names, through the name-list join; the SQL searches by pattern."""
-    e = _ents(t).where("label = 'TEAM'")
-    top = e.groupBy("name").agg(F.sum("n").alias("m")).orderBy(F.desc("m"), "name").limit(20)
-    gaz = top.select(F.col("name").alias("alias"), F.lit("TEAM").alias("label"), "name")
-    return language.mentions(t.articles, "id", "body", gaz).select("id", "label", "name", "n")
+    """Mentions of a list of names, all team names of the corpus, through the name-list join; the SQL searches by pattern."""
+    gaz = _ents(t).where("label = 'TEAM'").select(F.col("name").alias("alias"), "label", "name").distinct()
+    return language.mentions(t.articles, "id", "body", gaz, most_chars=None).select("id", "label", "name", "n")
 
 
 # names with a label that varies by article, as a tagger's would
@@ -144,7 +142,8 @@ def ctfidf(t: Tables) -> DataFrame:
     FROM pair p CROSS JOIN n LEFT JOIN both_ b ON b.t1 = p.t1 AND b.t2 = p.t2 JOIN df d1 ON d1.term = p.t1 JOIN df d2 ON d2.term = p.t2 GROUP BY 1""")
 def npmi(t: Tables) -> DataFrame:
     """How often the terms of a topic go together."""
-    terms = _terms(t)
+    # tokenised once: read for the topics' terms, and again for the documents that have them
+    terms = Scratch(t.spark, "terms").put(_terms(t))
     # one row per topic and term: small, and read four times
     top = cut(topics.ctfidf(terms))
     return topics.npmi(terms, top, t.articles.count()).select(F.col("topic").cast("long").alias("topic"), "npmi")
@@ -198,10 +197,17 @@ def loo_similarity(t: Tables) -> DataFrame:
     return topics.leave_one_out(_v(t)).select("id", "topic", F.round("sim", 6).alias("sim"))
 
 
-@query(f"WITH {_LOO} SELECT round(greatest(coalesce(quantile_cont(sim, 0.1), -1), -1), 4) AS threshold FROM loo")
+@query(f"WITH {_LOO} SELECT round(greatest(coalesce(quantile_cont(sim, 0.1), 0.3), 0.3), 4) AS threshold FROM loo")
 def assign_threshold(t: Tables) -> DataFrame:
-    """The tenth percentile of these similarities; without the floor, as the test vectors lie below it."""
-    return topics.assign_threshold(topics.leave_one_out(_v(t)), floor=-1.0)
+    """What a new vector needs to join a topic: the tenth percentile of these similarities, the floor at least."""
+    return topics.assign_threshold(topics.leave_one_out(_v(t)))
+
+
+@query(f"WITH {_LOO} SELECT unnest([0.1, 0.5, 0.9])::DOUBLE AS share, unnest(list_transform(quantile_cont(sim, [0.1, 0.5, 0.9]), lambda x: round(x, 4))) AS sim FROM loo")
+def loo_percentiles(t: Tables) -> DataFrame:
+    """Percentiles of these similarities."""
+    sims = cut(topics.leave_one_out(_v(t)).select("sim"))
+    return t.spark.createDataFrame([(q, round(x, 4)) for q in (0.1, 0.5, 0.9) if (x := topics.quantile(sims, "sim", q)) is not None], "share double, sim double")
 
 
 @query(f"""WITH {_V}, d AS (SELECT v.id, v.topic, s.topic AS o, s.n, list_dot_product(v.v, s.s) AS x FROM v CROSS JOIN sums s),

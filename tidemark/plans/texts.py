@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
@@ -10,7 +10,7 @@ from tidemark.functions.simhash import simhash64
 from tidemark.functions.urls import canonical_url
 from tidemark.operators import dedup, validate
 from tidemark.plans.base import DAY, Tables, clean_sql, query
-from tidemark.session import spread
+from tidemark.session import cut, spread
 from tidemark.sources.feeds import fresh, map_urls, parse_time, rss_items
 from tidemark.sources.pages import archive_name, extract
 
@@ -128,17 +128,18 @@ def near_dup_window(t: Tables) -> DataFrame:
 
 @query()
 def near_dup_resolved(t: Tables) -> DataFrame:
-    """Rows that repeat an earlier kept row; a greedy order that SQL doesn't have."""
-    return dedup.keep_first(_arrived(t).select("k"), near_dup_pairs(t))
+    """Rows that repeat a kept row of the seven days before them, in order of arrival; a greedy order that SQL doesn't have."""
+    rows = _arrived(t)
+    return dedup.keep_first(rows.select("k"), dedup.arrival_edges(rows))
 
 
-@query(f"""SELECT s.name AS source, count(*) AS articles, count(*) FILTER (WHERE author IS NULL) AS no_author, round(100.0 * count(*) FILTER (WHERE author IS NULL) / count(*), 1)::DOUBLE AS no_author_pct,
-    count(*) FILTER (WHERE published_at IS NULL) AS no_date, round(avg(word_count), 2) AS words_avg, min(word_count) AS words_min, max(word_count) AS words_max,
-    count(*) - count(DISTINCT content_hash) AS duplicate_hashes, CAST(min({DAY}) AS VARCHAR) AS first_day, CAST(max({DAY}) AS VARCHAR) AS last_day
-    FROM articles a JOIN sources s ON s.id = a.source_id GROUP BY 1""")
+@query(f"""WITH named AS (SELECT a.*, s.name FROM articles a LEFT JOIN (SELECT id AS source_id, name FROM sources) s USING (source_id))
+    SELECT name AS source, count(*) AS articles, (count(*) - count(author)) AS no_author, round(100.0 * (count(*) - count(author)) / count(*), 1)::DOUBLE AS no_author_pct,
+    count(*) - count(published_at) AS no_date, round(avg(word_count), 2) AS words_avg, min(word_count) AS words_min, max(word_count) AS words_max,
+    count(*) - count(DISTINCT content_hash) AS duplicate_hashes, CAST(min({DAY}) AS VARCHAR) AS first_day, CAST(max({DAY}) AS VARCHAR) AS last_day FROM named a GROUP BY ALL""")
 def word_stats_by_source(t: Tables) -> DataFrame:
-    """Quality report per source."""
-    a = t.articles.join(t.sources.select(F.col("id").alias("source_id"), F.col("name").alias("source")), "source_id")
+    """Quality report per source; articles of no known source are a row of their own."""
+    a = t.articles.join(t.sources.select(F.col("id").alias("source_id"), F.col("name").alias("source")), "source_id", "left")
     n, d = F.count("*"), F.to_date(F.coalesce("published_at", "scraped_at"))
     missing = F.count_if(F.col("author").isNull())
     return a.groupBy("source").agg(
@@ -168,25 +169,42 @@ def crawl_runs_rollup(t: Tables) -> DataFrame:
     return s.groupBy("week").agg(F.count("*").alias("found"), F.count_if(stored).alias("inserted"), F.count_if(dup).alias("duplicates"), F.count_if(~stored & ~dup).alias("skipped"))
 
 
-@query("""SELECT incoming_id, outcome FROM (
-    WITH dates AS (SELECT incoming_id, source, canonical_url, title, content_hash, scraped_at, EXISTS (SELECT 1 FROM seen_articles s WHERE s.url = i.canonical_url) AS seen,
-        EXISTS (SELECT 1 FROM articles a WHERE a.content_hash = i.content_hash) OR EXISTS (SELECT 1 FROM incoming_articles e WHERE e.incoming_id < i.incoming_id AND e.content_hash = i.content_hash) AS exact,
-        """ + words_sql("body") + """ AS words FROM incoming_articles i)
-    SELECT incoming_id, CASE WHEN seen THEN 'already_seen' WHEN trim(coalesce(title, '')) = '' THEN 'rejected_missing_title' WHEN words < 100 THEN 'rejected_too_short' WHEN exact THEN 'duplicate_exact' ELSE 'new' END AS outcome FROM dates)""")
-def ingest_outcomes(t: Tables) -> DataFrame:
-    """What a crawl would do with each arrival, the first check that applies; without date and near-duplicate checks."""
-    i = t.incoming_articles
-    seen = t.seen_articles.where(F.col("url").isNotNull()).select(F.col("url").alias("canonical_url"), F.lit(True).alias("s")).distinct()
-    stored = t.articles.select("content_hash", F.lit(True).alias("e")).where(F.col("content_hash").isNotNull()).distinct()
-    first = F.min("incoming_id").over(Window.partitionBy("content_hash"))
-    j = i.withColumn("first", first).join(seen, "canonical_url", "left").join(stored, "content_hash", "left")
-    r = F.when(text.strip(F.coalesce("title", F.lit(""))) == "", "missing_title").when(text.word_count(F.col("body")) < 100, "too_short")
-    no = F.lit(False)
+def arrivals(t: Tables) -> DataFrame:
+    """Arrivals with what ``dedup.outcomes`` asks for; ``now`` of an arrival is its own time of collection."""
+    i = t.incoming_articles.select(
+        "incoming_id", "title", "body", canonical_url(F.col("url")).alias("link"), canonical_url(F.col("canonical_url")).alias("alias"), parse_time(F.col("published_at")).alias("published"),
+        F.col("scraped_at").cast("timestamp").alias("scraped"), F.coalesce("content_hash", text.content_hash(F.col("title"), F.col("body"))).alias("content"), F.coalesce("simhash", simhash64(F.col("body"))).alias("v"),
+    )
+    i = cut(i)
+    seen = t.seen_articles.where(F.col("url").isNotNull()).select("url").distinct()
+    by = lambda c, n: seen.select(F.col("url").alias(c), F.lit(True).alias(n))
+    stored = t.articles.where(F.col("content_hash").isNotNull()).select(F.col("content_hash").alias("content"), F.lit(True).alias("stored")).distinct()
+    no, reason = F.lit(False), validate.reason(F.col("title"), F.col("published"), F.col("link"), F.col("body"))
+    twice = dedup.exact_duplicates(i, "incoming_id", "link").select("incoming_id", F.lit(True).alias("_twice"))
+    j = i.join(twice, "incoming_id", "left").join(by("link", "_seen"), "link", "left").join(by("alias", "_alias"), "alias", "left").join(stored, "content", "left")
     flags = j.select(
-        "incoming_id", no.alias("too_old"), F.coalesce("s", no).alias("already_seen"), no.alias("robots_blocked"), no.alias("failed"), r.alias("reason"), no.alias("alias_seen"),
-        (F.coalesce("e", no) | (F.col("content_hash").isNotNull() & (F.col("first") < F.col("incoming_id")))).alias("duplicate_exact"), no.alias("duplicate_near"),
+        "incoming_id", "content", "v", "scraped", F.coalesce(F.col("published") < F.col("scraped") - F.expr("INTERVAL 7 DAYS"), no).alias("too_old"), F.coalesce("_seen", "_twice", no).alias("already_seen"),
+        no.alias("robots_blocked"), no.alias("failed"), reason.alias("reason"), F.coalesce("_alias", no).alias("alias_seen"), F.coalesce("stored", no).alias("stored"),
     )
-    return dedup.outcomes(flags).select("incoming_id", "outcome")
+    flags = cut(flags)
+    # what may be accepted: compared with stored articles and with earlier arrivals that may be, too
+    passed = flags.where("not (too_old or already_seen or alias_seen) and reason is null")
+    again = dedup.exact_duplicates(passed.select("incoming_id", "content"), "incoming_id", "content").select("incoming_id", F.lit(True).alias("again"))
+    left = passed.where("not stored").join(again, "incoming_id", "left_anti")
+    old = t.articles.where("simhash is not null").select((-F.col("id") - 1).alias("k"), F.col("simhash").alias("v"), F.col("scraped_at").alias("t"))
+    rows = old.unionByName(left.select(F.col("incoming_id").alias("k"), "v", F.col("scraped").alias("t")))
+    # stored articles are there already, so that none of them is judged
+    near = dedup.keep_first(rows.select("k"), dedup.arrival_edges(rows).where("b >= 0")).select(F.col("k").alias("incoming_id"), F.lit(True).alias("duplicate_near"))
+    exact = F.col("stored") | F.coalesce("again", no)
+    return flags.join(again, "incoming_id", "left").join(near, "incoming_id", "left").select(
+        "incoming_id", "too_old", "already_seen", "robots_blocked", "failed", "reason", "alias_seen", exact.alias("duplicate_exact"), F.coalesce("duplicate_near", no).alias("duplicate_near")
+    )
+
+
+@query()
+def ingest_outcomes(t: Tables) -> DataFrame:
+    """What a crawl would do with each arrival, the first check that applies; in the order of arrival, so there is no SQL."""
+    return dedup.outcomes(arrivals(t)).select("incoming_id", "outcome")
 
 
 @query("SELECT id, left(sha1(url), 16) || '.html' AS file FROM articles WHERE url IS NOT NULL")
@@ -208,13 +226,18 @@ def fresh_candidates(t: Tables) -> DataFrame:
     return fresh(c, F.to_timestamp(F.lit("2026-05-10 00:00:00")), 3, 5).select("incoming_id")
 
 
-@query("SELECT doc_id, trim(title) AS title, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS body_hash FROM documents WHERE trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) <> '' AND title IS NOT NULL AND doc_type = 'brief' AND regexp_matches(text, '^[\\x20-\\x7e]+$') AND NOT regexp_matches(text || title, '[<>&]') AND regexp_matches(title, '^[\\x20-\\x7e]+$')")
+def pages(t: Tables) -> DataFrame:
+    """(url, html): a page around every document: a menu before its text, a paragraph per line, and a footer."""
+    xml = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    lines = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda p: F.concat(F.lit("<p>"), xml(p), F.lit("</p>"))), "")
+    head = F.concat(F.lit("<html><head><title>site</title><meta property='og:title' content=\""), xml(F.coalesce("title", F.lit(""))), F.lit("\"></head><body><nav><p>Home</p></nav><article>"))
+    return t.documents.select(F.concat(F.lit("https://x.example/"), F.col("doc_id")).alias("url"), F.concat(head, lines, F.lit("</article><footer><p>Terms</p></footer></body></html>")).alias("html"))
+
+
+@query()
 def extract_pages(t: Tables) -> DataFrame:
-    """Main text and title out of pages that are built around documents."""
-    d = t.documents.where((F.col("doc_type") == "brief") & F.col("title").rlike(r"^[\x20-\x7e]+$") & F.col("text").rlike(r"^[\x20-\x7e]+$") & ~F.concat("text", "title").rlike("[<>&]") & (F.trim("text") != ""))
-    html = F.concat(F.lit("<html><head><title>site</title><meta property='og:title' content=\""), F.replace("title", F.lit('"'), F.lit("&quot;")), F.lit("\"></head><body><nav><p>Home</p></nav><article><p>"), F.col("text"), F.lit("</p></article><footer><p>Terms</p></footer></body></html>"))
-    pages = d.select(F.concat(F.lit("https://x.example/"), F.col("doc_id")).alias("url"), html.alias("html"))
-    e = extract(pages).where(F.col("body").isNotNull())
+    """Main text and title out of pages around all documents; what an HTML parser makes of signs has no SQL."""
+    e = extract(pages(t)).where(F.col("body").isNotNull())
     return e.select(F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("doc_id"), F.trim("title").alias("title"), F.md5("body").alias("body_hash"))
 
 
@@ -230,10 +253,11 @@ def rss_feed(t: Tables) -> DataFrame:
     return got.groupBy("link", F.unix_timestamp("published").alias("published")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT trim(url) AS link, epoch_us(published_at) // 1000000 AS published FROM articles WHERE url LIKE '%/reports/%' AND NOT contains(url, '&')")
+@query("SELECT trim(url) AS link, epoch_us(published_at) // 1000000 AS published FROM articles WHERE url LIKE '%/reports/%'")
 def site_map(t: Tables) -> DataFrame:
     """Addresses of one section out of site maps that are built around articles."""
     last = F.coalesce(F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(""))
-    xml = F.concat(F.lit("<urlset><url><loc>"), F.col("url"), F.lit("</loc><lastmod>"), last, F.lit("</lastmod></url><url><loc>https://x.example/about</loc></url></urlset>"))
-    got = map_urls(t.articles.where(F.col("url").isNotNull() & ~F.contains("url", F.lit("&"))).select(xml.alias("xml")), section="/reports/")
+    address = F.replace(F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    xml = F.concat(F.lit("<urlset><url><loc>"), address, F.lit("</loc><lastmod>"), last, F.lit("</lastmod></url><url><loc>https://x.example/about</loc></url></urlset>"))
+    got = map_urls(t.articles.where(F.col("url").isNotNull()).select(xml.alias("xml")), section="/reports/")
     return got.select("link", F.unix_timestamp("published").alias("published"))

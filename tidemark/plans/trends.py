@@ -12,9 +12,12 @@ from tidemark.plans.base import ASSIGNED, DAY, MODEL, Tables, day, query
 FROM, TO = "2026-03-01", "2026-04-30"
 MAX_DAYS = 366
 _DAYS_SQL = f"spine AS (SELECT CAST(unnest(generate_series(DATE '{FROM}', DATE '{TO}', INTERVAL 1 DAY)) AS DATE) AS day)"
-_LIVE = f"""live AS (SELECT {DAY} AS day, c.stable_key, count(*) AS n FROM articles a JOIN sources s ON s.id = a.source_id JOIN article_clusters ac ON ac.article_id = a.id
-    JOIN clusters c ON c.id = ac.cluster_id AND c.model_id = {MODEL} WHERE a.duplicate_of IS NULL AND c.stable_key IS NOT NULL AND {DAY} BETWEEN DATE '{FROM}' AND DATE '{TO}' GROUP BY 1, 2)"""
-_LABELS = f"""label AS (SELECT DISTINCT ON (stable_key) stable_key, label, id, model_id = {MODEL} AS active FROM clusters WHERE stable_key IS NOT NULL ORDER BY stable_key, (model_id = {MODEL}) DESC, model_id DESC, id)"""
+_LIVE = f"""topic AS (SELECT id AS cluster_id, stable_key FROM clusters WHERE stable_key IS NOT NULL AND model_id = {MODEL}),
+    dated AS (SELECT a.id AS article_id, {DAY} AS day FROM articles a SEMI JOIN sources ON sources.id = a.source_id WHERE a.duplicate_of IS NULL),
+    live AS (SELECT day, stable_key, count(*) AS n FROM article_clusters JOIN topic USING (cluster_id) JOIN dated USING (article_id) WHERE day BETWEEN DATE '{FROM}' AND DATE '{TO}' GROUP BY ALL)"""
+_LABELS = f"""flagged AS (SELECT c.*, c.model_id = now.id AS active FROM clusters c CROSS JOIN (SELECT {MODEL} AS id) now WHERE stable_key IS NOT NULL),
+    newest AS (SELECT stable_key, max({{'active': active, 'model': model_id, 'minus': -id, 'label': label}}) AS m FROM flagged GROUP BY stable_key),
+    label AS (SELECT stable_key, m.label AS label, -m.minus AS id, m.active AS active FROM newest)"""
 
 
 def check_range(start: str, end: str) -> int:
@@ -73,7 +76,8 @@ def latest_label(t: Tables) -> DataFrame:
     return merge.first_per(c, ["stable_key"], [F.desc("active"), F.desc("model_id"), F.asc("id")]).select("stable_key", "label", F.col("id").cast("long").alias("id"), "active")
 
 
-@query("SELECT DISTINCT ON (stable_key) stable_key, id, model_id, len(centroid)::BIGINT AS dim FROM clusters WHERE stable_key IS NOT NULL AND centroid IS NOT NULL ORDER BY stable_key, model_id DESC, id")
+@query("""WITH k AS (SELECT stable_key, arg_max({'id': id, 'model_id': model_id, 'dim': len(centroid)}, {'m': model_id, 'i': -id}) AS c FROM clusters WHERE stable_key IS NOT NULL AND centroid IS NOT NULL GROUP BY ALL)
+    SELECT stable_key, c.id AS id, c.model_id AS model_id, c.dim::BIGINT AS dim FROM k""")
 def latest_centroid(t: Tables) -> DataFrame:
     """The newest centroid of each stable key over all models."""
     c = t.clusters.where(F.col("stable_key").isNotNull() & F.col("centroid").isNotNull())
@@ -174,8 +178,9 @@ def refresh_daily_stats(t: Tables) -> DataFrame:
     return _shown(merge.merge_daily(_half_gone(t), recent))
 
 
-@query(f"""WITH h AS (SELECT d.day, c.stable_key, c.model_id, c.id, d.n FROM clusters c JOIN (SELECT ac.cluster_id, {DAY} AS day, count(*) AS n FROM article_clusters ac JOIN articles a ON a.id = ac.article_id GROUP BY 1, 2) d ON d.cluster_id = c.id WHERE c.stable_key IS NOT NULL)
-    SELECT CAST(day AS VARCHAR) AS day, stable_key, n FROM h QUALIFY row_number() OVER (PARTITION BY day, stable_key ORDER BY model_id DESC, id) = 1""")
+@query(f"""WITH dated AS (SELECT a.id AS article_id, {DAY} AS day FROM articles a), counted AS (SELECT cluster_id, day, count(*) AS n FROM article_clusters JOIN dated USING (article_id) GROUP BY ALL),
+    keyed AS (SELECT id AS cluster_id, stable_key, model_id FROM clusters WHERE stable_key IS NOT NULL)
+    SELECT CAST(day AS VARCHAR) AS day, stable_key, arg_max(n, {{'m': model_id, 'c': -cluster_id}}) AS n FROM counted JOIN keyed USING (cluster_id) GROUP BY day, stable_key""")
 def history_dedupe(t: Tables) -> DataFrame:
     """Of several models' counts of a day and stable key, the newest model's."""
     a = t.articles.select(F.col("id").alias("article_id"), day().alias("day"))

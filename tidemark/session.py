@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
@@ -29,12 +30,15 @@ def session(app: str = "tidemark", master: str | None = None, **conf: str) -> Sp
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a temporary folder is set instead.
+    Only where that is unset and the master is local (tests on one machine) a temporary folder
+    is set instead; on a cluster the setting is required, as no machine's own folder will do.
     """
     sc = spark.sparkContext
     if (now := sc.getCheckpointDir()) is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
         if not where:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             where = tempfile.mkdtemp(prefix="tidemark-")
             atexit.register(shutil.rmtree, where, True)
         sc.setCheckpointDir(where)
@@ -48,6 +52,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def checked(df: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
+    """A materialised table, marked for broadcasting only if its rows take at most so many bytes.
+
+    Rows are counted, and measured by their columns' widths, strings and arrays by their own
+    size. Beyond the bound it stays a table that joins shuffle.
+    """
+    df = cut(df)
+    wide = [F.coalesce(F.octet_length(F.to_json(F.struct(F.col(c)))), F.lit(0)) for c, kind in df.dtypes if kind.startswith(("string", "binary", "array", "map", "struct"))]
+    size = F.sum(sum(wide, F.lit(16 * len(df.columns)))) if wide else F.count("*") * 16 * len(df.columns)
+    return F.broadcast(df) if (df.agg(size.alias("b")).first()["b"] or 0) <= most_bytes else df
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """``df`` over all cores, by a hash of a key, if it has fewer partitions than there are cores.
 
