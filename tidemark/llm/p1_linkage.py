@@ -11,29 +11,17 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.simhash import hamming, simhash64
+from tidemark.functions.simhash import block_pairs, hamming, simhash64
 from tidemark.functions.text import content_hash
 from tidemark.functions.urls import canonical_url
 from tidemark.llm.common import components, one_row_per_id
 from tidemark.session import Scratch, cut
 
 DISTANCE = 3
-#: 64 bits in five blocks; values that differ in at most three bits agree in two of them.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-
-
-def block_pairs(c: Column) -> Column:
-    """Ten keys of 25 or 26 bits, numbered in their upper bits: two of any three-bit neighbours' keys agree."""
-    keys = []
-    for n, (i, j) in enumerate(combinations(range(5), 2)):
-        parts = [F.shiftrightunsigned(c, BLOCKS[k][0]).bitwiseAND(F.lit((1 << BLOCKS[k][1]) - 1)) for k in (i, j)]
-        keys.append(F.lit(n << 32) + F.shiftleft(parts[0], 13) + parts[1])
-    return F.array(*keys)
 
 
 def with_hashes(df: DataFrame, title: str, body: str) -> DataFrame:
