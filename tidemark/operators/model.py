@@ -26,11 +26,12 @@ class Fit:
     assignments: DataFrame
 
 
-def fit(window: DataFrame, terms: DataFrame, old: DataFrame, model_id: int, first_id: int = 1) -> Fit | None:
+def fit(window: DataFrame, terms: DataFrame, old: DataFrame, model_id: int, first_id: int = 1, algorithm: str = "density") -> Fit | None:
     """Topics of a window of (id, v) with their (id, term, n); None if it has fewer than ten records.
 
-    Density clustering where the window allows it, a K-Means sweep if it is larger or finds
-    fewer than two topics. ``old`` holds clusters of all earlier models (id, model_id,
+    Density clustering of windows of up to DENSITY_MOST records; a K-Means sweep where the
+    ``algorithm`` is "kmeans", where the window is larger (the fit then says so), or where
+    density finds fewer than two topics. ``old`` holds clusters of all earlier models (id, model_id,
     centroid, stable_key): topics whose centroid matches the latest one of a stable key keep
     that key, others get a new one. Clusters are numbered from ``first_id``, the largest first.
     """
@@ -38,8 +39,8 @@ def fit(window: DataFrame, terms: DataFrame, old: DataFrame, model_id: int, firs
     n = rows.count()
     if n < LEAST:
         return None
-    algorithm, found = "density", None
-    if n <= clustering.DENSITY_MOST:
+    asked, algorithm, found = algorithm, "density", None
+    if asked == "density" and n <= clustering.DENSITY_MOST:
         found = cut(clustering.density_topics(rows.withColumn("g", F.lit(0)), "g").select("id", "topic"))
     if found is None or found.where("topic >= 0").select("topic").distinct().count() < 2:
         algorithm = "kmeans"

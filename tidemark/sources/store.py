@@ -10,6 +10,8 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import cut
+
 # The tables of the pipeline.
 SCHEMAS = {
     "sources": "id INT, name STRING, base_url STRING, last_crawled_at TIMESTAMP",
@@ -26,6 +28,79 @@ SCHEMAS = {
 }
 
 
+class Folder:
+    """Tables as versions in a folder that all executors share.
+
+    A write makes the next version, which holds once Spark has committed it; readers keep the
+    one they began with. ``append`` adds files to the newest version. Tables that were never
+    written are empty. ``keep`` older versions stay for readers.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, keep: int = 2):
+        self.spark, self.root, self.keep = spark, root.rstrip("/"), keep
+
+    def _versions(self, name: str) -> list[int]:
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(at):
+            return []
+        done = [f.getPath() for f in fs.listStatus(at) if fs.exists(jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+        return sorted(int(p.getName()) for p in done if p.getName().isdigit())
+
+    def read(self, name: str) -> DataFrame:
+        have = self._versions(name)
+        if not have:
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}/{have[-1]}")
+
+    def _ready(self, name: str, df: DataFrame) -> DataFrame:
+        like = self.spark.createDataFrame([], SCHEMAS[name])
+        return df.select(*[F.col(c).cast(kind).alias(c) for c, kind in like.dtypes])
+
+    def write(self, name: str, df: DataFrame) -> None:
+        have = self._versions(name)
+        self._ready(name, df).write.mode("overwrite").parquet(f"{self.root}/{name}/{(have[-1] if have else 0) + 1}")
+        jvm = self.spark.sparkContext._jvm
+        for old in have[: -self.keep] if self.keep else have:
+            p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/{old}")
+            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+    def append(self, name: str, df: DataFrame) -> None:
+        have = self._versions(name)
+        self._ready(name, df).write.mode("append").parquet(f"{self.root}/{name}/{have[-1] if have else 1}")
+
+
+class Database:
+    """The same over the tables of a catalogue's database."""
+
+    def __init__(self, spark: SparkSession, database: str):
+        self.spark, self.database = spark, database
+        create_tables(spark, database)
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.table(f"`{self.database}`.`{name}`")
+
+    def write(self, name: str, df: DataFrame) -> None:
+        # computed first, as it may read the table that it replaces
+        cut(df.select(*self.read(name).columns)).write.insertInto(f"`{self.database}`.`{name}`", overwrite=True)
+
+    def append(self, name: str, df: DataFrame) -> None:
+        cut(df.select(*self.read(name).columns)).write.insertInto(f"`{self.database}`.`{name}`")
+
+
+def make_store(kind: str, spark: SparkSession, where: str) -> Folder | Database:
+    """A store by its kind: "folder" or "database"."""
+    if kind not in ("folder", "database"):
+        raise ValueError('a store is a "folder" or a "database"')
+    return Folder(spark, where) if kind == "folder" else Database(spark, where)
+
+
+def log_run(store: Folder | Database, rows: DataFrame) -> None:
+    """Runs are only ever added to."""
+    store.append("crawl_runs", rows)
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines with a given schema; blank lines are skipped."""
     return spark.read.schema(schema).json(path)
