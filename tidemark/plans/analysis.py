@@ -259,19 +259,35 @@ def kmeans(t: Tables) -> DataFrame:
 
 @query()
 def hdbscan(t: Tables) -> DataFrame:
-    """Density clustering of the vectors of each label; iterative, so there is no SQL."""
-    return clustering.density_topics(t.embeddings.select("label", F.col("vec_id").alias("id"), F.col("embedding").alias("v")), "label")
+    """Density clustering of all vectors; iterative, so there is no SQL."""
+    return clustering.density_topics(t.embeddings.select(F.lit(0).alias("whole"), F.col("vec_id").alias("id"), F.col("embedding").alias("v")), "whole").select("id", "topic")
+
+
+def _unit_centroids(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """(id, c) of the active model's topics, and (stable_key, c) of the newest centroid of each key of other models; unit vectors."""
+    last = t.active_clusters.where("centroid is not null").select("id", normalised(F.col("centroid")).alias("c"))
+    old = t.clusters.join(F.broadcast(t.model_id), "model_id", "left_anti").where("stable_key is not null and centroid is not null")
+    newest = old.withColumn("r", F.row_number().over(Window.partitionBy("stable_key").orderBy(F.desc("model_id"), "id"))).where("r = 1")
+    return last, newest.select("stable_key", normalised(F.col("centroid")).alias("c"))
 
 
 @query()
 def stable_keys(t: Tables) -> DataFrame:
-    """Topics of the newest model matched to older stable keys by centroid; greedy, so there is no SQL."""
-    unit = lambda df, k: [(r[0], r[1]) for r in df.where(F.col("centroid").isNotNull()).select(k, normalised(F.col("centroid"))).orderBy(k).collect()]
-    last = t.active_clusters
-    old = t.clusters.join(F.broadcast(t.model_id), "model_id", "left_anti")
-    newest = old.where("stable_key is not null").withColumn("r", F.row_number().over(Window.partitionBy("stable_key").orderBy(F.desc("model_id"), "id"))).where("r = 1")
-    got = topics.match_keys(unit(last, "id"), unit(newest, "stable_key"), 0.3)
-    return t.spark.createDataFrame(sorted(got.items()), "id int, stable_key string")
+    """Topics of the active model, each with the older key whose centroid it matches, NULL for a new topic; greedy, so there is no SQL."""
+    # one row per topic of a model
+    last, newest = ([(r[0], list(r[1])) for r in df.orderBy(df.columns[0]).collect()] for df in _unit_centroids(t))
+    got = topics.match_keys(last, newest)
+    return t.spark.createDataFrame([(i, got.get(i)) for i, _ in last], "id int, stable_key string")
+
+
+@query(f"""WITH unit AS (SELECT id, model_id, stable_key, list_transform(centroid::DOUBLE[], lambda x: x / sqrt(list_dot_product(centroid::DOUBLE[], centroid::DOUBLE[]))) AS c FROM clusters WHERE centroid IS NOT NULL),
+    old AS (SELECT stable_key, arg_max(c, {{'m': model_id, 'i': -id}}) AS c FROM unit WHERE model_id <> {MODEL} AND stable_key IS NOT NULL GROUP BY stable_key)
+    SELECT n.id::BIGINT AS id, round(max(list_dot_product(n.c, old.c)), 6) AS sim FROM unit n CROSS JOIN old WHERE n.model_id = {MODEL} GROUP BY n.id""")
+def closest_keys(t: Tables) -> DataFrame:
+    """How near each topic comes to any older key."""
+    last, newest = _unit_centroids(t)
+    numbered = newest.select(F.xxhash64("stable_key").alias("topic"), F.col("c").alias("centroid"))
+    return topics.nearest(last.select("id", F.col("c").alias("v")), numbered).select(F.col("id").cast("long").alias("id"), F.round("sim", 6).alias("sim"))
 
 
 def usable_vectors(t: Tables) -> DataFrame:
@@ -286,11 +302,13 @@ def usable_vectors(t: Tables) -> DataFrame:
     u AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM latest WHERE v IS NOT NULL AND len(v) = 384 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x))) = 0 AND list_dot_product(v, v) > 0),
     c AS (SELECT id AS cluster_id, list_transform(centroid::DOUBLE[], lambda x: x / sqrt(list_dot_product(centroid::DOUBLE[], centroid::DOUBLE[]))) AS c FROM clusters WHERE model_id = {MODEL} AND centroid IS NOT NULL),
     n AS (SELECT id, cluster_id, list_dot_product(v, c) AS sim FROM u CROSS JOIN c QUALIFY row_number() OVER (PARTITION BY id ORDER BY list_dot_product(v, c) DESC, cluster_id) = 1)
-    SELECT id, CASE WHEN sim >= 0.42 THEN cluster_id::BIGINT END AS cluster_id, CASE WHEN sim >= 0.42 THEN round(sim, 4) END AS score FROM n""")
+    SELECT id, CASE WHEN sim >= least_sim THEN cluster_id::BIGINT END AS cluster_id, CASE WHEN sim >= least_sim THEN round(sim, 4) END AS score
+    FROM n CROSS JOIN (SELECT coalesce(max(json_extract_string(params, '$.assign_threshold')::DOUBLE), 0.3) AS least_sim FROM cluster_models WHERE id = {MODEL}) p""")
 def assign_articles(t: Tables) -> DataFrame:
     """All article vectors against the active model's topics; without a topic where none is near enough."""
     c = t.active_clusters.where(F.col("centroid").isNotNull()).select("id", "centroid")
-    return model.assign(usable_vectors(t), c, 0.42).withColumn("cluster_id", F.col("cluster_id").cast("long"))
+    own = t.cluster_models.join(F.broadcast(t.model_id), F.col("id") == F.col("model_id")).select(F.get_json_object("params", "$.assign_threshold").cast("double").alias("x")).first()
+    return model.assign(usable_vectors(t), c, topics.ASSIGN_FLOOR if own is None or own["x"] is None else own["x"]).withColumn("cluster_id", F.col("cluster_id").cast("long"))
 
 
 @query()
@@ -326,10 +344,15 @@ def stream_session(t: Tables) -> DataFrame:
     return s.select("user_id", F.unix_timestamp("session_window.start").alias("start"), "n")
 
 
-@query("SELECT user_id, event_type, min(event_id) AS first_event, count(*) AS n FROM events GROUP BY 1, 2")
+@query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(t: Tables) -> DataFrame:
-    """The first event of each user and type: what a stream with bounded memory passes on."""
-    return t.events.groupBy("user_id", "event_type").agg(F.min("event_id").alias("first_event"), F.count("*").alias("n"))
+    """Each user's first event of a type, passed on by a stream that remembers keys for ten years; what it wrote."""
+    scratch = Scratch(t.spark, "once")
+    stream = t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/[e]vents.parquet")
+    first = jobs.once(stream, "ts", ["user_id", "event_type"], "3650 days").select("user_id", "event_type")
+    run = first.writeStream.format("parquet").option("path", f"{scratch.root}/out").option("checkpointLocation", f"{scratch.root}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return t.spark.read.schema(first.schema).parquet(f"{scratch.root}/out")
 
 
 @query("SELECT event_type, count(*) AS n, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS k, round(quantile_cont(value, 0.1), 6) AS p10, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY 1")
@@ -371,6 +394,8 @@ def top_orders(t: Tables) -> DataFrame:
     return top_per(o, ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 2).select("o_custkey", "o_orderkey", F.round("o_totalprice", 2).alias("price"), F.col("rn").cast("long").alias("rn"))
 
 
-@query("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+@query("SELECT c_custkey FROM customer ANTI JOIN (SELECT o_custkey AS c_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01') o USING (c_custkey)")
 def customers_without_orders(t: Tables) -> DataFrame:
-    return t.customer.select("c_custkey").join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    """Customers that ordered nothing since 1998."""
+    late = t.orders.where(F.col("o_orderdate") >= F.lit("1998-01-01").cast(dict(t.orders.dtypes)["o_orderdate"])).select(F.col("o_custkey").alias("c_custkey"))
+    return t.customer.select("c_custkey").join(late, "c_custkey", "left_anti")

@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import language
-from tidemark.session import spread
+from tidemark.session import Scratch, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
+#: Where the language stage's tables are, by application and folder.
+_STORED: dict = {}
 #: "Now" of the queries: the test data end the day before.
 AS_OF = "2026-05-01 00:00:00"
 #: Words that keyword and topic queries leave out.
@@ -85,8 +87,13 @@ class Tables:
 
     @cached_property
     def article_nlp(self) -> DataFrame:
-        """(article_id, keywords): keywords of stored articles."""
-        return language.keywords(self.bodies, "id", "body", list(STOPS)).withColumnRenamed("id", "article_id")
+        """(article_id, keywords): keywords of stored articles, made once per application and folder and kept as a table, as the language stage keeps them."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _STORED:
+            made = language.keywords(self.bodies, "id", "body", list(STOPS)).withColumnRenamed("id", "article_id")
+            _STORED[key] = Scratch(self.spark, "nlp").write(made), made.schema
+        path, schema = _STORED[key]
+        return self.spark.read.schema(schema).parquet(path)
 
     @cached_property
     def bodies(self) -> DataFrame:

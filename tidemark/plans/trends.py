@@ -257,12 +257,12 @@ def window_rows(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {ASSIGNED}, m AS (SELECT max(created_at) AS t FROM cluster_models WHERE is_active)
-    SELECT count(*) FILTER (WHERE x.id IS NULL AND a.scraped_at > (SELECT t FROM m) - INTERVAL 30 DAY) AS emerging, count(*) FILTER (WHERE x.id IS NOT NULL) AS assigned FROM articles a LEFT JOIN assigned x ON x.id = a.id WHERE a.status = 'clustered'""")
+    SELECT count(*) FILTER (WHERE x.id IS NULL AND a.scraped_at > (SELECT t FROM m)) AS emerging, count(*) FILTER (WHERE x.id IS NOT NULL) AS assigned FROM articles a LEFT JOIN assigned x ON x.id = a.id WHERE a.status = 'clustered'""")
 def refit_inputs(t: Tables) -> DataFrame:
-    """Articles that came since shortly before the model's fit and joined no topic, and those in topics."""
+    """Articles that came since the model's fit and joined no topic, and those in topics."""
     m = t.cluster_models.where("is_active").agg(F.max("created_at").alias("fitted"))
     a = t.articles.where(F.col("status") == "clustered").join(t.assigned.select("id", F.lit(True).alias("in_topic")), "id", "left").join(F.broadcast(m))
-    new = F.col("scraped_at") > F.col("fitted") - F.expr("INTERVAL 30 DAYS")
+    new = F.col("scraped_at") > F.col("fitted")
     return a.agg(F.count_if(F.col("in_topic").isNull() & new).alias("emerging"), F.count_if(F.col("in_topic")).alias("assigned"))
 
 
