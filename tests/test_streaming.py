@@ -45,6 +45,48 @@ def test_assign_stream_is_a_column(spark):
     v = spark.createDataFrame([(1, [0.9, 0.1]), (2, [0.5, 0.5]), (3, [-1.0, -1.0])], "id long, v array<double>")
     got = {r.id: r.topic for r in jobs.assign_stream(v, cents, 0.4).collect()}
     assert got == {1: 3, 2: 3, 3: None}
+    assert jobs.assign_stream(v, cents.limit(0), 0.4).count() == 0
+
+
+def test_assign_on_a_stream_with_many_topics(spark, tmp_path):
+    cents = spark.range(1200).select(F.col("id").alias("topic"), F.array(*[F.when(F.col("id") % 7 == k, 1.0).otherwise(F.col("id") / 1e6) for k in range(7)]).alias("centroid"))
+    src = str(tmp_path / "in")
+    spark.createDataFrame([(1, [0.0] * 3 + [1.0] + [0.0] * 3), (2, None), (3, [1.0, 2.0])], "id long, v array<double>").write.parquet(src)
+    stream = spark.readStream.schema("id long, v array<double>").parquet(src)
+    q = jobs.assign_stream(stream, cents, 0.4).writeStream.format("memory").queryName("topic_of").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [(r.id, r.topic) for r in spark.table("topic_of").collect()] == [(1, 3)]
+
+
+def test_rolling_table_of_a_stream(spark, tmp_path):
+    from tidemark.sources.store import SCHEMAS, make_store
+
+    store, src = make_store("folder", spark, str(tmp_path / "store")), str(tmp_path / "in")
+    for first in (0, 6):
+        rows = spark.range(first, first + 8).select("id", *[F.lit(None).cast(k).alias(c) for c, k in spark.createDataFrame([], SCHEMAS["articles"]).dtypes if c != "id"])
+        rows.coalesce(1).write.mode("append").parquet(src)
+        jobs.roll(spark.readStream.schema(rows.schema).parquet(src), store, "articles", 10, str(tmp_path / "c")).awaitTermination()
+    assert sorted(r.id for r in store.read("articles").collect()) == list(range(4, 14))
+
+
+def test_repeat_and_drain(spark):
+    naps, calls = [], iter([1, ValueError("x"), 3])
+
+    def job():
+        c = next(calls)
+        if isinstance(c, Exception):
+            raise c
+        return c
+
+    got = jobs.repeat(job, 10, 3, naps.append, seed=1)
+    assert got[0] == 1 and isinstance(got[1], ValueError) and got[2] == 3 and len(naps) == 2 and all(540 <= n <= 660 for n in naps)
+    left = [5, 3, 0]
+    assert jobs.drain(lambda: spark.range(left.pop(0))) == 8 and left == []
+    try:
+        jobs.repeat(job, 1)
+        raise AssertionError
+    except ValueError:
+        pass
 
 
 def test_near_duplicates_over_batches(spark, tmp_path):

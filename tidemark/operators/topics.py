@@ -90,11 +90,13 @@ def nearest(rows: DataFrame, cents: DataFrame, key: str = "id", vec: str = "v",
     kind = dict(rows.dtypes)[key]
     out = f"{key} {kind}, topic long, sim double"
     parts = _blocks(cents, ["topic", "centroid"], most)
-    met = rows.sparkSession.createDataFrame([], out)
-    for part in parts:
-        now = rows.select(key, vec).mapInArrow(_closest(part, key, vec), out)
-        met = now if len(parts) == 1 else met.unionByName(now)
-    if len(parts) <= 1:
+    if not parts:
+        return rows.select(key, F.lit(None).cast("long").alias("topic"), F.lit(None).cast("double").alias("sim")).where("false")
+    each = [rows.select(key, vec).mapInArrow(_closest(part, key, vec), out) for part in parts]
+    met = each[0]
+    for now in each[1:]:
+        met = met.unionByName(now)
+    if len(parts) == 1:
         return met
     best = met.groupBy(key).agg(F.max(F.struct("sim", (-F.col("topic")).alias("minus"))).alias("m"))
     return best.select(key, (-F.col("m.minus")).alias("topic"), F.col("m.sim").alias("sim"))
@@ -119,24 +121,6 @@ def _closest(part: list, key: str, vec: str):
     return work
 
 
-def nearest_column(cents: DataFrame, most: int = 500):
-    """A column function vector -> struct(sim, minus topic), for streams: the counted centroids are part of the plan."""
-    rows = cents.select("topic", "centroid").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} centroids: use nearest on micro-batches")
-    listed = [F.struct(F.lit(int(r["topic"])).cast("long").alias("topic"), F.array(*map(F.lit, map(float, r["centroid"]))).alias("centroid")) for r in rows]
-    cs = F.array(*listed)
-
-    def of(v: Column) -> Column:
-        return F.aggregate(
-            cs,
-            F.struct(F.lit(-2.0).alias("sim"), F.lit(0).cast("long").alias("minus")),
-            lambda acc, c: F.greatest(acc, F.struct(dot(v, c["centroid"]).alias("sim"), (-c["topic"]).alias("minus"))),
-        )
-
-    return of
-
-
 def silhouette(members: DataFrame, key: str = "id", topic: str = "topic", vec: str = "v", most: int = 20_000) -> DataFrame:
     """(id, topic, s): cosine silhouette of unit vectors in closed form, from topic sums; a topic of one has 0.
 

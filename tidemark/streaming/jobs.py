@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import random
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,8 +114,54 @@ def _read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def assign_stream(vectors: DataFrame, cents: DataFrame, threshold: float) -> DataFrame:
-    """A stream of (id, v) with the topic of each row, NULL below the threshold; the centroids are a static table."""
-    near = topics.nearest_column(cents)
-    return vectors.select("id", near(F.col("v")).alias("m")).select(
-        "id", F.when(F.col("m.sim") >= threshold, -F.col("m.minus")).alias("topic"), F.round("m.sim", 4).alias("score")
-    )
+    """A stream of (id, v) with the topic of each row, NULL below the threshold.
+
+    The centroids are a static table, counted and sent to the tasks as a matrix; rows whose
+    vector is null or of another length have no result.
+    """
+    near = topics.nearest(vectors, cents)
+    return near.select("id", F.when(F.col("sim") >= threshold, F.col("topic")).alias("topic"), F.when(F.col("sim") >= threshold, F.round("sim", 4)).alias("score"))
+
+
+def roll(stream: DataFrame, store, name: str, cap: int, checkpoint: str, by: str = "id"):
+    """A query that adds arrivals to a stored table and keeps its ``cap`` newest rows by ``by``.
+
+    A micro-batch makes the table's next version; rows that are there already are not added, so a
+    batch that is run again after a failure changes nothing.
+    """
+
+    def batch(df: DataFrame, n: int) -> None:
+        now = merge.insert_if_absent(store.read(name), df.select(*store.read(name).columns), [by])
+        store.write(name, merge.newest(cut(now), cap, by))
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def drain(step: Callable[[], DataFrame], most: int = 10_000) -> int:
+    """Runs a step of a queue by status until it does nothing more; the rows it did in all."""
+    done = 0
+    for _ in range(most):
+        n = step().count()
+        done += n
+        if not n:
+            break
+    return done
+
+
+def repeat(job: Callable[[], object], minutes: float, most_runs: int | None = None, sleep: Callable[[float], None] = time.sleep, seed: int | None = None) -> list[object]:
+    """Runs a job again and again, every so many minutes (five at least), a tenth more or less by chance.
+
+    A run that fails is reported in the list as its exception, and the next one takes place all
+    the same.
+    """
+    if minutes < 5:
+        raise ValueError("runs are five minutes apart at least")
+    chance, out = random.Random(seed), []
+    while most_runs is None or len(out) < most_runs:
+        try:
+            out.append(job())
+        except Exception as e:
+            out.append(e)
+        if most_runs is None or len(out) < most_runs:
+            sleep(60 * minutes * chance.uniform(0.9, 1.1))
+    return out
