@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import p3_boilerplate, p4_clusters, p5_neighbours, p8_packing, p9_mixing, p10_encoding, tokens, vector_index
+from tidemark.llm.queries import RANKS
 from tidemark.session import Scratch
 
 # ------------------------------------------------------------------ problem 3
@@ -255,17 +256,17 @@ def test_counts_are_the_tokenizer_s(spark):
     t.encode_special_tokens = True
     want = [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
     df = spark.createDataFrame(list(enumerate(texts)) + [(99, None)], "i long, x string")
-    got = {r.i: r.tokens for r in tokens.token_counts(df, "x").collect()}
+    got = {r.i: r.tokens for r in tokens.token_counts(df, "x", RANKS).collect()}
     assert [got[i] for i in range(len(texts))] == want and got[99] == 0
 
 
 def test_very_long_runs_are_counted():
-    of = tokens.counter()
+    of = tokens.counter(RANKS)
     import base64
 
     import tiktoken
 
-    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(tokens.RANKS, "rb"))}
+    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     plain = tiktoken.Encoding("x", pat_str=tokens.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
     for text in ("a" + " " * 6000 + "b", "\n" * 7000, "x" + "\t" * 5001 + "é" + " " * 5500, "ab " * 4000, "\u3000" * 5200 + "7"):
         assert of(text) == len(plain(text))
@@ -276,8 +277,8 @@ def test_very_long_runs_are_counted():
 @pytest.mark.parametrize("capacity", [64, 512])
 def test_packing(spark, capacity):
     df = documents(spark, extra=ODD)
-    size = {r.doc_id: r.tokens for r in tokens.token_counts(df.select("doc_id", "text").where("doc_id is not null").distinct(), "text").collect()}
-    rows = p8_packing.pack(df, "doc_id", "source", "text", capacity).collect()
+    size = {r.doc_id: r.tokens for r in tokens.token_counts(df.select("doc_id", "text").where("doc_id is not null").distinct(), "text", RANKS).collect()}
+    rows = p8_packing.pack(df, "doc_id", "source", "text", RANKS, capacity).collect()
     fill, parts = Counter(), defaultdict(dict)
     for r in rows:
         fill[r.container] += r.tokens
@@ -288,7 +289,7 @@ def test_packing(spark, capacity):
     for d, p in parts.items():
         assert len(p) == max(1, -(-size[d] // capacity)) and sorted(p) == list(range(len(p)))
     assert sum(size.values()) / (len(fill) * capacity) > 0.97
-    one = p8_packing.report(p8_packing.pack(df, "doc_id", "source", "text", capacity), capacity).first()
+    one = p8_packing.report(p8_packing.pack(df, "doc_id", "source", "text", RANKS, capacity), capacity).first()
     assert one.containers == len(fill) and one.documents == len(size)
 
 
@@ -305,7 +306,7 @@ def test_packing_follows_targets():
 
 
 def test_packing_of_nothing(spark):
-    assert p8_packing.pack(spark.createDataFrame([], "d long, s string, t string"), "d", "s", "t").count() == 0
+    assert p8_packing.pack(spark.createDataFrame([], "d long, s string, t string"), "d", "s", "t", RANKS).count() == 0
 
 
 def test_schedule_keeps_every_window():
@@ -324,7 +325,7 @@ def test_schedule_keeps_every_window():
 def test_mixture(spark):
     df = documents(spark, 600, ODD)
     targets = spark.createDataFrame([("s0", 0.4, 1), ("s1", 0.3, 2), ("s2", 0.2, 2), ("s3", 0.1, 4), ("absent", 0.0, 3), (None, 0.1, 1)], "source string, target_share double, max_repeats int")
-    m = p9_mixing.mix(df, targets, "doc_id", "source", "text")
+    m = p9_mixing.mix(df, targets, "doc_id", "source", "text", RANKS)
     rows = m.rows.collect()
     used = Counter((r.source, r.doc_id) for r in rows)
     cap = {"s0": 1, "s1": 2, "s2": 2, "s3": 4}
@@ -340,7 +341,7 @@ def test_rows_of_a_mixture_keep_to_their_weights(spark, monkeypatch, most):
     monkeypatch.setattr(p9_mixing, "BLOCK", 300)
     monkeypatch.setattr(p9_mixing, "MOST_BLOCKS", most)
     targets = spark.createDataFrame([("s0", 0.5, 2), ("s1", 0.3, 3), ("s2", 0.2, 3)], "source string, target_share double, max_repeats int")
-    rows = sorted(p9_mixing.mix(documents(spark, 900), targets, "doc_id", "source", "text").rows.collect(), key=lambda r: (r.slot, r.place))
+    rows = sorted(p9_mixing.mix(documents(spark, 900), targets, "doc_id", "source", "text", RANKS).rows.collect(), key=lambda r: (r.slot, r.place))
     assert len({(r.slot, r.place) for r in rows}) == len(rows)
     seen, total = Counter(), 0
     largest = max(r.tokens for r in rows)
@@ -363,7 +364,7 @@ def test_packing_to_given_targets(spark):
     df = documents(spark, 800).where("source in ('s0', 's1', 's2')")
     targets = {"s0": 0.2, "s1": 0.5, "s2": 0.3}
     source = {r.doc_id: r.source for r in df.collect()}
-    rows = p8_packing.pack(df, "doc_id", "source", "text", 2048, targets).collect()
+    rows = p8_packing.pack(df, "doc_id", "source", "text", RANKS, 2048, targets).collect()
     last = max(r.container for r in rows)
     early = Counter()
     for r in rows:
@@ -375,7 +376,7 @@ def test_packing_to_given_targets(spark):
 def test_mixture_of_nothing(spark):
     targets = spark.createDataFrame([("a", 1.0, 2)], "source string, target_share double, max_repeats int")
     for t in (targets, targets.limit(0)):
-        m = p9_mixing.mix(spark.createDataFrame([], "d long, s string, t string"), t, "d", "s", "t")
+        m = p9_mixing.mix(spark.createDataFrame([], "d long, s string, t string"), t, "d", "s", "t", RANKS)
         assert m.rows.count() == 0 and all(r.tokens == 0 for r in p9_mixing.shares(m).collect())
 
 
@@ -425,3 +426,12 @@ def test_encoding_of_nothing(spark):
     for rows in ([], [(1, None), (2, "ascii")]):
         d = p10_encoding.find_damage(spark.createDataFrame(rows, "i long, t string"), "i", "t")
         assert p10_encoding.damaged_documents(d).count() == 0 and p10_encoding.restored(d).count() == 0
+
+
+def test_chains_of_encodings_are_parameters():
+    thrice = "é"
+    for _ in range(3):
+        thrice = thrice.encode().decode("cp1252", "replace")
+    forms = {f: c for f, c, _ in p10_encoding.garbled_forms("café", steps=3)}
+    assert any(f.endswith(thrice) for f in forms) and not any(f.endswith(thrice) for f, _, _ in p10_encoding.garbled_forms("café"))
+    assert {c.split("-")[0] for c in (c for _, c, _ in p10_encoding.garbled_forms("café", ("cp1252",), ("mac_roman",)))} == {"cp1252>mac_roman"}

@@ -45,8 +45,8 @@ def _read(raw: bytes, encoding: str) -> str:
         return "".join(bytes([b]).decode(encoding, "ignore") or chr(b) for b in raw)
 
 
-def garbled_forms(piece: str) -> Iterator[tuple[str, str, bool]]:
-    """(form, chain, lossy): what a piece turns into, read wrongly once or twice.
+def garbled_forms(piece: str, written: tuple[str, ...] = WRITTEN, read: tuple[str, ...] = READ, steps: int = 2) -> Iterator[tuple[str, str, bool]]:
+    """(form, chain, lossy): what a piece turns into, read wrongly once, or up to ``steps`` times as UTF-8.
 
     Also without the control characters and with a plain blank for the hard one, as pages are
     often tidied afterwards. A form is lossy if the piece can't be had back from it.
@@ -63,20 +63,25 @@ def garbled_forms(piece: str) -> Iterator[tuple[str, str, bool]]:
                 seen.add(v)
                 yield v, chain + how, True
 
-    for w in WRITTEN:
+    for w in written:
         try:
             raw = piece.encode(w)
         except UnicodeEncodeError:
             continue
-        for r in READ:
+        for r in read:
             if r == w:
                 continue
             once = _read(raw, r)
             lossy = LOST in once
             yield from variants(once, f"{w}>{r}", lossy)
-            if w == "utf-8" and r != "utf-8" and not lossy:
+            text, chain = once, f"{w}>{r}"
+            for _ in range(steps - 1):
+                if w != "utf-8" or lossy:
+                    break
+                raw_again = text.encode("utf-8", "surrogatepass")
                 for r2 in ("cp1252", "latin-1", r) if r in ("cp1252", "latin-1") else (r,):
-                    yield from variants(_read(once.encode("utf-8", "surrogatepass"), r2), f"{w}>{r}>{w}>{r2}", False)
+                    yield from variants(_read(raw_again, r2), f"{chain}>{w}>{r2}", False)
+                text, chain = _read(raw_again, r), f"{chain}>{w}>{r}"
         if w == "utf-8":
             yield from variants(LOST * len(raw), "utf-8>ascii", True)
             yield from variants(LOST, "utf-8>lost", True)
@@ -149,9 +154,12 @@ class Damage:
     docs: DataFrame
 
 
-def find_damage(df: DataFrame, key: str, text: str, scratch: Scratch | None = None) -> Damage:
+def find_damage(df: DataFrame, key: str, text: str, scratch: Scratch | None = None, written: tuple[str, ...] = WRITTEN, read: tuple[str, ...] = READ, steps: int = 2) -> Damage:
     """Pieces of the corpus, and the garbled ones with their originals.
 
+    The chains are those of every ``written`` encoding read as every other one in ``read``, and
+    of UTF-8 read so up to ``steps`` times.
+
     Pieces are words that hold a character beyond ASCII and, so that rare names count too, the
     runs of such characters inside them. Counts are over all documents (once per document) and
     over distinct texts, so that copies of a garbled text don't make it common. Originals are
@@ -191,7 +199,7 @@ def find_damage(df: DataFrame, key: str, text: str, scratch: Scratch | None = No
                 (form, p, n, n_text, n_word, chain, lossy)
                 for p, n, n_text, n_word in zip(*(b.column(c).to_pylist() for c in ("piece", "n", "n_text", "n_word")))
                 if plausible(p)
-                for form, chain, lossy in garbled_forms(p)
+                for form, chain, lossy in garbled_forms(p, written, read, steps)
             ]
             cols = list(zip(*rows)) if rows else [[]] * 7
             yield pa.RecordBatch.from_pydict(

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import one_row_per_id
-from tidemark.llm.tokens import PATTERN, RANKS, token_counts
+from tidemark.llm.tokens import PATTERN, token_counts
 from tidemark.session import Scratch
 
 CAPACITY = 2_048
@@ -89,7 +89,7 @@ def before(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     return inside.join(ranges, [*keys, "_range"]).withColumn(name, F.col("_past") + F.col("_own")).drop("_range", "_past", "_own")
 
 
-def pack(df: DataFrame, key: str, source: str, text: str, capacity: int = CAPACITY, targets: dict[str, float] | None = None, ranks: str = RANKS, pattern: str = PATTERN) -> DataFrame:
+def pack(df: DataFrame, key: str, source: str, text: str, ranks: str, capacity: int = CAPACITY, targets: dict[str, float] | None = None, pattern: str = PATTERN) -> DataFrame:
     """(doc_id, part_no, container, tokens): where every document goes.
 
     Every document with a non-null id is packed once, whole unless it exceeds the capacity;

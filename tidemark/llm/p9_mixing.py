@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import one_row_per_id
-from tidemark.llm.tokens import PATTERN, RANKS, token_counts
+from tidemark.llm.tokens import PATTERN, token_counts
 from tidemark.session import Scratch
 
 #: Tokens of a block, and slots of the schedule at most (about): beyond them the schedule is repeated.
@@ -59,7 +59,7 @@ class Mixture:
     plan: pd.DataFrame
 
 
-def mix(df: DataFrame, targets: DataFrame, key: str, source: str, text: str, ranks: str = RANKS, pattern: str = PATTERN) -> Mixture:
+def mix(df: DataFrame, targets: DataFrame, key: str, source: str, text: str, ranks: str, pattern: str = PATTERN) -> Mixture:
     """Documents with repeats, in an order that keeps every source to its target share of the tokens.
 
     ``targets`` has source, target_share and max_repeats, a row per source (it is collected: a

@@ -9,6 +9,15 @@ from tidemark.llm import p1_linkage, p2_topn, p3_boilerplate, p4_clusters, p5_ne
 from tidemark.llm.common import read
 from tidemark.session import Scratch, cut
 
+#: Where the tokenizer's rank file is on every worker, unless the session's setting says otherwise.
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+RANKS_SETTING = "spark.tidemark.tokenizer.ranks"
+
+
+def ranks(spark: SparkSession) -> str:
+    return spark.conf.get(RANKS_SETTING, RANKS)
+
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -186,7 +195,7 @@ def p3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Container of every document, or of each piece of a document above 2,048 tokens."""
-    return p8_packing.pack(read(spark, sf_dir, "documents"), "doc_id", "source", "text")
+    return p8_packing.pack(read(spark, sf_dir, "documents"), "doc_id", "source", "text", ranks(spark))
 
 
 @query
@@ -196,7 +205,7 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _p9(spark: SparkSession, sf_dir: str):
-    return p9_mixing.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets"), "doc_id", "source", "text")
+    return p9_mixing.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets"), "doc_id", "source", "text", ranks(spark))
 
 
 @query

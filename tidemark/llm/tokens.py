@@ -10,8 +10,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Where the vocabulary (a tiktoken rank file) is, on every worker.
-RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that splits text before the merges of these ranks.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -20,8 +18,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _BLANKS = re.compile(r"[ \t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{5000,}")
 
 
-def counter(ranks: str = RANKS, pattern: str = PATTERN) -> Callable[[str | None], int]:
-    """A function text -> number of tokens; of very long blank runs too, which are one piece but for their last character."""
+def counter(ranks: str, pattern: str = PATTERN) -> Callable[[str | None], int]:
+    """A function text -> number of tokens of a vocabulary, whose rank file is at ``ranks`` on every worker; of very long blank runs too, which are one piece but for their last character."""
     import tiktoken
 
     with open(ranks, "rb") as f:
@@ -44,7 +42,7 @@ def counter(ranks: str = RANKS, pattern: str = PATTERN) -> Callable[[str | None]
     return count
 
 
-def token_counts(docs: DataFrame, text: str, ranks: str = RANKS, pattern: str = PATTERN) -> DataFrame:
+def token_counts(docs: DataFrame, text: str, ranks: str, pattern: str = PATTERN) -> DataFrame:
     """``docs`` with the text replaced by ``tokens``, a long; null and empty texts have 0.
 
     Texts are counted whole, in Arrow batches; special tokens in a text are ordinary text.
