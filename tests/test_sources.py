@@ -85,3 +85,19 @@ def test_lock_and_status(tmp_path):
     status = str(tmp_path / "s.json")
     store.update_status(status, a=1)
     assert store.update_status(status, b=2) == {"a": 1, "b": 2}
+
+
+def test_pages_are_archived_and_give_pictures(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tidemark.sources import pages
+
+    rows = [("https://a.example/1", "<meta property='og:image' content='https://a.example/p.jpg'><article><p>x</p></article>"), ("https://a.example/2", "<p>none</p>")]
+    df = spark.createDataFrame(rows, "url string, html string")
+    pages.archive(df, str(tmp_path / "raw"))
+    pages.archive(df.limit(1), str(tmp_path / "raw"))
+    got = spark.read.parquet(str(tmp_path / "raw"))
+    assert got.count() == 3 and all(len(r.file) == 21 and r.file.endswith(".html") for r in got.collect())
+    arts = spark.createDataFrame([(1, "https://a.example/1", None), (2, "https://a.example/2", None), (3, "https://a.example/1", "https://own.example/q.jpg"), (4, None, None)], "id long, url string, image_url string")
+    assert {r.id: r.image_url for r in pages.with_images(arts, df).collect()} == {1: "https://a.example/p.jpg", 2: None, 3: "https://own.example/q.jpg", 4: None}
+    assert F

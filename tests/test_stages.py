@@ -102,6 +102,16 @@ def test_stages_from_clean_articles_to_topics(spark, tmp_path):
     report = stages.model_report(s).collect()
     assert len(report) == stages.active(s)["n_clusters"] >= 2 and all(len(r.titles) >= 2 for r in report) and sum(r.size for r in report) <= 30
     assert any("TEAM" in (r.top_terms.entities or {}) for r in s.read("clusters").collect())
+    now = stages.status(s).first()
+    assert now.articles == 31 and now.processing == 1 and now.model_id == 1 and now.last_nlp is not None and now.last_crawl is None and now.version == f"31-99-1-{now.assignments}-0"
+    stores.log_run(s, spark.createDataFrame([(4, 1, NOW, NOW, 1, 1, 0, 0, 0, {"too_old": "1"}), (5, 1, NOW, NOW + dt.timedelta(1), 1, 1, 0, 0, 1, {"failed": "x"})], stores.SCHEMAS["crawl_runs"]))
+    now = stages.status(s).first()
+    assert now.crawl_runs == 5 and now.last_crawl.day == 1 and now.version.endswith("-5")
+    series = stages.topic_series(s).collect()
+    assert len({r.stable_key for r in series}) == len(report) and sum(r.n for r in series) == now.assignments and all(r.sentiment > 0 for r in series)
+    s.write("sources", spark.createDataFrame([(1, "a", "https://a.example", None)], stores.SCHEMAS["sources"]))
+    points = stages.map_points(s).collect()
+    assert len(points) == 30 and {r.source for r in points} == {"a"} and min(r.x for r in points) == 0 and max(r.x for r in points) == 1 and sum(r.cluster_id is not None for r in points) == now.assignments
     # new articles join topics by the model's threshold, the map follows, counts don't lessen
     s.write("articles", s.read("articles").unionByName(spark.createDataFrame([article(200 + i, f"more {i}", body(i % 3)) for i in range(3)], ARTICLE)))
     stages.run_nlp(s, names, [], NOW)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import clean_text, entity_token
 from tidemark.operators import clustering, embedding, language, merge, model, mood, topics
 from tidemark.session import checked, cut
+from tidemark.sources.store import last_good_crawl
 
 #: Stage -> the status it takes articles from, and the one it leaves them in.
 STAGES = {"nlp": ("cleaned", "nlp_done"), "embed": ("nlp_done", "vectorized"), "cluster": ("vectorized", "clustered")}
@@ -337,6 +338,37 @@ def model_report(store, headlines: int = 3) -> DataFrame:
     return c.select(F.col("id").alias("cluster_id"), "label", "size", F.col("top_terms.coherence_npmi").alias("coherence"), F.slice("top_terms.terms", 1, 8).alias("terms")).join(titles, "cluster_id", "left").orderBy(F.desc("size"), "cluster_id")
 
 
+def status(store) -> DataFrame:
+    """One row: counts and times of all tables, and a version text that changes whenever they do."""
+    runs = store.read("crawl_runs")
+    a = store.read("articles").agg(F.count("*").alias("articles"), F.coalesce(F.max("id"), F.lit(0)).alias("max_article"), F.count_if(F.col("status") != "clustered").alias("processing"))
+    m = store.read("cluster_models").agg(F.max(F.when(F.col("is_active"), F.col("id"))).alias("model_id"), F.max("created_at").alias("_fitted"))
+    c = store.read("article_clusters").agg(F.count("*").alias("assignments"), F.max("assigned_at").alias("_assigned"))
+    r = runs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("crawl_runs"))
+    n = store.read("article_nlp").agg(F.max("processed_at").alias("last_nlp"))
+    j = a.join(m).join(c).join(r).join(last_good_crawl(runs)).join(n)
+    version = F.concat_ws("-", "articles", "max_article", F.coalesce(F.col("model_id").cast("string"), F.lit("None")), "assignments", "crawl_runs")
+    return j.select("articles", "max_article", "model_id", "assignments", "crawl_runs", "last_crawl", "last_nlp", F.greatest("_fitted", "_assigned").alias("last_topics"), "processing", version.alias("version"))
+
+
+def topic_series(store) -> DataFrame:
+    """(stable_key, day, n, sentiment) of the kept daily counts; of several models' the newest one's."""
+    c = store.read("clusters").where("stable_key is not null").select(F.col("id").alias("cluster_id"), "stable_key")
+    d = store.read("topic_daily_stats").join(c, "cluster_id")
+    newest = merge.first_per(d, ["stable_key", "day"], [F.desc("model_id"), F.asc("cluster_id")])
+    return newest.select("stable_key", "day", F.col("article_count").alias("n"), F.col("avg_sentiment").alias("sentiment"))
+
+
+def map_points(store, method: str = "pca") -> DataFrame:
+    """The stored map of a method: each article with its axes and its topic under the active model, the smallest if it has several."""
+    m = active(store)
+    c = store.read("clusters").where(F.col("model_id") == (m["id"] if m else -1)).select(F.col("id").alias("cluster_id"))
+    topic = store.read("article_clusters").join(c, "cluster_id", "left_semi").groupBy(F.col("article_id").alias("id")).agg(F.min("cluster_id").alias("cluster_id"))
+    p = store.read("article_projection").where(F.col("method") == method).select(F.col("article_id").alias("id"), F.round(F.col("x").cast("double"), 4).alias("x"), F.round(F.col("y").cast("double"), 4).alias("y"))
+    s = store.read("sources").select(F.col("id").alias("source_id"), F.col("name").alias("source"))
+    return p.join(store.read("articles").select("id", "title", "source_id"), "id").join(s, "source_id").join(topic, "id", "left").select("id", "title", "source", "x", "y", "cluster_id").orderBy("id")
+
+
 def run_totals(runs: DataFrame) -> DataFrame:
     """(started_at, new): inserted articles of each run over all its sources."""
     return runs.groupBy("started_at").agg(F.coalesce(F.sum("inserted"), F.lit(0)).alias("new"))

@@ -160,3 +160,14 @@ def archive_name(url: Column) -> Column:
     """File name of a page's raw copy."""
     return F.concat(F.substring(F.sha1(url), 1, 16), F.lit(".html"))
 
+
+
+def archive(pages: DataFrame, path: str, url: str = "url", html: str = "html") -> None:
+    """Raw pages added to a folder of parquet files, each with the name that its address gives it."""
+    pages.select(archive_name(F.col(url)).alias("file"), F.col(url).alias("url"), F.col(html).alias("html")).write.mode("append").parquet(path)
+
+
+def with_images(articles: DataFrame, pages: DataFrame) -> DataFrame:
+    """Articles without a picture get the one that their fetched page (url, html) names; others stay as they are."""
+    found = extract(pages).where(F.col("image_url").isNotNull()).groupBy("url").agg(F.min("image_url").alias("_image"))
+    return articles.join(found, "url", "left").withColumn("image_url", F.coalesce("image_url", "_image")).select(*articles.columns)
