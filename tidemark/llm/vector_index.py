@@ -24,6 +24,8 @@ MOST_LISTS = 2_500
 #: Vectors per list aimed at, and the size from which a list is split into blocks.
 LIST = 400
 LIST_MOST = 6_000
+#: Neighbouring lists that one task works on: a vector that is in several of them is sent to it once.
+TOGETHER = 8
 
 
 def unit_rows(column: pa.ListArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,13 +80,14 @@ def latest(df: DataFrame, key: str, vec: str, created: str, dim: int, scratch: S
 
 @dataclass
 class Centroids:
-    """Centroids, the hubs that enter their graph, and each one's nearest neighbours."""
+    """Centroids, the hubs that enter their graph, each one's nearest neighbours, and the task of each list."""
 
     centres: np.ndarray
     hubs: np.ndarray
     members: list = field(default_factory=list)
     near: np.ndarray | None = None
     load: np.ndarray | None = None
+    task: np.ndarray | None = None
 
     def search(self, x: np.ndarray, most: int, hubs: int = 6) -> tuple[np.ndarray, np.ndarray]:
         """The ``most`` best centroids of each row, best first, and their cosines.
@@ -154,17 +157,31 @@ def fit(v: Vectors, list_size: int = LIST, fit_rows: int = FIT_ROWS, seed: int =
     at = (c @ hubs.T).argmax(axis=1)
     edges = min(k, 25)
     near = np.argpartition(-(c @ c.T), edges - 1, axis=1)[:, :edges]
-    return Centroids(c, hubs, [np.flatnonzero(at == h) for h in range(len(hubs))], near, load * (n / len(x))), n
+    members = [np.flatnonzero(at == h) for h in range(len(hubs))]
+    return Centroids(c, hubs, members, near, load * (n / len(x)), _tasks(c)), n
+
+
+def _tasks(c: np.ndarray) -> np.ndarray:
+    """The task of each list: TOGETHER lists at most, each with its nearest free neighbours."""
+    task, s = np.full(len(c), -1), c @ c.T
+    free, n = np.ones(len(c), bool), 0
+    for i in range(len(c)):
+        if free[i]:
+            near = np.argsort(-np.where(free, s[i], -3))[: min(TOGETHER, int(free.sum()))]
+            task[near], free[near] = n, False
+            n += 1
+    return task
 
 
 def in_lists(v: Vectors, c: Centroids, work: Callable[[np.ndarray, np.ndarray, np.ndarray], pa.Table], schema: str, copies: int = 8, ratio: float = 1.3) -> DataFrame:
     """``work(ids, unit vectors, sides)`` over every posting list; its rows together.
 
     A vector is in its nearest list and in those at no more than ``ratio`` times that
-    distance, up to ``copies``. A list larger than LIST_MOST is split: its vectors are hashed
-    into blocks, and each pair of blocks is worked on alone (sides 1 and 2; 0 means that all
-    rows pair with each other), so every pair of a list meets exactly once and no task gathers
-    a hot list.
+    distance, up to ``copies``. Lists that are near each other are worked on by one task, to
+    which a vector goes once however many of them it is in. A list larger than LIST_MOST is
+    split: its vectors are hashed into blocks, and each pair of blocks is worked on alone
+    (sides 1 and 2; 0 means that all rows pair with each other), so every pair of a list meets
+    exactly once and no task gathers a hot list.
     """
     cb = v.distinct.sparkSession.sparkContext.broadcast(vars(c))
     dim = v.dim
@@ -172,6 +189,7 @@ def in_lists(v: Vectors, c: Centroids, work: Callable[[np.ndarray, np.ndarray, n
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Centroids(**cb.value)
         split = np.clip(-(-c.load * 3 // LIST_MOST), 1, 500).astype(int)
+        none = np.zeros(0, np.int64)
         for b in batches:
             for lo in range(0, b.num_rows, 2048):
                 part = b.slice(lo, 2048)
@@ -181,29 +199,50 @@ def in_lists(v: Vectors, c: Centroids, work: Callable[[np.ndarray, np.ndarray, n
                 lists, cos = c.search(x, copies)
                 d = np.sqrt(np.maximum(0, 2 - 2 * cos))
                 rows, col = np.nonzero(d <= np.maximum(d[:, :1] * ratio, 1e-3))
-                chosen = lists[rows, col]
+                chosen = lists[rows, col].astype(np.int64)
                 ids = np.asarray(part.column("id"))[at]
-                keys, side, source = [chosen.astype(np.int64) << 20], [np.zeros(len(rows), np.int32)], [rows]
                 big = split[chosen] > 1
-                if big.any():
-                    keys, side, source = [keys[0][~big]], [side[0][~big]], [rows[~big]]
-                    for li in np.unique(chosen[big]):
-                        r, n = rows[chosen == li], split[li]
-                        mine = (ids[r].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % n
-                        for j in range(n):
-                            keys.append((np.int64(li) << 20) + (np.minimum(mine, j) << 10) + np.maximum(mine, j))
-                            side.append(np.where(mine == j, 0, np.where(mine < j, 1, 2)).astype(np.int32))
-                            source.append(r)
-                rows = np.concatenate(source)
-                yield pa.RecordBatch.from_pydict({"list": pa.array(np.concatenate(keys)), "side": pa.array(np.concatenate(side)), "id": pa.array(ids[rows]), "v": part.column("v").take(pa.array(at[rows]))})
+                # whole lists: one row per vector and task, with its lists there
+                r, li = rows[~big], chosen[~big]
+                order = np.lexsort((li, c.task[li], r))
+                r, li, task = r[order], li[order], c.task[li[order]].astype(np.int64)
+                first = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (task[1:] != task[:-1])]) if len(r) else none
+                keys, side, source, inside = [task[first]], [np.zeros(len(first), np.int32)], [r[first]], [np.diff(np.r_[first, len(r)])]
+                # split lists: one row per vector, list and pair of blocks
+                for one in np.unique(chosen[big]):
+                    r, n = rows[chosen == one], split[one]
+                    mine = (ids[r].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % n
+                    for j in range(n):
+                        keys.append(-1 - ((np.int64(one) << 20) + (np.minimum(mine, j) << 10) + np.maximum(mine, j)))
+                        side.append(np.where(mine == j, 0, np.where(mine < j, 1, 2)).astype(np.int32))
+                        source.append(r)
+                        inside.append(np.zeros(len(r), np.int64))
+                rows, ends = np.concatenate(source), np.cumsum(np.r_[0, np.concatenate(inside)])
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "list": pa.array(np.concatenate(keys)), "side": pa.array(np.concatenate(side)), "id": pa.array(ids[rows]), "v": part.column("v").take(pa.array(at[rows])),
+                        "lists": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(li.astype(np.int32))),
+                    }
+                )
 
     def each(t: pa.Table) -> pa.Table:
+        key = t.column("list")[0].as_py()
         ids, side = (np.asarray(t.column(n).combine_chunks()) for n in ("id", "side"))
         x, _ = unit_rows(t.column("v"), dim)
         order = np.argsort(ids, kind="stable")
-        return work(ids[order], x[order], side[order])
-
-    return v.distinct.select("id", "v").mapInArrow(assign, "list long, side int, id long, v array<float>").groupBy("list").applyInArrow(each, schema)
+        if key < 0:
+            return work(ids[order], x[order], side[order])
+        ids, x = ids[order], x[order]
+        lists = t.column("lists").combine_chunks().take(pa.array(order))
+        of = np.repeat(np.arange(len(ids)), np.asarray(lists.value_lengths()))
+        flat = np.asarray(lists.flatten())
+        parts = []
+        for one in np.unique(flat).tolist():
+            at = of[flat == one]
+            parts.append(work(ids[at], x[at], np.zeros(len(at), np.int32)))
+        return pa.concat_tables(parts)
+
+    return v.distinct.select("id", "v").mapInArrow(assign, "list long, side int, id long, v array<float>, lists array<int>").groupBy("list").applyInArrow(each, schema)
 
 
 def blocks_of(x: np.ndarray, side: np.ndarray, step: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
