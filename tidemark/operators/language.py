@@ -55,7 +55,10 @@ def mentions(df: DataFrame, key: str, text: str, gazetteer: DataFrame, most_char
     named = grams.select("id", "i", "k", F.xxhash64("span").alias("s"), F.array_join(F.slice(F.split("span", " "), F.col("i") + 1, F.col("k")), " ").alias("alias"))
     hit = named.join(gazetteer, "alias")
     # a span repeated in a document is counted through its multiplicity
-    longest = hit.groupBy("id", "s", "i").agg(F.max(F.struct("k", "label", "name")).alias("m"), F.max("k").alias("top"), (F.count("*") / F.countDistinct("k", "label", "name")).cast("long").alias("n"))
+    longest = hit.groupBy("id", "s", "i").agg(F.max(F.struct("k", "label", "name")).alias("m"), (F.count("*") / F.countDistinct("k", "label", "name")).cast("long").alias("n"))
+    # an alias inside or across the end of one that begins before it is part of that
+    before = Window.partitionBy("id", "s").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    longest = longest.withColumn("_end", F.max(F.col("i") + F.col("m.k")).over(before)).where("_end is null or _end <= i")
     return longest.groupBy("id", F.col("m.label").alias("label"), F.col("m.name").alias("name")).agg(F.sum("n").alias("n"))
 
 
