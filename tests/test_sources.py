@@ -63,6 +63,7 @@ def test_json_lines_round_trip(spark, tmp_path):
 
 
 def test_database_is_created_once(spark):
+    spark.range(1).createOrReplaceTempView("a_view")
     store.create_tables(spark, "tm_test")
     store.create_tables(spark, "tm_test")
     got = {r.table: r.rows for r in store.table_counts(spark, "tm_test").collect()}

@@ -119,8 +119,8 @@ def create_tables(spark: SparkSession, database: str) -> None:
 
 
 def table_counts(spark: SparkSession, database: str) -> DataFrame:
-    """(table, rows) of every table of a database."""
-    parts = [spark.table(f"`{database}`.`{t.name}`").agg(F.lit(t.name).alias("table"), F.count("*").alias("rows")) for t in spark.catalog.listTables(database)]
+    """(table, rows) of every table of a database; temporary views are none."""
+    parts = [spark.table(f"`{database}`.`{t.name}`").agg(F.lit(t.name).alias("table"), F.count("*").alias("rows")) for t in spark.catalog.listTables(database) if not t.isTemporary]
     if not parts:
         return spark.createDataFrame([], "table string, rows long")
     out = parts[0]
