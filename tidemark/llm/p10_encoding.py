@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import one_row_per_id
-from tidemark.session import Scratch
+from tidemark.session import Scratch, spread
 
 # Encodings a text may be stored in, and those it may wrongly be read with.
 WRITTEN = ("utf-8", "cp1252", "cp1251", "koi8-r", "cp866", "mac_roman", "cp850", "cp1250", "iso8859-5")
@@ -173,7 +173,7 @@ def find_damage(df: DataFrame, key: str, text: str, scratch: Scratch | None = No
     plain ASCII texts have no pieces. Repeated rows of an id count once.
     """
     scratch = scratch or Scratch(df.sparkSession, "damage")
-    docs = one_row_per_id(df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), "doc_id")
+    docs = spread(one_row_per_id(df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), "doc_id"), "doc_id")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import one_row_per_id
+from tidemark.session import spread
 
 #: Pages that the classifier's sample may have at most (about), chosen by a hash of their id, and
 #: lines of one page in it (about), chosen by a hash of the line.
@@ -329,7 +330,7 @@ def train(docs: DataFrame, fit_pages: int = FIT_PAGES) -> np.ndarray:
 
 
 def _prepared(df: DataFrame, key: str, title: str, body: str) -> DataFrame:
-    return one_row_per_id(df.select(F.col(key).cast("long").alias("id"), F.col(title).alias("title"), F.col(body).alias("body")), "id")
+    return spread(one_row_per_id(df.select(F.col(key).cast("long").alias("id"), F.col(title).alias("title"), F.col(body).alias("body")), "id"), "id")
 
 
 def furniture_lines(df: DataFrame, key: str, title: str, body: str, fit_pages: int = FIT_PAGES) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.simhash import plain_words
 from tidemark.llm.common import checked, components, one_row_per_id
-from tidemark.session import Scratch
+from tidemark.session import Scratch, spread
 
 #: Counters of the sketch (4 bytes each): its size is fixed, so it may be collected and broadcast.
 SLOTS = 1 << 20
@@ -278,7 +278,7 @@ def near_duplicates(df: DataFrame, key: str, body: str, width: int = 5, sim: flo
     """
     spark = df.sparkSession
     scratch = scratch or Scratch(spark, "near")
-    docs = one_row_per_id(df.select(F.col(key).cast("long").alias("id"), F.col(body).alias("body")), "id")
+    docs = spread(one_row_per_id(df.select(F.col(key).cast("long").alias("id"), F.col(body).alias("body")), "id"), "id")
     counts, elements = sketch(docs, width, sim)
     counts_b = spark.sparkContext.broadcast(counts)
     parts = max(12, -(-elements // BLOCK))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import one_row_per_id
 from tidemark.llm.tokens import PATTERN, token_counts
-from tidemark.session import Scratch
+from tidemark.session import Scratch, spread
 
 CAPACITY = 2_048
 #: Containers of one bucket, about: a bucket is one task's work, and can waste one container.
@@ -102,6 +102,7 @@ def pack(df: DataFrame, key: str, source: str, text: str, ranks: str, capacity:
         raise ValueError("capacity must be 1 or more")
     scratch = Scratch(df.sparkSession, "pack")
     docs = one_row_per_id(df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("text")), "doc_id")
+    docs = spread(docs, "doc_id")
     sized = scratch.put(token_counts(docs, "text", ranks, pattern), "sized")
     total = sized.agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).first()
     buckets = max(1, -(-(total["t"] or 0) // (capacity * BUCKET)), -(-total["n"] // 1_000_000))
