@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -121,6 +123,27 @@ def test_topic_terms_and_coherence(spark):
     assert topics.npmi(terms, odd, 6).first().npmi == -1.0
 
 
+def test_terms_that_meet(spark, monkeypatch):
+    """Pairs against brute force: over several slices and blocks, with a document without an id and one without terms."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    docs = [(i, rng.sample(words, rng.randrange(12))) for i in range(700)] + [(None, words[:3]), (701, None), (702, ["w1", "w1", "none"])]
+    wanted = [(a, b) for a in words[:20] for b in words[:20] if a <= b]
+    df = spark.createDataFrame(docs, "id long, terms array<string>").coalesce(1)
+    got = topics.together(df, spark.createDataFrame(wanted, "term string, term2 string"), most=50).collect()
+    want = {(a, b): n for a, b in wanted if (n := sum(a in (t or ()) and b in (t or ()) and (a == b or i is not None) for i, t in docs))}
+    assert len(got) == len(want) and {(r.term, r.term2): r.both for r in got} == want
+
+
+def test_npmi_of_documents_that_hold_their_terms(spark):
+    """Rows with their terms give what rows of a term each give."""
+    docs = spark.range(4_000).select("id", F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: F.concat(F.lit("w"), ((F.col("id") * 7 + i * i) % 60).cast("string"))).alias("terms"))
+    top = spark.createDataFrame([(k, f"w{k * 10 + i}") for k in range(6) for i in range(10)], "topic long, term string")
+    got = {r.topic: r.npmi for r in topics.npmi(docs, top, 4_000).collect()}
+    rows = docs.select("id", F.explode("terms").alias("term"))
+    assert got == {r.topic: r.npmi for r in topics.npmi(rows, top, 4_000).collect()} and len(got) == 6
+
+
 def test_stable_keys_are_matched_once():
     old = [("a", [1.0, 0.0]), ("b", [0.0, 1.0])]
     new = [(1, [0.1, 0.995]), (2, [0.99, 0.14]), (3, [0.8, 0.6])]
