@@ -151,6 +151,25 @@ def test_stable_keys_are_matched_once():
     assert topics.match_keys([], old) == {}
 
 
+def test_keys_of_tables_are_matched_in_greedy_order(spark):
+    """By blocks and rounds as by brute force, with copies, a vector of another length and one of no length."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(12, 8))
+    near = lambda n: base[rng.integers(12, size=n)] + rng.normal(scale=0.25, size=(n, 8))
+    new, old = [(i, c.tolist()) for i, c in enumerate(near(40))], [(f"k{i:02}", c.tolist()) for i, c in enumerate(near(50))]
+    new, old = new + [(40 + i, new[0][1]) for i in range(4)], old + [(f"x{i}", [2 * v for v in new[0][1]]) for i in range(3)]
+    sims = {(i, j): float(np.round(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b), 9)) for i, a in new for j, b in old}
+    want: dict = {}
+    for (i, j), s in sorted(sims.items(), key=lambda p: (-p[1], p[0])):
+        if s >= 0.75 and i not in want and j not in want.values():
+            want[i] = j
+    odd_new, odd_old = [(90, [1.0, 0.0]), (91, None), (92, [0.0] * 8)], [("odd", [2.0, 0.1]), ("none", None)]
+    tables = spark.createDataFrame(new + odd_new, "topic int, centroid array<double>"), spark.createDataFrame(old + odd_old, "key string, centroid array<double>")
+    for most, here in ((2_000, 500_000), (7, 5)):
+        assert {r.topic: r.key for r in topics.matched_keys(*tables, most=most, here=here).collect()} == want | {90: "odd"}
+    assert topics.matched_keys(tables[0].limit(0), tables[1]).count() == 0 == topics.matched_keys(tables[0], tables[1].limit(0)).count()
+
+
 def test_refit_reasons():
     assert topics.refit_reason(None, 0, 0, 0) == "no model"
     assert topics.refit_reason(8, 0, 100, 100) == "model is old"
