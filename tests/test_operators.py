@@ -3,6 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from tidemark.functions.vectors import normalised
 from tidemark.operators import clustering, dedup, language, merge, topics, validate
 
 
@@ -170,6 +171,29 @@ def test_keys_of_tables_are_matched_in_greedy_order(spark):
     assert topics.matched_keys(tables[0].limit(0), tables[1]).count() == 0 == topics.matched_keys(tables[0], tables[1].limit(0)).count()
 
 
+def test_map_by_principal_components(spark):
+    """The axes of a singular value decomposition up to sign; a vector without values or of another length has no point."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 6)) * [5, 3, 1, 1, 0.5, 0.2] + 1
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [1.0])]
+    got = {r.id: (r.x, r.y) for r in clustering.project(spark.createDataFrame(rows, "id long, v array<double>").repartition(5)).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = u @ np.linalg.svd(u - u.mean(0))[2][:2].T
+    want = (want - want.min(0)) / np.ptp(want, axis=0)
+    have = np.array([got[i] for i in range(300)])
+    assert len(got) == 300 and all(min(np.abs(have[:, k] - want[:, k]).max(), np.abs(1 - have[:, k] - want[:, k]).max()) < 1e-9 for k in (0, 1))
+
+
+def test_norms_are_computed_once_a_vector(spark):
+    """Long vectors take time in proportion: inside the lambda of the elements the norm would take a second of each vector here."""
+    import time
+
+    df = spark.range(4).select(F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda i: i.cast("double")).alias("v"))
+    began = time.time()
+    got = df.select(normalised(F.col("v"))[0].alias("a"), F.aggregate(normalised(F.col("v")), F.lit(0.0), lambda s, y: s + y * y).alias("one")).collect()
+    assert all(abs(r.one - 1) < 1e-9 for r in got) and time.time() - began < 30
+
+
 def test_refit_reasons():
     assert topics.refit_reason(None, 0, 0, 0) == "no model"
     assert topics.refit_reason(8, 0, 100, 100) == "model is old"

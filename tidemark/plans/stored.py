@@ -138,7 +138,8 @@ def run_totals(t: Tables) -> DataFrame:
 @query()
 def projection_points(t: Tables) -> DataFrame:
     """The map: two axes for every article with a vector, with its title, source and topic; the axes' signs are free, so there is no SQL."""
-    points = Scratch(t.spark, "map").put(clustering.project(usable_vectors(t)))
+    scratch = Scratch(t.spark, "map")
+    points = scratch.put(clustering.project(scratch.put(usable_vectors(t))))
     a = t.articles.select("id", "title", "source_id").join(t.sources.select(F.col("id").alias("source_id"), F.col("name").alias("source")), "source_id")
     return points.join(a, "id").join(t.assigned.select("id", "topic_id"), "id", "left").select("id", "title", "source", "method", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.col("topic_id").cast("long").alias("topic_id"))
 
