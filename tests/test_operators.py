@@ -113,6 +113,21 @@ def test_kmeans_sweep_finds_k(spark):
     assert k == 4 and score > 0.5 and rand_index([got[i] for i in range(len(x))], truth.tolist()) > 0.9
 
 
+def test_kmeans_sweep_fits_together(spark):
+    """Eleven fits take the jobs of one, and the score is the silhouette of what comes out."""
+    x, truth = blobs(5, 20, 9, dim=16)
+    df = spark.createDataFrame([(i, [3 * float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>").repartition(3)
+    sc = spark.sparkContext
+    sc.setJobGroup("sweep", "")
+    out, k, score = clustering.kmeans_sweep(df, list(range(2, 13)))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(sc.statusTracker().getJobIdsForGroup("sweep")) < 100
+    got = {r.id: r.topic for r in out.collect()}
+    assert k == 5 and rand_index([got[i] for i in range(len(x))], truth.tolist()) == 1
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    assert abs(score - clustering.cosine_silhouette(u, np.array([got[i] for i in range(len(x))]))) < 1e-9
+
+
 def test_topic_terms_and_coherence(spark):
     docs = [(1, 0, "bat ball bat"), (2, 0, "bat ball"), (3, 0, "ball bat"), (4, 1, "rain delay"), (5, 1, "rain delay rain"), (6, -1, "other")]
     terms = spark.createDataFrame([(i, t, w, s.split().count(w)) for i, t, s in docs for w in sorted(set(s.split()))], "id long, topic long, term string, n long")
