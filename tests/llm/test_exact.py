@@ -111,6 +111,18 @@ def test_excess_needs_a_higher_rate_inside(spark):
     assert p7_lines.repeated_lines(df.limit(0), "id", "source", "body").lines.count() == 0
 
 
+def test_lines_are_found_and_removed_by_the_test(spark):
+    """With the bound of the test, a line that all sources share stays and one source's own goes; without it both are found."""
+    rows = [(s * 10 + i, s, f"shared\nstory {s} {i}" + ("\nown" if s == 0 else "")) for s in range(3) for i in range(10)]
+    df = spark.createDataFrame(rows, "id long, source int, body string")
+    r = p7_lines.repeated_lines(df, "id", "source", "body")
+    bound = p7_lines.excess_bound(p7_lines.tests(df, "source", "body"), r.lines)
+    found = p7_lines.found_lines(r, bound)
+    assert {tuple(x) for x in found.collect()} == {(i, 3) for i in range(10)}
+    assert p7_lines.found_lines(r).count() == 40 and p7_lines.found_lines(r, -float("inf")).count() == 0
+    assert {x.id: x.body for x in p7_lines.without_lines(df, "id", "body", found).collect()} == {i: b.removesuffix("\nown") for i, _, b in rows}
+
+
 # ------------------------------------------------------------------ problem 6
 
 
